@@ -10,27 +10,50 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS
 # hot keys however large the table is: the table of hot keys is always small enough to broadcast.
 HOT_KEYS = 2048
+# Below this many rows a whole table fits one task and no key needs splitting.
+TASK_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    """``keys..., splits`` for every key whose rows do not fit one task.
+def hot_keys(df: DataFrame, keys: Sequence[str], total: int, task_rows: int = TASK_ROWS) -> DataFrame | None:
+    """``keys..., splits`` for every key whose rows do not fit one task; None when there is none.
 
     Counts are combined map-side, so a hot key costs one row per map task.
     """
+    if total <= task_rows:
+        return None
+    limit = max(task_rows, -(-total // HOT_KEYS))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(HOT_KEYS)), F.lit(min_rows)).alias("_limit"))
-    limit = total.first()["_limit"]
     return counts.filter(F.col("_rows") > F.lit(limit)).select(
         *keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("splits")
     )
 
 
-def salted_join(
+def with_salt(big: DataFrame, keys: Sequence[str], spread: Sequence[Column], hot: DataFrame) -> DataFrame:
+    """Add ``_salt``: 0 for ordinary keys, one of ``splits`` numbers for the rows of a hot key."""
+    own = F.pmod(F.xxhash64(*spread), F.col("splits"))
+    return (
+        big.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_salt", F.when(F.col("splits").isNull(), F.lit(0)).otherwise(own).cast("int"))
+        .drop("splits")
+    )
+
+
+def for_each_salt(small: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """One copy of a row per salt of its key."""
+    last = F.coalesce(F.col("splits"), F.lit(1)) - F.lit(1)
+    return (
+        small.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("splits")
+    )
+
+
+def spread_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     spread: Sequence[Column],
-    hot: DataFrame,
+    hot: DataFrame | None,
     how: str = "inner",
 ) -> DataFrame:
     """Join ``big`` with ``small``; rows of a hot key are spread over ``splits`` groups.
@@ -38,11 +61,7 @@ def salted_join(
     ``spread`` are columns of ``big`` that tell its rows apart within a key.  ``small`` holds one
     or few rows per key and is copied once per group.  ``how`` may be inner or left (big side).
     """
-    hot = F.broadcast(hot)
-    left = big.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("splits").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("splits"))).cast("int")
-    ).drop("splits")
-    right = small.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - F.lit(1)))
-    ).drop("splits")
+    if hot is None:
+        return big.join(small, list(keys), how)
+    left, right = with_salt(big, keys, spread, hot), for_each_salt(small, keys, hot)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
