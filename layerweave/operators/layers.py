@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerweave.operators.skew import block_join
+
 UP, DOWN, BOTH = "up", "down", "both"
 
 
@@ -154,30 +156,13 @@ def layer_edges(
     )
     blocks = target_rows.join(source_rows, ["layer", "_bin"]).select(
         "layer", "_bin",
-        F.ceil(F.col("_targets") / F.lit(block_rows)).cast("int").alias("_target_blocks"),
-        F.ceil(F.col("_sources") / F.lit(block_rows)).cast("int").alias("_source_blocks"),
-    )
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - F.lit(1)))
-    own = lambda key, n: F.pmod(F.xxhash64(F.col(key)), F.col(n)).cast("int")
-    left = (
-        sources.select("layer", "src", "src_z", F.explode("_bins").alias("_bin"))
-        .join(F.broadcast(blocks), ["layer", "_bin"])
-        .withColumn("_sb", own("src", "_source_blocks"))
-        .withColumn("_tb", every("_target_blocks"))
-        .drop("_target_blocks", "_source_blocks")
-    )
-    right = (
-        targets.join(F.broadcast(blocks), ["layer", "_bin"])
-        .withColumn("_tb", own("dst", "_target_blocks"))
-        .withColumn("_sb", every("_source_blocks"))
-        .drop("_target_blocks", "_source_blocks")
+        F.ceil(F.col("_sources") / F.lit(block_rows)).cast("int").alias("_left_blocks"),
+        F.ceil(F.col("_targets") / F.lit(block_rows)).cast("int").alias("_right_blocks"),
     )
+    left = sources.select("layer", "src", "src_z", F.explode("_bins").alias("_bin"))
+    pairs = block_join(left, targets, ["layer", "_bin"], [F.col("src")], [F.col("dst")], blocks)
     match = by_layer(lambda rule: rule.holds(F.col("src_z"), F.col("dst_z")), F.lit(False))
-    return (
-        left.join(right, ["layer", "_bin", "_sb", "_tb"])
-        .filter(match & (F.col("src") != F.col("dst")))
-        .select("layer", "src", "dst", "src_z", "dst_z")
-    )
+    return pairs.filter(match & (F.col("src") != F.col("dst"))).select("layer", "src", "dst", "src_z", "dst_z")
 
 
 def fit_edges(people: DataFrame, rules: dict[str, LayerRule] | None = None, **options) -> DataFrame:

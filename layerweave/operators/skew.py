@@ -65,3 +65,54 @@ def spread_join(
         return big.join(small, list(keys), how)
     left, right = with_salt(big, keys, spread, hot), for_each_salt(small, keys, hot)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def key_blocks(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_rows: int, right_rows: int, block_rows: int
+) -> DataFrame | None:
+    """``keys..., _left_blocks, _right_blocks`` for the keys that are crowded on either side."""
+    left_hot = hot_keys(left, keys, left_rows, block_rows)
+    right_hot = hot_keys(right, keys, right_rows, block_rows)
+    if left_hot is None and right_hot is None:
+        return None
+    one = F.lit(1)
+    if right_hot is None:
+        return left_hot.select(*keys, F.col("splits").alias("_left_blocks"), one.alias("_right_blocks"))
+    if left_hot is None:
+        return right_hot.select(*keys, one.alias("_left_blocks"), F.col("splits").alias("_right_blocks"))
+    both = left_hot.withColumnRenamed("splits", "_left_blocks").join(
+        right_hot.withColumnRenamed("splits", "_right_blocks"), list(keys), "full"
+    )
+    return both.na.fill(1, ["_left_blocks", "_right_blocks"])
+
+
+def block_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_spread: Sequence[Column],
+    right_spread: Sequence[Column],
+    blocks: DataFrame | None,
+) -> DataFrame:
+    """Many-to-many equi-join in which a crowded key becomes a grid of tasks.
+
+    Each side of such a key is cut into blocks and copied once per block of the other side, so
+    every pair still meets exactly once and no task sees more than one block of either side.
+    ``blocks`` must be bounded: one row per crowded key (see ``key_blocks``) or per bin.
+    """
+    if blocks is None:
+        return left.join(right, list(keys))
+    blocks = F.broadcast(blocks)
+
+    def cut(side: DataFrame, own: str, own_block: str, other: str, other_block: str, spread: Sequence[Column]) -> DataFrame:
+        own_blocks, other_blocks = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))
+        return (
+            side.join(blocks, list(keys), "left")
+            .withColumn(own_block, F.pmod(F.xxhash64(*spread), own_blocks).cast("int"))
+            .withColumn(other_block, F.explode(F.sequence(F.lit(0), (other_blocks - 1).cast("int"))))
+            .drop(own, other)
+        )
+
+    a = cut(left, "_left_blocks", "_lb", "_right_blocks", "_rb", left_spread)
+    b = cut(right, "_right_blocks", "_rb", "_left_blocks", "_lb", right_spread)
+    return a.join(b, [*keys, "_lb", "_rb"]).drop("_lb", "_rb")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from layerweave.plans import edge_queries, graph_queries, score_queries  # noqa: F401
+from layerweave.plans import edge_queries, graph_queries, score_queries, tensor_queries  # noqa: F401
 from layerweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
