@@ -45,9 +45,16 @@ def running_total(
     )
 
 
-def dense_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFrame:
-    """Add ``name`` = 0..N-1 in the given total order."""
+def dense_index(df: DataFrame, order: Sequence[Column], name: str = "idx", ties: bool = False) -> DataFrame:
+    """Add ``name`` = 0..N-1 in the given total order.
+
+    ``ties`` says that rows may be equal in the order; the place in the input then separates them,
+    so that many equal rows still spread over several tasks.
+    """
     keys = list(order)
+    if ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        return dense_index(df, [*keys, F.col("_tie")], name).drop("_tie")
     sorted_rows = cut_lineage(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     )

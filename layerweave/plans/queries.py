@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from layerweave.plans import edge_queries, graph_queries, score_queries, tensor_queries  # noqa: F401
+from layerweave.plans import (  # noqa: F401
+    community_queries, edge_queries, graph_queries, people_queries, score_queries, table_queries, tensor_queries,
+)
 from layerweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
