@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerweave.operators import tensor as T
@@ -63,41 +63,46 @@ class CPModel:
         return math.sqrt(max(row["xx"] - 2 * row["xm"] + model, 0.0) / row["xx"])
 
 
-@dataclass
-class _Prepared:
-    """The tensor in reliable storage, its size, and the indexes too crowded for one task."""
-
-    tensor: Tensor
-    cells: int
-    squares: float
-    hot: list[DataFrame | None]
-    share_pass: bool
-
-
-def _prepare(tensor: Tensor, rank: int) -> _Prepared:
-    kept = replace(tensor, cells=cut_lineage(tensor.cells.select(*tensor.modes, "value")))
-    row = kept.cells.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("value")).alias("s"),
-        F.approx_count_distinct(F.struct(*tensor.modes[1:])).alias("fibres"),
-    ).first()
-    hot = [hot_keys(kept.cells, [m], row["n"]) for m in tensor.modes]
-    # Modes 1 and 2 can share one pass over the cells when summing out mode 0 shrinks the table.
-    return _Prepared(kept, row["n"], row["s"] or 0.0, hot, row["fibres"] * rank <= 2 * row["n"])
+class CellSource:
+    """Products of a tensor that is stored as cells.
 
+    The cells are kept in reliable storage; indexes too crowded for one task are found once.
+    """
 
-def _sum_out_first(prepared: _Prepared, factor: Factor) -> DataFrame:
-    """``modes 1 and 2, t0..t{R-1}``: the tensor times the columns of the first factor."""
-    tensor = prepared.tensor
-    joined = T.join_factor(tensor.cells, tensor.modes[0], factor, "_a", tensor.modes[1:], prepared.hot[0])
-    sums = [F.sum(F.col("value") * F.col(f"_a{r}")).alias(f"t{r}") for r in range(factor.rank)]
-    return joined.groupBy(*tensor.modes[1:]).agg(*sums)
+    def __init__(self, tensor: Tensor, rank: int):
+        self.tensor = replace(tensor, cells=cut_lineage(tensor.cells.select(*tensor.modes, "value")))
+        self.shape = tensor.shape
+        row = self.tensor.cells.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("value")).alias("s"),
+            F.approx_count_distinct(F.struct(*tensor.modes[1:])).alias("fibres"),
+        ).first()
+        self.squares = row["s"] or 0.0
+        self.hot = [hot_keys(self.tensor.cells, [m], row["n"]) for m in tensor.modes]
+        # Modes 1 and 2 share one pass over the cells when summing out mode 0 shrinks the table.
+        self.shares = row["fibres"] * rank <= 2 * row["n"]
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.tensor.cells.sparkSession
 
-def _finish(partial: DataFrame, column: str, other: str, factor: Factor, length: int) -> Factor:
-    """Sum the shared table against one more factor."""
-    joined = T.join_factor(partial, other, factor, "_b", [column])
-    sums = [F.sum(F.col(f"t{r}") * F.col(f"_b{r}")).alias(f"f{r}") for r in range(factor.rank)]
-    return Factor(joined.groupBy(F.col(column).alias("idx")).agg(*sums), length, factor.rank)
+    def share(self, factors: Sequence[Factor]) -> DataFrame | None:
+        """``modes 1 and 2, t0..t{R-1}``: the tensor times the columns of the first factor."""
+        if not self.shares:
+            return None
+        tensor, first = self.tensor, factors[0]
+        joined = T.join_factor(tensor.cells, tensor.modes[0], first, "_a", tensor.modes[1:], self.hot[0])
+        sums = [F.sum(F.col("value") * F.col(f"_a{r}")).alias(f"t{r}") for r in range(first.rank)]
+        return cut_lineage(joined.groupBy(*tensor.modes[1:]).agg(*sums))
+
+    def products(self, mode: int, factors: Sequence[Factor], shared: DataFrame | None) -> Factor:
+        """Matricised tensor times Khatri-Rao product of the other factors."""
+        if shared is None or mode == 0:
+            return T.mttkrp(self.tensor, factors, mode, self.hot)
+        column, other = self.tensor.modes[mode], self.tensor.modes[3 - mode]
+        joined = T.join_factor(shared, other, factors[3 - mode], "_b", [column])
+        rank = factors[mode].rank
+        sums = [F.sum(F.col(f"t{r}") * F.col(f"_b{r}")).alias(f"f{r}") for r in range(rank)]
+        return Factor(joined.groupBy(F.col(column).alias("idx")).agg(*sums), self.shape[mode], rank)
 
 
 @dataclass
@@ -130,7 +135,7 @@ def _solve(products: Factor, others: np.ndarray, norm: str) -> _Update:
 
 
 def cp_als(
-    tensor: Tensor,
+    tensor: Tensor | CellSource,
     rank: int = 10,
     max_sweeps: int = 500,
     tolerance: float | None = 1e-4,
@@ -140,7 +145,7 @@ def cp_als(
     init: str = "gaussian",
     restarts: int = 3,
 ) -> CPModel:
-    """Decompose a three-way tensor.
+    """Decompose a three-way tensor, given as cells or as any source of products.
 
     ``stop='error'`` ends when the relative error of two sweeps differs by at most ``tolerance``;
     ``stop='fit'`` when the fit does, strictly.  ``tolerance=None`` runs all sweeps.
@@ -149,44 +154,40 @@ def cp_als(
     """
     if rank <= 0 or max_sweeps < 0 or (tolerance is not None and tolerance < 0):
         raise ValueError("rank must be positive, sweeps and tolerance not negative")
-    if tensor.order != 3:
+    if len(tensor.shape) != 3:
         raise ValueError("the tensor must have three modes")
     if norm not in ("l2", "max") or stop not in ("error", "fit"):
         raise ValueError("norm is 'l2' or 'max', stop is 'error' or 'fit'")
-    prepared = _prepare(tensor, rank)
+    source = CellSource(tensor, rank) if isinstance(tensor, Tensor) else tensor
     for attempt in range(restarts + 1):
-        model = _attempt(prepared, rank, max_sweeps, tolerance, seed + attempt, norm, stop, init)
+        model = _attempt(source, rank, max_sweeps, tolerance, seed + attempt, norm, stop, init)
         if model is not None:
             return model
     raise ArithmeticError("the decomposition overflowed on every start")
 
 
-def _attempt(prepared, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPModel | None:
-    tensor = prepared.tensor
-    spark = tensor.cells.sparkSession
-    factors = [T.initial_factor(spark, n, rank, seed, m, init) for m, n in enumerate(tensor.shape)]
+def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPModel | None:
+    factors = [T.initial_factor(source.spark, n, rank, seed, m, init) for m, n in enumerate(source.shape)]
     grams = [None, *[T.gram(f.rows, f.columns) for f in factors[1:]]]
     weights = np.ones(rank)
     errors: list[float] = []
-    before, now = (math.inf, 0.0) if stop == "error" else (0.0, 0.0)
-    size = math.sqrt(prepared.squares)
+    before, now = math.inf, 0.0
+    size = math.sqrt(source.squares)
     for sweep in range(max_sweeps):
         scaling = norm if sweep else "l2"
-        update = _solve(T.mttkrp(tensor, factors, 0, prepared.hot), grams[1] * grams[2], scaling)
-        factors[0], grams[0] = update.factor, update.gram
-        shared = cut_lineage(_sum_out_first(prepared, factors[0])) if prepared.share_pass else None
-        for mode, other in ((1, 2), (2, 1)):
-            if shared is None:
-                products = T.mttkrp(tensor, factors, mode, prepared.hot)
-            else:
-                products = _finish(shared, tensor.modes[mode], tensor.modes[other], factors[other], tensor.shape[mode])
-            update = _solve(products, grams[0] * grams[other], scaling)
+        shared = None
+        for mode in range(3):
+            others = [m for m in range(3) if m != mode]
+            products = source.products(mode, factors, shared)
+            update = _solve(products, grams[others[0]] * grams[others[1]], scaling)
             factors[mode], grams[mode] = update.factor, update.gram
+            if mode == 0:
+                shared = source.share(factors)
         weights = update.norms
         if not math.isfinite(weights[0]):
             return None
         model_squares = abs(float(weights @ (grams[0] * grams[1] * grams[2]) @ weights))
-        residue = math.sqrt(max(prepared.squares - 2.0 * float(weights @ update.inner) + model_squares, 0.0))
+        residue = math.sqrt(max(source.squares - 2.0 * float(weights @ update.inner) + model_squares, 0.0))
         before, now = now, (residue / size if size else 0.0)
         errors.append(now)
         if tolerance is None:

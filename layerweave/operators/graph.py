@@ -102,12 +102,13 @@ def transition_edges(edges: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
     return spread_join(edges, degrees, [*by, "src"], [F.col("dst")], hot)
 
 
-class _Walk:
+class Walk:
     """The repeated step of all PageRank forms: send each rank along the weighted edges."""
 
-    def __init__(self, edges: DataFrame, by: Sequence[str], tags: Sequence[str] = ()):
+    def __init__(self, weighted: DataFrame, by: Sequence[str], tags: Sequence[str] = ()):
+        """``weighted`` holds ``by..., src, dst, weight``."""
         self.by, self.tags = list(by), list(tags)
-        self.edges = cut_lineage(transition_edges(edges, by))
+        self.edges = cut_lineage(weighted.select(*by, "src", "dst", "weight"))
         self.hot = hot_keys(self.edges, [*by, "src"], self.edges.count())
 
     def step(self, ranks: DataFrame, base: DataFrame, damping: float) -> DataFrame:
@@ -119,6 +120,14 @@ class _Walk:
         arrivals = sent.select(*keys, (F.lit(damping) * F.col("rank") * F.col("weight")).alias("rank"))
         return arrivals.unionByName(base).groupBy(*self.by, *self.tags, "id").agg(F.sum("rank").alias("rank"))
 
+    def rounds(self, ranks: DataFrame, base: DataFrame, reset: float, iterations: int, cut_every: int) -> DataFrame:
+        """Between two cuts the rounds are one plan; per round only ranks and pre-added arrivals shuffle."""
+        for done in range(1, iterations + 1):
+            ranks = self.step(ranks, base, 1.0 - reset)
+            if done % cut_every == 0 and done < iterations:
+                ranks = cut_lineage(ranks)
+        return ranks
+
 
 def _scaled(ranks: DataFrame, by: Sequence[str], total: Column) -> DataFrame:
     """Scale the ranks of each group so that they add up to ``total`` (an aggregate)."""
@@ -137,18 +146,10 @@ def pagerank(
     by: Sequence[str] = LAYER,
     cut_every: int = 5,
 ) -> DataFrame:
-    """PageRank with a fixed number of rounds: ``by..., id, rank``, ranks of a group add up to N.
-
-    Between two cuts the rounds are one plan; per round only ranks and pre-added arrivals shuffle.
-    """
-    walk = _Walk(edges, by)
+    """PageRank with a fixed number of rounds: ``by..., id, rank``, ranks of a group add up to N."""
     nodes = cut_lineage(vertices.select(*by, "id").distinct())
-    base = nodes.withColumn("rank", F.lit(float(reset)))
-    ranks = nodes.withColumn("rank", F.lit(1.0))
-    for done in range(1, iterations + 1):
-        ranks = walk.step(ranks, base, 1.0 - reset)
-        if done % cut_every == 0 and done < iterations:
-            ranks = cut_lineage(ranks)
+    base, ranks = nodes.withColumn("rank", F.lit(float(reset))), nodes.withColumn("rank", F.lit(1.0))
+    ranks = Walk(transition_edges(edges, by), by).rounds(ranks, base, reset, iterations, cut_every)
     return _scaled(ranks, by, F.count(F.lit(1)))
 
 
@@ -161,7 +162,7 @@ def pagerank_until(
     most_rounds: int = 200,
 ) -> DataFrame:
     """PageRank until no rank moves by more than ``tolerance``."""
-    walk = _Walk(edges, by)
+    walk = Walk(transition_edges(edges, by), by)
     nodes = cut_lineage(vertices.select(*by, "id").distinct())
     base = nodes.withColumn("rank", F.lit(float(reset)))
     ranks = nodes.withColumn("rank", F.lit(1.0))
@@ -187,14 +188,9 @@ def personalized_pagerank(
 
     ``sources`` holds ``by..., id``.  Only vertices that a source reaches are kept.
     """
-    walk = _Walk(edges, by, ["source"])
     start = cut_lineage(sources.select(*by, F.col("id").alias("source"), "id").distinct())
-    base = start.withColumn("rank", F.lit(float(reset)))
-    ranks = start.withColumn("rank", F.lit(1.0))
-    for done in range(1, iterations + 1):
-        ranks = walk.step(ranks, base, 1.0 - reset)
-        if done % cut_every == 0 and done < iterations:
-            ranks = cut_lineage(ranks)
+    base, ranks = start.withColumn("rank", F.lit(float(reset))), start.withColumn("rank", F.lit(1.0))
+    ranks = Walk(transition_edges(edges, by), by, ["source"]).rounds(ranks, base, reset, iterations, cut_every)
     return _scaled(ranks, [*by, "source"], F.lit(1.0)).select(*by, "source", "id", "rank")
 
 
