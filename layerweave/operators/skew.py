@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerweave.session import cut_lineage
+
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS
 # hot keys however large the table is: the table of hot keys is always small enough to broadcast.
 HOT_KEYS = 2048
@@ -14,18 +16,22 @@ HOT_KEYS = 2048
 TASK_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], total: int, task_rows: int = TASK_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], total: int, task_rows: int | None = None) -> DataFrame | None:
     """``keys..., splits`` for every key whose rows do not fit one task; None when there is none.
 
-    Counts are combined map-side, so a hot key costs one row per map task.
+    Counts are combined map-side, so a hot key costs one row per map task.  The few rows found are
+    kept, because joins in a loop ask for them again and again.
     """
+    task_rows = TASK_ROWS if task_rows is None else task_rows
     if total <= task_rows:
         return None
     limit = max(task_rows, -(-total // HOT_KEYS))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > F.lit(limit)).select(
+    found = counts.filter(F.col("_rows") > F.lit(limit)).select(
         *keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("splits")
     )
+    found = cut_lineage(found)
+    return None if found.isEmpty() else found
 
 
 def with_salt(big: DataFrame, keys: Sequence[str], spread: Sequence[Column], hot: DataFrame) -> DataFrame:
