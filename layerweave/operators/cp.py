@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerweave.operators import tensor as T
-from layerweave.operators.skew import hot_keys
+from layerweave.operators.skew import HotKeys
 from layerweave.operators.tensor import Factor, Tensor
-from layerweave.session import cut_lineage
+from layerweave.session import cut_lineage, keep_table
 
 
 @dataclass(frozen=True)
@@ -66,18 +66,18 @@ class CPModel:
 class CellSource:
     """Products of a tensor that is stored as cells.
 
-    The cells are kept in reliable storage; indexes too crowded for one task are found once.
+    The cells are kept in reliable storage; indexes too crowded for one task are found once, if at all.
     """
 
     def __init__(self, tensor: Tensor, rank: int):
-        self.tensor = replace(tensor, cells=cut_lineage(tensor.cells.select(*tensor.modes, "value")))
+        self.tensor = replace(tensor, cells=keep_table(tensor.cells.select(*tensor.modes, "value")))
         self.shape = tensor.shape
         row = self.tensor.cells.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("value")).alias("s"),
             F.approx_count_distinct(F.struct(*tensor.modes[1:])).alias("fibres"),
         ).first()
         self.squares = row["s"] or 0.0
-        self.hot = [hot_keys(self.tensor.cells, [m], row["n"]) for m in tensor.modes]
+        self.hot = [HotKeys(self.tensor.cells, [m], row["n"]) for m in tensor.modes]
         # Modes 1 and 2 share one pass over the cells when summing out mode 0 shrinks the table.
         self.shares = row["fibres"] * rank <= 2 * row["n"]
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from layerweave.operators.layers import fit_edges
 from layerweave.operators.ordering import dense_index
-from layerweave.operators.skew import hot_keys, spread_join
-from layerweave.session import cut_lineage
+from layerweave.operators.skew import HotKeys, fits_broadcast, spread_join
+from layerweave.session import cut_lineage, keep_table
 
 LAYER = ("layer",)
 
@@ -76,12 +76,15 @@ def edge_pattern(graph: LayerGraph, attributes: Sequence[str], layers: Sequence[
     vertices, edges = graph.vertices, graph.edges
     if layers is not None:
         vertices, edges = vertices.filter(F.col("layer").isin(*layers)), edges.filter(F.col("layer").isin(*layers))
-    def end(name: str) -> DataFrame:
-        return vertices.select("layer", F.col("id").alias(name), *[F.col(a).alias(f"{name}_{a}") for a in attributes])
+    rows = vertices.count()
+    if not fits_broadcast(rows, 2 + len(attributes)):
+        edges = keep_table(edges)
 
-    # Each end is joined straight from the edge table, so AQE can split an end that a third of
-    # the edges share.
-    return edges.join(end("src"), ["layer", "src"]).join(end("dst"), ["layer", "dst"])
+    def with_end(df: DataFrame, name: str, other: str) -> DataFrame:
+        end = vertices.select("layer", F.col("id").alias(name), *[F.col(a).alias(f"{name}_{a}") for a in attributes])
+        return spread_join(df, end, ["layer", name], [F.col(other)], HotKeys(edges, ["layer", name]), rows)
+
+    return with_end(with_end(edges, "src", "dst"), "dst", "src")
 
 
 def indexed_edges(graph: LayerGraph, weight: str = "fit") -> tuple[DataFrame, DataFrame]:
@@ -90,43 +93,86 @@ def indexed_edges(graph: LayerGraph, weight: str = "fit") -> tuple[DataFrame, Da
     cells = adjacency(graph.edges, weight)
     rows = index.select(F.col("id").alias("src"), F.col("idx").alias("i"))
     columns = index.select(F.col("id").alias("dst"), F.col("idx").alias("j"))
-    cells = cells.join(rows, "src").join(columns, "dst")
+    total = index.count()
+    if not fits_broadcast(total, 2):
+        cells = keep_table(cells)
+    cells = spread_join(cells, rows, ["src"], [F.col("dst")], HotKeys(cells, ["src"]), total)
+    cells = spread_join(cells, columns, ["dst"], [F.col("src")], HotKeys(cells, ["dst"]), total)
     return cells.select("layer", "i", "j", F.col(weight).alias("value")), index
 
 
+def out_weights(edges: DataFrame, by: Sequence[str] = LAYER, into: str = "src") -> DataFrame:
+    """``by..., {into}, weight``: 1 / out-degree of every source."""
+    return edges.groupBy(*by, F.col("src").alias(into)).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+
+
 def transition_edges(edges: DataFrame, by: Sequence[str] = LAYER) -> DataFrame:
-    """Edges with ``weight`` = 1 / out-degree of their source, kept in reliable storage."""
-    edges = cut_lineage(edges.select(*by, "src", "dst"))
-    degrees = edges.groupBy(*by, "src").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    hot = hot_keys(edges, [*by, "src"], edges.count())
-    return spread_join(edges, degrees, [*by, "src"], [F.col("dst")], hot)
+    """Edges with ``weight`` = 1 / out-degree of their source."""
+    edges = keep_table(edges.select(*by, "src", "dst"))
+    weights = cut_lineage(out_weights(edges, by))
+    return spread_join(edges, weights, [*by, "src"], [F.col("dst")], HotKeys(edges, [*by, "src"]), weights.count())
 
 
 class Walk:
-    """The repeated step of all PageRank forms: send each rank along the weighted edges."""
+    """The repeated step of all PageRank forms: send each rank along the edges.
 
-    def __init__(self, weighted: DataFrame, by: Sequence[str], tags: Sequence[str] = ()):
-        """``weighted`` holds ``by..., src, dst, weight``."""
-        self.by, self.tags = list(by), list(tags)
-        self.edges = cut_lineage(weighted.select(*by, "src", "dst", "weight"))
-        self.hot = hot_keys(self.edges, [*by, "src"], self.edges.count())
+    Edges are stored once.  What a vertex sends per edge travels with its rank, so a round is one
+    join with the edges and one aggregate, in which arrivals are added up before the shuffle.
+    """
+
+    def __init__(
+        self, edges: DataFrame, by: Sequence[str], tags: Sequence[str] = (), copies: str | None = None,
+        weights: DataFrame | None = None,
+    ):
+        """``copies`` names a column that says how many parallel edges a row stands for; ``weights``
+        (``by..., id, weight``) then tells what a vertex sends along one of them."""
+        self.by, self.tags, self.copies = list(by), list(tags), copies
+        self.edges = keep_table(edges.select(*by, "src", "dst", *([copies] if copies else [])))
+        self.hot = HotKeys(self.edges, [*by, "src"])
+        self.weights = cut_lineage(out_weights(self.edges, by, "id") if weights is None else weights)
+        self.sources = self.weights.count()
+        self.walks = 1
 
     def step(self, ranks: DataFrame, base: DataFrame, damping: float) -> DataFrame:
-        """``base`` holds what every vertex gets anyway; arrivals are added in the same aggregate."""
-        sent = spread_join(
-            self.edges, ranks.withColumnRenamed("id", "src"), [*self.by, "src"], [F.col("dst")], self.hot
+        """``ranks`` and ``base`` hold ``by..., tags..., id, rank, weight``; ``base`` is what each vertex gets anyway."""
+        senders = ranks.filter(F.col("weight").isNotNull())
+        each = F.lit(damping) * F.col("rank") * F.col("weight")
+        senders = senders.select(*self.by, *self.tags, F.col("id").alias("src"), each.alias("each"))
+        sent = spread_join(self.edges, senders, [*self.by, "src"], [F.col("dst")], self.hot, self.sources * self.walks)
+        amount = F.col("each") * F.col(self.copies) if self.copies else F.col("each")
+        arrivals = sent.select(
+            *self.by, *self.tags, F.col("dst").alias("id"), amount.alias("rank"), F.lit(None).cast("double").alias("weight")
+        )
+        columns = [*self.by, *self.tags, "id", "rank", "weight"]
+        return arrivals.unionByName(base.select(*columns)).groupBy(*self.by, *self.tags, "id").agg(
+            F.sum("rank").alias("rank"), F.max("weight").alias("weight")
         )
-        keys = [*self.by, *self.tags, F.col("dst").alias("id")]
-        arrivals = sent.select(*keys, (F.lit(damping) * F.col("rank") * F.col("weight")).alias("rank"))
-        return arrivals.unionByName(base).groupBy(*self.by, *self.tags, "id").agg(F.sum("rank").alias("rank"))
 
-    def rounds(self, ranks: DataFrame, base: DataFrame, reset: float, iterations: int, cut_every: int) -> DataFrame:
-        """Between two cuts the rounds are one plan; per round only ranks and pre-added arrivals shuffle."""
+    def weighted(self, vertices: DataFrame, rank: float) -> DataFrame:
+        """Every vertex with a starting rank and what it sends per edge (NULL without edges)."""
+        return vertices.join(self.weights, [*self.by, "id"], "left").withColumn("rank", F.lit(float(rank)))
+
+    def rounds(self, vertices: DataFrame, reset: float, iterations: int, cut_every: int) -> DataFrame:
+        """Between two cuts the rounds are one plan."""
+        nodes = cut_lineage(self.weighted(vertices, reset))
+        ranks = nodes.withColumn("rank", F.lit(1.0))
         for done in range(1, iterations + 1):
-            ranks = self.step(ranks, base, 1.0 - reset)
+            ranks = self.step(ranks, nodes, 1.0 - reset)
             if done % cut_every == 0 and done < iterations:
                 ranks = cut_lineage(ranks)
-        return ranks
+        return ranks.drop("weight")
+
+    def spread_out(self, start: DataFrame, reset: float, iterations: int, cut_every: int) -> DataFrame:
+        """Rounds in which only the starting vertices get the reset, one walk per tag."""
+        base = cut_lineage(start.withColumns({"rank": F.lit(float(reset)), "weight": F.lit(None).cast("double")}))
+        self.walks = base.count()
+        ranks = self.weighted(base.drop("rank", "weight"), 1.0)
+        for done in range(1, iterations + 1):
+            moved = self.step(ranks, base, 1.0 - reset).drop("weight")
+            ranks = moved.join(self.weights, [*self.by, "id"], "left")
+            if done % cut_every == 0 and done < iterations:
+                ranks = cut_lineage(ranks)
+        return ranks.drop("weight")
 
 
 def _scaled(ranks: DataFrame, by: Sequence[str], total: Column) -> DataFrame:
@@ -144,12 +190,10 @@ def pagerank(
     iterations: int = 10,
     reset: float = 0.15,
     by: Sequence[str] = LAYER,
-    cut_every: int = 5,
+    cut_every: int = 1,
 ) -> DataFrame:
     """PageRank with a fixed number of rounds: ``by..., id, rank``, ranks of a group add up to N."""
-    nodes = cut_lineage(vertices.select(*by, "id").distinct())
-    base, ranks = nodes.withColumn("rank", F.lit(float(reset))), nodes.withColumn("rank", F.lit(1.0))
-    ranks = Walk(transition_edges(edges, by), by).rounds(ranks, base, reset, iterations, cut_every)
+    ranks = Walk(edges, by).rounds(vertices.select(*by, "id").distinct(), reset, iterations, cut_every)
     return _scaled(ranks, by, F.count(F.lit(1)))
 
 
@@ -162,18 +206,17 @@ def pagerank_until(
     most_rounds: int = 200,
 ) -> DataFrame:
     """PageRank until no rank moves by more than ``tolerance``."""
-    walk = Walk(transition_edges(edges, by), by)
-    nodes = cut_lineage(vertices.select(*by, "id").distinct())
-    base = nodes.withColumn("rank", F.lit(float(reset)))
-    ranks = nodes.withColumn("rank", F.lit(1.0))
+    walk = Walk(edges, by)
+    base = cut_lineage(walk.weighted(vertices.select(*by, "id").distinct(), reset))
+    ranks = base.withColumn("rank", F.lit(1.0))
     for _ in range(most_rounds):
         latest = cut_lineage(walk.step(ranks, base, 1.0 - reset))
-        before = ranks.withColumnRenamed("rank", "_before")
+        before = ranks.select(*by, "id", F.col("rank").alias("_before"))
         moved = latest.join(before, [*by, "id"]).agg(F.max(F.abs(F.col("rank") - F.col("_before"))).alias("d")).first()["d"]
         ranks = latest
         if moved is None or moved <= tolerance:
             break
-    return _scaled(ranks, by, F.count(F.lit(1)))
+    return _scaled(ranks.drop("weight"), by, F.count(F.lit(1)))
 
 
 def personalized_pagerank(
@@ -182,15 +225,14 @@ def personalized_pagerank(
     iterations: int = 10,
     reset: float = 0.15,
     by: Sequence[str] = LAYER,
-    cut_every: int = 5,
+    cut_every: int = 1,
 ) -> DataFrame:
     """PageRank seen from each source: ``by..., source, id, rank``; ranks of a source add up to 1.
 
     ``sources`` holds ``by..., id``.  Only vertices that a source reaches are kept.
     """
-    start = cut_lineage(sources.select(*by, F.col("id").alias("source"), "id").distinct())
-    base, ranks = start.withColumn("rank", F.lit(float(reset))), start.withColumn("rank", F.lit(1.0))
-    ranks = Walk(transition_edges(edges, by), by, ["source"]).rounds(ranks, base, reset, iterations, cut_every)
+    start = sources.select(*by, F.col("id").alias("source"), "id").distinct()
+    ranks = Walk(edges, by, ["source"]).spread_out(start, reset, iterations, cut_every)
     return _scaled(ranks, [*by, "source"], F.lit(1.0)).select(*by, "source", "id", "rank")
 
 
@@ -215,23 +257,29 @@ def connected_components(
     """
     keys = [*by, "u"]
     smaller, larger = F.least("src", "dst"), F.greatest("src", "dst")
-    pairs = cut_lineage(
+    pairs = keep_table(
         edges.filter(F.col("src") != F.col("dst")).select(*by, larger.alias("u"), smaller.alias("v")).distinct()
     )
 
-    def fingerprint(df: DataFrame):
-        mark = F.xxhash64(*by, "u", "v").cast("decimal(38,0)")
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark")).first()
-        return row["n"], row["mark"]
+    def settled(df: DataFrame) -> tuple[bool, int, int]:
+        """Whether every vertex points at one root that points nowhere; pairs; vertices."""
+        ends = df.select(*by, F.explode(F.array(
+            F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")),
+        )).alias("end"))
+        seen = ends.groupBy(*by, F.col("end.x")).agg(F.sum("end.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        wrong = (F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("n") > 1))
+        row = seen.agg(F.coalesce(F.max(wrong.cast("int")), F.lit(0)).alias("wrong"), F.sum("ups").alias("rows"), F.count(F.lit(1)).alias("nodes")).first()
+        return row["wrong"] == 0, row["rows"] or 0, row["nodes"]
 
     def towards_minimum(df: DataFrame, rows: int) -> DataFrame:
         """Add ``m``: the smallest neighbour of ``u`` or ``u`` itself."""
         lowest = df.groupBy(*keys).agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return spread_join(df, lowest, keys, [F.col("v")], hot_keys(df, keys, rows))
+        return spread_join(df, lowest, keys, [F.col("v")], HotKeys(df, keys, rows), nodes)
 
-    state = fingerprint(pairs)
+    done, count, nodes = settled(pairs)
     for _ in range(most_rounds):
-        count = state[0]
+        if done:
+            break
         both = pairs.unionByName(pairs.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             towards_minimum(both, 2 * count).filter(F.col("v") > F.col("u"))
@@ -242,11 +290,8 @@ def connected_components(
         rewired = small.filter(F.col("v") != F.col("m")).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
         own = large.groupBy(*keys).agg(F.min("v").alias("v"))
         pairs = cut_lineage(rewired.unionByName(own).distinct())
-        latest = fingerprint(pairs)
-        if latest == state:
-            break
-        state = latest
-    else:
+        done, count, _ = settled(pairs)
+    if not done:
         raise RuntimeError("components did not settle")
     roots = pairs.select(*by, F.col("u").alias("id"), F.col("v").alias("_root"))
     return vertices.select(*by, "id").join(roots, [*by, "id"], "left").select(

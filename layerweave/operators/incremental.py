@@ -19,9 +19,9 @@ from layerweave.functions.hashing import md5_uniform
 from layerweave.operators import tensor as T
 from layerweave.operators.cp import CPModel, cp_als
 from layerweave.operators.ordering import dense_index
-from layerweave.operators.skew import hot_keys, spread_join
+from layerweave.operators.skew import HotKeys, spread_join
 from layerweave.operators.tensor import Factor, Tensor
-from layerweave.session import BROADCAST_BYTES, cut_lineage
+from layerweave.session import cut_lineage, keep_table
 
 # Fixed value: entries below this are zero.
 EPSILON = 1e-7
@@ -64,11 +64,8 @@ def restrict(tensor: Tensor, maps: Sequence[DataFrame | None], sizes: Sequence[i
             continue
         column = tensor.modes[mode]
         pairs = chosen.select(F.col("idx").alias(column), F.col("new").alias("_new"))
-        if 16 * sizes[mode] <= BROADCAST_BYTES:
-            cells = cells.join(F.broadcast(pairs), column)
-        else:
-            hot = hot_keys(cells, [column], cells.count())
-            cells = spread_join(cells, pairs, [column], [F.col(m) for m in T.without(tensor.modes, mode)], hot)
+        spread = [F.col(m) for m in T.without(tensor.modes, mode)]
+        cells = spread_join(cells, pairs, [column], spread, HotKeys(cells, [column]), sizes[mode])
         cells = cells.withColumn(column, F.col("_new")).drop("_new")
     return Tensor(cells.select(*tensor.modes, "value"), tuple(sizes), tensor.modes)
 
@@ -193,8 +190,8 @@ class IncrementalCP:
         tensor, mode, rank = self.tensor, self.mode, self.model.rank
         if T.without(tensor.shape, mode) != T.without(slices.shape, mode):
             raise ValueError(f"slices {slices.shape} do not fit {tensor.shape}")
-        known = replace(tensor, cells=cut_lineage(tensor.cells))
-        slices = replace(slices, cells=cut_lineage(slices.cells.select(*slices.modes, "value")))
+        known = replace(tensor, cells=keep_table(tensor.cells))
+        slices = replace(slices, cells=keep_table(slices.cells.select(*slices.modes, "value")))
         batch = slices.shape[mode]
         factors = list(self.model.factors)
         collected: list[DataFrame] = []

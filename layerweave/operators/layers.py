@@ -15,9 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.operators.skew import block_join
+from layerweave.operators.skew import block_join, fits_broadcast
+from layerweave.session import cut_lineage
 
 UP, DOWN, BOTH = "up", "down", "both"
+# Candidate pairs that one task should meet.
+PAIRS_PER_TASK = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -115,11 +118,27 @@ def partner_bins(z: Column, rule: LayerRule, bins: Bins) -> Column:
     return arrays[0] if len(arrays) == 1 else F.array_distinct(F.concat(*arrays))
 
 
+def _crowded_bins(sources: DataFrame, targets: DataFrame, block_rows: int) -> DataFrame:
+    """Blocks per (layer, bin) that is too full on either side: at most layers x bins rows."""
+    target_rows = targets.groupBy("layer", "_bin").agg(F.count(F.lit(1)).alias("_targets"))
+    source_rows = (
+        sources.groupBy("layer", "_bins").agg(F.count(F.lit(1)).alias("_n"))
+        .select("layer", F.explode("_bins").alias("_bin"), "_n")
+        .groupBy("layer", "_bin").agg(F.sum("_n").alias("_sources"))
+    )
+    blocks = target_rows.join(source_rows, ["layer", "_bin"]).select(
+        "layer", "_bin",
+        F.ceil(F.col("_sources") / F.lit(block_rows)).cast("int").alias("_left_blocks"),
+        F.ceil(F.col("_targets") / F.lit(block_rows)).cast("int").alias("_right_blocks"),
+    )
+    return cut_lineage(blocks.filter((F.col("_left_blocks") > 1) | (F.col("_right_blocks") > 1)))
+
+
 def layer_edges(
     people: DataFrame,
     rules: dict[str, LayerRule] | None = None,
     bins: Bins | None = None,
-    block_rows: int = 4096,
+    block_rows: int = 16_384,
 ) -> DataFrame:
     """All edges of all layers in one join: ``layer, src, dst, src_z, dst_z``.
 
@@ -127,8 +146,8 @@ def layer_edges(
     one bin (that of its second member), so nothing has to be made distinct afterwards.
     """
     people = people.select("layer", "id", "z").filter(F.col("z").isNotNull())
-    if bins is None:
-        bins, _ = choose_bins(people)
+    chosen, rows = choose_bins(people)
+    bins = bins or chosen
     if rules is None:
         rules = {row["layer"]: rule_for(row["layer"]) for row in people.select("layer").distinct().collect()}
 
@@ -147,20 +166,11 @@ def layer_edges(
     targets = people.select(
         "layer", F.col("id").alias("dst"), F.col("z").alias("dst_z"), bins.of(F.col("z")).alias("_bin")
     )
-    # Rows per (layer, bin) on both sides: layers x bins rows, whatever the number of people.
-    target_rows = targets.groupBy("layer", "_bin").agg(F.count(F.lit(1)).alias("_targets"))
-    source_rows = (
-        sources.groupBy("layer", "_bins").agg(F.count(F.lit(1)).alias("_n"))
-        .select("layer", F.explode("_bins").alias("_bin"), "_n")
-        .groupBy("layer", "_bin").agg(F.sum("_n").alias("_sources"))
-    )
-    blocks = target_rows.join(source_rows, ["layer", "_bin"]).select(
-        "layer", "_bin",
-        F.ceil(F.col("_sources") / F.lit(block_rows)).cast("int").alias("_left_blocks"),
-        F.ceil(F.col("_targets") / F.lit(block_rows)).cast("int").alias("_right_blocks"),
-    )
-    left = sources.select("layer", "src", "src_z", F.explode("_bins").alias("_bin"))
-    pairs = block_join(left, targets, ["layer", "_bin"], [F.col("src")], [F.col("dst")], blocks)
+    blocks = _crowded_bins(sources, targets, block_rows) if rows > block_rows and not fits_broadcast(rows, 4) else None
+    # The output is a share of rows²: the tasks are sized by it, not by the few bytes that go in.
+    tasks = int(max(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows, rows * rows // PAIRS_PER_TASK)))
+    left = sources.repartition(tasks, "src").select("layer", "src", "src_z", F.explode("_bins").alias("_bin"))
+    pairs = block_join(left, targets, ["layer", "_bin"], [F.col("src")], [F.col("dst")], blocks, rows, tasks)
     match = by_layer(lambda rule: rule.holds(F.col("src_z"), F.col("dst_z")), F.lit(False))
     return pairs.filter(match & (F.col("src") != F.col("dst"))).select("layer", "src", "dst", "src_z", "dst_z")
 

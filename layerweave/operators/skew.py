@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerweave import session
 from layerweave.session import cut_lineage
 
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS
@@ -54,23 +56,47 @@ def for_each_salt(small: DataFrame, keys: Sequence[str], hot: DataFrame) -> Data
     )
 
 
+class HotKeys:
+    """The hot keys of a table, looked for only when a join turns out to need them."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], rows: int | None = None):
+        self.df, self.keys, self.rows = df, list(keys), rows
+
+    @cached_property
+    def table(self) -> DataFrame | None:
+        rows = self.df.count() if self.rows is None else self.rows
+        return hot_keys(self.df, self.keys, rows)
+
+
+def fits_broadcast(rows: int | None, columns: int) -> bool:
+    """Whether so many rows of so many columns stay below the broadcast limit, generously counted."""
+    return rows is not None and rows * (32 + 24 * columns) <= session.BROADCAST_BYTES
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     spread: Sequence[Column],
-    hot: DataFrame | None,
+    hot: HotKeys,
+    small_rows: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """Join ``big`` with ``small``; rows of a hot key are spread over ``splits`` groups.
+    """Join ``big`` with ``small``, which holds one or few rows per key.
 
-    ``spread`` are columns of ``big`` that tell its rows apart within a key.  ``small`` holds one
-    or few rows per key and is copied once per group.  ``how`` may be inner or left (big side).
+    ``small_rows`` is a known bound of its size: below the broadcast limit ``small`` goes to every
+    task and ``big`` does not move.  Beyond it both sides shuffle, and the rows of a hot key are
+    spread over ``splits`` groups by the columns ``spread``, with one copy of its ``small`` rows per
+    group.  The planner never gets to choose: it would take the compressed size of ``big`` for its
+    size and broadcast that.  ``how`` may be inner or left (big side).
     """
-    if hot is None:
-        return big.join(small, list(keys), how)
-    left, right = with_salt(big, keys, spread, hot), for_each_salt(small, keys, hot)
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    if fits_broadcast(small_rows, len(small.columns)):
+        return big.join(F.broadcast(small), list(keys), how)
+    table = hot.table
+    if table is None:
+        return big.join(small.hint("merge"), list(keys), how)
+    left, right = with_salt(big, keys, spread, table), for_each_salt(small, keys, table)
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def key_blocks(
@@ -99,15 +125,26 @@ def block_join(
     left_spread: Sequence[Column],
     right_spread: Sequence[Column],
     blocks: DataFrame | None,
+    right_rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Many-to-many equi-join in which a crowded key becomes a grid of tasks.
 
     Each side of such a key is cut into blocks and copied once per block of the other side, so
     every pair still meets exactly once and no task sees more than one block of either side.
-    ``blocks`` must be bounded: one row per crowded key (see ``key_blocks``) or per bin.
+    ``blocks`` must be bounded: one row per crowded key (see ``key_blocks``) or per bin.  A right
+    side whose known size is below the broadcast limit goes to every task instead; the caller has
+    then spread ``left``.  ``tasks`` fixes the number of tasks of the shuffle form, for joins whose
+    output is far larger than the input by which adaptive execution would merge partitions.
     """
+    if fits_broadcast(right_rows, len(right.columns)):
+        return left.join(F.broadcast(right), list(keys))
+
+    def placed(side: DataFrame, on: Sequence[str]) -> DataFrame:
+        return side.repartition(tasks, *on) if tasks else side
+
     if blocks is None:
-        return left.join(right, list(keys))
+        return placed(left, keys).join(placed(right, keys).hint("merge"), list(keys))
     blocks = F.broadcast(blocks)
 
     def cut(side: DataFrame, own: str, own_block: str, other: str, other_block: str, spread: Sequence[Column]) -> DataFrame:
@@ -121,4 +158,5 @@ def block_join(
 
     a = cut(left, "_left_blocks", "_lb", "_right_blocks", "_rb", left_spread)
     b = cut(right, "_right_blocks", "_rb", "_left_blocks", "_lb", right_spread)
-    return a.join(b, [*keys, "_lb", "_rb"]).drop("_lb", "_rb")
+    grid = [*keys, "_lb", "_rb"]
+    return placed(a, grid).join(placed(b, grid).hint("merge"), grid).drop("_lb", "_rb")

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerweave.functions.hashing import coin, gaussian, uniform
-from layerweave.operators.skew import block_join, hot_keys, key_blocks, spread_join
-from layerweave.session import BROADCAST_BYTES
+from layerweave.operators.skew import HotKeys, block_join, fits_broadcast, key_blocks, spread_join
 
 MODES = ("i", "j", "k")
 
@@ -50,11 +49,6 @@ class Factor:
     def columns(self) -> list[str]:
         return factor_columns(self.rank)
 
-    @property
-    def bytes(self) -> int:
-        """Upper bound of the size: every row present, 8 bytes per number."""
-        return 8 * self.length * (self.rank + 1)
-
     def filled(self) -> DataFrame:
         """All rows, zeros where none is stored."""
         spark = self.rows.sparkSession
@@ -192,10 +186,11 @@ def contract(tensor: Tensor, mode: int, other: Tensor, other_mode: int, block_ro
     right = other.cells.select(
         F.col(other.modes[other_mode]).alias("_c"), *[F.col(m).alias(f"_r{m}") for m in others], F.col("value").alias("_w")
     )
-    blocks = key_blocks(left, right, ["_c"], left.count(), right.count(), block_rows)
+    right_rows = right.count()
+    blocks = None if fits_broadcast(right_rows, 2 + len(others)) else key_blocks(left, right, ["_c"], left.count(), right_rows, block_rows)
     pairs = block_join(
         left, right, ["_c"], [F.col(f"_l{m}") for m in kept] or [F.col("_v")],
-        [F.col(f"_r{m}") for m in others] or [F.col("_w")], blocks,
+        [F.col(f"_r{m}") for m in others] or [F.col("_w")], blocks, right_rows,
     )
     keys = [F.col(f"_l{m}").alias(n) for m, n in zip(kept, names)]
     keys += [F.col(f"_r{m}").alias(n) for m, n in zip(others, names[len(kept):])]
@@ -213,11 +208,9 @@ def contract_vector(tensor: Tensor, mode: int, vector: DataFrame, length: int) -
     column = tensor.modes[mode]
     kept = without(tensor.modes, mode)
     weights = vector.select(F.col("idx").alias(column), F.col("value").alias("_w"))
-    if 16 * length <= BROADCAST_BYTES:
-        joined = tensor.cells.join(F.broadcast(weights), column)
-    else:
-        hot = hot_keys(tensor.cells, [column], tensor.cells.count())
-        joined = spread_join(tensor.cells, weights, [column], [F.col(m) for m in kept], hot)
+    joined = spread_join(
+        tensor.cells, weights, [column], [F.col(m) for m in kept], HotKeys(tensor.cells, [column]), length
+    )
     cells = joined.groupBy(*kept).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
     return Tensor(cells, without(tensor.shape, mode), kept)
 
@@ -316,28 +309,28 @@ def khatri_rao(left: Factor, right: Factor) -> Factor:
     partners = F.sequence(F.lit(0).cast("long"), F.lit(right.length - 1).cast("long"))
     a = left.rows.select(F.col("idx").alias("p"), F.explode(partners).alias("q"), *[F.col(c).alias(f"_{c}") for c in left.columns])
     b = right.rows.withColumnRenamed("idx", "q")
-    b = F.broadcast(b) if right.bytes <= BROADCAST_BYTES else b
+    b = F.broadcast(b) if fits_broadcast(right.length, right.rank + 1) else b.hint("merge")
     products = [(F.col(f"_{c}") * F.col(c)).alias(c) for c in left.columns]
     rows = a.join(b, "q").select((F.col("p") * F.lit(right.length) + F.col("q")).alias("idx"), *products)
     return Factor(rows, left.length * right.length, left.rank)
 
 
 def join_factor(
-    cells: DataFrame, column: str, factor: Factor, prefix: str, spread: Sequence[str], hot: DataFrame | None = None
+    cells: DataFrame, column: str, factor: Factor, prefix: str, spread: Sequence[str], hot: HotKeys | None = None,
+    how: str = "inner",
 ) -> DataFrame:
     """Attach the factor row of an index column as ``{prefix}0..``.
 
-    Broadcast when the factor's size bound allows it, else a shuffle join that spreads hot indexes.
+    Broadcast when the factor's length allows it, else a shuffle join that spreads hot indexes.
     """
     rows = factor.rows.select(
         F.col("idx").alias(column), *[F.col(c).alias(f"{prefix}{r}") for r, c in enumerate(factor.columns)]
     )
-    if factor.bytes <= BROADCAST_BYTES:
-        return cells.join(F.broadcast(rows), column)
-    return spread_join(cells, rows, [column], [F.col(c) for c in spread], hot)
+    hot = hot or HotKeys(cells, [column])
+    return spread_join(cells, rows, [column], [F.col(c) for c in spread], hot, factor.length, how)
 
 
-def mttkrp(tensor: Tensor, factors: Sequence[Factor | None], mode: int, hot: Sequence[DataFrame | None] | None = None) -> Factor:
+def mttkrp(tensor: Tensor, factors: Sequence[Factor | None], mode: int, hot: Sequence[HotKeys] | None = None) -> Factor:
     """Matricised tensor times Khatri-Rao product, all ranks in one pass over the cells.
 
     The shuffle carries one partial row of R sums per index and map task.
@@ -383,12 +376,7 @@ def evaluate(
     joined, prefixes = cells, []
     for n, factor in enumerate(factors):
         column, prefix = modes[n], f"_{modes[n]}_"
-        rows = factor.rows.select(F.col("idx").alias(column), *[F.col(c).alias(f"{prefix}{r}") for r, c in enumerate(factor.columns)])
-        if factor.bytes <= BROADCAST_BYTES:
-            joined = joined.join(F.broadcast(rows), column, "left")
-        else:
-            hot = hot_keys(joined, [column], joined.count())
-            joined = spread_join(joined, rows, [column], [F.col(m) for m in without(modes, n)], hot, "left")
+        joined = join_factor(joined, column, factor, prefix, without(modes, n), how="left")
         prefixes.append(prefix)
     value = F.coalesce(model_value(weights, prefixes), F.lit(0.0))
     return joined.select(*cells.columns, value.alias(name))

@@ -18,13 +18,13 @@ def user_graph(spark, folder) -> G.LayerGraph:
 @query(
     "adjacency_coo",
     f"WITH {USER_EDGES}, idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM users) "
-    "SELECT layer, a.k AS i, b.k AS j, round(avg(fit), 6) AS value FROM edges JOIN idx a ON src = a.id "
+    "SELECT layer, a.k AS i, b.k AS j, avg(fit) AS value FROM edges JOIN idx a ON src = a.id "
     "JOIN idx b ON dst = b.id GROUP BY ALL",
 )
 def adjacency_coo(spark, folder):
     """All layers as one coordinate table over dense vertex indexes."""
     cells, _ = G.indexed_edges(user_graph(spark, folder))
-    return cells.select("layer", "i", "j", F.round("value", 6).alias("value"))
+    return cells.select("layer", "i", "j", "value")
 
 
 def nation_layer(spark, folder):
@@ -68,14 +68,14 @@ def node_strength(spark, folder):
 
 @query(
     "edge_pattern",
-    f"WITH {USER_EDGES} SELECT e.layer, e.src, e.dst, round(fit, 6) AS fit, n.z AS src_z, m.z AS dst_z FROM edges e "
+    f"WITH {USER_EDGES} SELECT e.layer, e.src, e.dst, fit, n.z AS src_z, m.z AS dst_z FROM edges e "
     "JOIN people n ON e.layer = n.layer AND e.src = n.id JOIN people m ON e.layer = m.layer AND e.dst = m.id "
     "WHERE e.layer IN ('OPN', 'NEU')",
 )
 def edge_pattern(spark, folder):
     """Edges of two layers with the scores of both ends."""
     found = G.edge_pattern(user_graph(spark, folder), ["z"], ["OPN", "NEU"])
-    return found.select("layer", "src", "dst", F.round("fit", 6).alias("fit"), "src_z", "dst_z")
+    return found.select("layer", "src", "dst", "fit", "src_z", "dst_z")
 
 
 def _pagerank_sql(edges: str, nodes: str, rounds: int, keys: str = "layer, ") -> str:

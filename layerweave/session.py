@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, app: str = "layerweave", **conf: str) ->
         "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Small tables still split over all cores of one machine.
+        "spark.sql.files.openCostInBytes": str(256 * 1024),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -59,6 +61,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    For large tables that many later steps scan: columnar files are pruned to the columns a step
+    needs and tell the planner their size.  Cuts the lineage like ``cut_lineage``.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that one job writes and reads back."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerweave.operators import graph as G
+from layerweave import session
 from layerweave.operators import skew
 
 
@@ -41,6 +42,7 @@ def test_pagerank_equals_power_iteration_even_with_a_hub(spark, monkeypatch, tas
     if task_rows:
         monkeypatch.setattr(skew, "TASK_ROWS", task_rows)
         monkeypatch.setattr(skew, "HOT_KEYS", 50)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     draw = random.Random(3)
     pairs = [(0, n) for n in range(1, 60)] + [(n, 0) for n in range(1, 60)]
     pairs += [(draw.randrange(60), draw.randrange(60)) for _ in range(60)]
@@ -81,6 +83,7 @@ def test_components_of_chain_star_and_singles(spark, monkeypatch, task_rows):
     if task_rows:
         monkeypatch.setattr(skew, "TASK_ROWS", task_rows)
         monkeypatch.setattr(skew, "HOT_KEYS", 50)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     chain = [(n, n + 1) for n in range(100, 160)]
     star = [(500 + n, 300) for n in range(40)]
     loop = [(900, 900)]
@@ -109,14 +112,16 @@ def test_wide_adjacency_keeps_silent_nodes(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [5, 10**6])
-def test_spread_and_block_joins_equal_plain_joins(spark, hot_rows):
+def test_spread_and_block_joins_equal_plain_joins(spark, monkeypatch, hot_rows):
     big = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20).alias("k"), F.col("id").alias("x"))
     small = spark.range(15).select(F.col("id").alias("k"), (F.col("id") * 10).alias("y"))
-    hot = skew.hot_keys(big, ["k"], 300, hot_rows)
-    assert (hot is None) == (hot_rows > 300)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(skew, "TASK_ROWS", hot_rows)
+    hot = skew.HotKeys(big, ["k"], 300)
+    assert (hot.table is None) == (hot_rows > 300)
     for how in ("inner", "left"):
         want = sorted(map(str, big.join(small, "k", how).select("k", "x", "y").collect()))
-        assert sorted(map(str, skew.spread_join(big, small, ["k"], [F.col("x")], hot, how).select("k", "x", "y").collect())) == want
+        assert sorted(map(str, skew.spread_join(big, small, ["k"], [F.col("x")], hot, 15, how).select("k", "x", "y").collect())) == want
     other = big.select("k", F.col("x").alias("y")).filter("y < 100")
     blocks = skew.key_blocks(big, other, ["k"], 300, 100, hot_rows)
     want = sorted(map(str, big.join(other, "k").select("k", "x", "y").collect()))
