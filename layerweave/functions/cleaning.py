@@ -7,6 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerweave.operators.skew import HotKeys, spread_join
+from layerweave.session import cut_lineage
+
 # Code of an unknown country; names that only an override resolves.
 UNKNOWN_COUNTRY = "ZZZ"
 COUNTRY_OVERRIDES = {"south kor": "KOR", "st lucia": "LCA"}
@@ -116,16 +119,18 @@ def with_country_code(df: DataFrame, column: str, countries: DataFrame, code: st
     )
     whole = (F.col("_start") == 1) & (F.col("_length") == F.length("_name"))
     best = F.min_by("_code", F.struct((~whole).alias("partial"), F.col("_start"), F.col("_code")))
-    lookup = (
+    lookup = cut_lineage(
         parts.withColumn("_text", F.substring(F.col("_name"), F.col("_start"), F.col("_length")))
         .groupBy("_text").agg(best.alias("_found"))
     )
-    text = F.trim(F.lower(F.col(column)))
-    override = code_map(F.col("_text"), COUNTRY_OVERRIDES, UNKNOWN_COUNTRY)
-    return (
-        df.withColumn("_text", text).join(lookup, "_text", "left")
-        .withColumn(code, F.coalesce("_found", override)).drop("_text", "_found")
+    size = lookup.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("text")).first()
+    spoken = df.withColumn("_text", F.trim(F.lower(F.col(column))))
+    others = [F.col(c) for c in df.columns if c != column] or [F.col(column)]
+    found = spread_join(
+        spoken, lookup, ["_text"], others, HotKeys(spoken, ["_text"]), size["rows"], "left", size["text"]
     )
+    override = code_map(F.col("_text"), COUNTRY_OVERRIDES, UNKNOWN_COUNTRY)
+    return found.withColumn(code, F.coalesce("_found", override)).select(*df.columns, code)
 
 
 def clean_item_key(keys: DataFrame, number: str, sign: str) -> DataFrame:

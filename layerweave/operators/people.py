@@ -11,6 +11,8 @@ from layerweave.functions.cleaning import birth_year
 from layerweave.functions.hashing import md5_int
 from layerweave.operators.ordering import dense_index
 from layerweave.operators.scores import FACTORS
+from layerweave.operators.skew import HotKeys, spread_join
+from layerweave.session import cut_lineage
 
 # Topics that suit a high score in each factor.
 TOPICS_OF = {
@@ -35,20 +37,29 @@ def pick_names(people: DataFrame, names: DataFrame, seed: int = 0, id_column: st
     listed = names.select(F.col("year").try_cast("int").alias("_year"), F.col("sex").alias("_sex"), F.col("name").alias("_name"))
     listed = listed.filter(F.col("_year").isNotNull())
     numbered = dense_index(listed, [F.col("_year"), F.col("_sex"), F.col("_name")], "_number", ties=True)
-    stretches = numbered.groupBy("_year", "_sex").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    stretches = cut_lineage(
+        numbered.groupBy("_year", "_sex").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    )
+    size = numbered.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_name")), F.lit(0)).alias("text")).first()
     born = people.withColumn("_year", birth_year(F.col("date"), F.col("age"))).withColumn("_sex", F.col("sex"))
-    drawn = born.join(stretches, ["_year", "_sex"]).withColumn(
+    group, own = ["_year", "_sex"], [F.col(id_column)]
+    drawn = spread_join(born, stretches, group, own, HotKeys(born, group), stretches.count()).withColumn(
         "_number", F.col("_first") + F.pmod(md5_int(F.col(id_column), F.lit(seed)), F.col("_size"))
     )
-    found = drawn.join(numbered.select("_number", F.col("_name").alias("name")), "_number")
+    listed = numbered.select("_number", F.col("_name").alias("name"))
+    found = spread_join(
+        drawn, listed, ["_number"], own, HotKeys(drawn, ["_number"]), size["rows"], text_bytes=size["text"]
+    )
     return found.select(id_column, "name", *[c for c in people.columns if c not in (id_column, "name")])
 
 
-def topic_list(goals: DataFrame) -> dict[str, int]:
-    """Number of goals per topic of the topic map; other topics are never drawn from."""
+def topic_list(goals: DataFrame) -> tuple[dict[str, int], int]:
+    """Number of goals per topic of the topic map (others are never drawn from), and bytes of all texts."""
     wanted = sorted({t for topics in TOPICS_OF.values() for t in topics})
-    counts = goals.filter(F.col("topic").isin(*wanted)).groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {row["topic"]: row["n"] for row in counts}
+    counts = goals.filter(F.col("topic").isin(*wanted)).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("goal") + F.octet_length("topic")).alias("bytes")
+    ).collect()
+    return {row["topic"]: row["n"] for row in counts}, sum(row["bytes"] or 0 for row in counts)
 
 
 def chosen_factors(quintiles: Mapping[str, Column], invert: Sequence[str] = ()) -> Column:
@@ -95,7 +106,7 @@ def assign_goals(
     are fetched by (topic, position), so a person is one to ``most`` narrow rows and never a copy of
     the goal list.
     """
-    sizes = topic_list(goals)
+    sizes, text = topic_list(goals)
     topics = sorted(sizes)
     size_of = F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(sizes[t]).cast("long"))]) if topics else None
     if size_of is None:
@@ -128,7 +139,9 @@ def assign_goals(
         first[t], total = total, total + sizes[t]
     first_of = F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(first[t]).cast("long"))])
     listed = listed.select("topic", (F.col("_number") - first_of[F.col("topic")]).alias("_position"), "goal")
-    got = wanted.join(listed, ["topic", "_position"]).groupBy(id_column).agg(
+    place = ["topic", "_position"]
+    got = spread_join(wanted, listed, place, [F.col(id_column)], HotKeys(wanted, place), total, text_bytes=text)
+    got = got.groupBy(id_column).agg(
         # At most ``most`` members per person: a bounded list.
         F.transform(F.array_sort(F.collect_list(F.struct("topic", "_position", "goal"))), lambda x: x["goal"]).alias("goals")
     )

@@ -68,9 +68,9 @@ class HotKeys:
         return hot_keys(self.df, self.keys, rows)
 
 
-def fits_broadcast(rows: int | None, columns: int) -> bool:
-    """Whether so many rows of so many columns stay below the broadcast limit, generously counted."""
-    return rows is not None and rows * (32 + 24 * columns) <= session.BROADCAST_BYTES
+def fits_broadcast(rows: int | None, columns: int, text_bytes: int = 0) -> bool:
+    """Whether so many rows of so many columns, and so much text, stay below the broadcast limit."""
+    return rows is not None and rows * (32 + 24 * columns) + text_bytes <= session.BROADCAST_BYTES
 
 
 def spread_join(
@@ -81,16 +81,17 @@ def spread_join(
     hot: HotKeys,
     small_rows: int | None = None,
     how: str = "inner",
+    text_bytes: int = 0,
 ) -> DataFrame:
     """Join ``big`` with ``small``, which holds one or few rows per key.
 
-    ``small_rows`` is a known bound of its size: below the broadcast limit ``small`` goes to every
+    ``small_rows`` (and ``text_bytes`` for text columns) bound its size: below the broadcast limit ``small`` goes to every
     task and ``big`` does not move.  Beyond it both sides shuffle, and the rows of a hot key are
     spread over ``splits`` groups by the columns ``spread``, with one copy of its ``small`` rows per
     group.  The planner never gets to choose: it would take the compressed size of ``big`` for its
     size and broadcast that.  ``how`` may be inner or left (big side).
     """
-    if fits_broadcast(small_rows, len(small.columns)):
+    if fits_broadcast(small_rows, len(small.columns), text_bytes):
         return big.join(F.broadcast(small), list(keys), how)
     table = hot.table
     if table is None:

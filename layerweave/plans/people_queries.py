@@ -149,6 +149,16 @@ def item_key_cleanup(spark, folder):
     return C.clean_item_key(keys, "short", "sign").select("short", "key", "sign", "adjusted", "facet")
 
 
+@query(
+    "valid_records",
+    "SELECT doc_id AS uuid, toxic FROM labels WHERE quality = 1",
+)
+def valid_records(spark, folder):
+    """The case number becomes the id; rows that are not flagged valid drop out."""
+    records = table(spark, folder, "labels").withColumnsRenamed({"doc_id": "CASE", "quality": "IPC"})
+    return C.valid_records(C.with_person_id(records)).select("uuid", "toxic")
+
+
 # --- names ------------------------------------------------------------------------------------
 
 
