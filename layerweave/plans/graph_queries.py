@@ -219,7 +219,7 @@ def components_trade(spark, folder):
     "ranked_members",
     f"WITH {USER_EDGES}, {_pagerank_sql('edges', 'people', 10)}, scaled AS (SELECT layer, id, "
     f"round(rank * count(*) {_PARTITION} / sum(rank) {_PARTITION}, 6) AS rank FROM r10) "
-    "SELECT layer, id, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY rank DESC, id) AS place FROM scaled) WHERE place <= 10",
+    "SELECT layer, id, rank, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY rank DESC, id) AS place FROM scaled) WHERE place <= 10",
 )
 def ranked_members(spark, folder):
     """The ten best-ranked people of every layer."""
