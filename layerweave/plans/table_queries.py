@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from layerweave.functions import cleaning as C
-from layerweave.operators import graph as G
-from layerweave.operators import layers as L
 from layerweave.operators.ordering import dense_index
 from layerweave.plans.graph_queries import user_graph
 from layerweave.plans.inputs import USER_EDGES

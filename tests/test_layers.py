@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from layerweave import session
 from layerweave.operators import layers as L
