@@ -40,7 +40,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", low=2.0, high=20.0),
     Rule("symbols_per_word", "n_symbols / n_words", high=0.1),
     Rule("stop_word_share", "n_stop_words / n_words", low=0.02),
-    Rule("duplicate_line_share", "n_dup_lines / n_lines", high=0.3),
+    Rule("duplicate_line_share", "n_dup_lines / n_lines", high=0.6),
     Rule("ellipsis_line_share", "n_ellipsis_lines / n_lines", high=0.3),
     Rule("bullet_line_share", "n_bullet_lines / n_lines", high=0.9),
 )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerweave.llm import impact_search, mixing, quality_rules
+from layerweave.llm import byte_bpe, impact_search, mixing, quality_rules, rule_ensemble, toxicity
 from layerweave.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,7 +101,7 @@ counted AS (
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT *, NOT base_failed AND coalesce(n_words >= 20, true)
   AND coalesce(word_chars / nullif(n_words, 0) BETWEEN 2 AND 20, true) AND coalesce(n_symbols / nullif(n_words, 0) <= 0.1::DOUBLE, true)
-  AND coalesce(n_stop_words / nullif(n_words, 0) >= 0.02::DOUBLE, true) AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.3::DOUBLE, true)
+  AND coalesce(n_stop_words / nullif(n_words, 0) >= 0.02::DOUBLE, true) AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.6::DOUBLE, true)
   AND coalesce(n_ellipsis_lines / nullif(n_lines, 0) <= 0.3::DOUBLE, true) AND coalesce(n_bullet_lines / nullif(n_lines, 0) <= 0.9::DOUBLE, true) AS kept
 FROM judged
 """
@@ -109,3 +110,21 @@ FROM judged
 @query("op9_quality_rules", RULES_SQL)
 def quality_rule_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query("op3_byte_bpe")
+def byte_bpe_documents(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return rule_ensemble.classify(docs, rule_ensemble.train(docs, table(spark, folder, "labels")))
+
+
+@query("op6_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, folder, "labels")))
