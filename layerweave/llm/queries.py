@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerweave.llm import byte_bpe, impact_search, mixing, quality_rules, rule_ensemble, toxicity
+from layerweave.llm import byte_bpe, impact_search, line_dedup, mixing, quality_rules, rule_ensemble, toxicity, url_filter
 from layerweave.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,58 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.classify(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+#: Fixed rules of the URL query.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+)
+
+
+@query("op2_url_filter")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+LINES_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM (SELECT DISTINCT doc_id, text FROM documents)),
+lines AS (
+  SELECT doc_id, digest, pos, md5(trim(line, ' ')) AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM cut),
+placed AS (
+  SELECT *, (sum(words) OVER (PARTITION BY doc_id, digest ORDER BY pos) - words)::BIGINT AS start FROM lines WHERE words > 0),
+grams AS (
+  SELECT *, md5(array_to_string(list(h) OVER gram, '')) AS gram_key, sum(words) OVER gram AS held,
+    list(h) OVER reach AS ahead, list(pos) OVER reach AS ahead_at, list(h) OVER back AS behind, list(pos) OVER back AS behind_at
+  FROM placed WINDOW gram AS (PARTITION BY doc_id, digest ORDER BY start RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING),
+    reach AS (PARTITION BY doc_id, digest ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+    back AS (PARTITION BY doc_id, digest ORDER BY start RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING)),
+least_of AS (
+  SELECT *, min(CASE WHEN held >= 25 THEN {'k': gram_key, 'p': pos} END) OVER (
+    PARTITION BY doc_id, digest ORDER BY start RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING) AS smallest FROM grams),
+found AS (
+  SELECT * FROM least_of WHERE held >= 25 QUALIFY list_contains(list(smallest.p) OVER (
+    PARTITION BY doc_id, digest ORDER BY start RANGE BETWEEN 24 PRECEDING AND CURRENT ROW), pos)),
+ranked AS (
+  SELECT *, row_number() OVER by_key AS n, first_value(ahead) OVER by_key AS first_ahead, first_value(behind) OVER by_key AS first_behind
+  FROM found WINDOW by_key AS (PARTITION BY gram_key ORDER BY doc_id NULLS LAST, digest, pos)),
+matched AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, len(ahead) + 1), lambda i: i > len(first_ahead) OR ahead[i] <> first_ahead[i])) - 1, len(ahead)) AS r,
+    coalesce(list_min(list_filter(range(1, coalesce(len(behind), 0) + 1), lambda i: i > coalesce(len(first_behind), 0) OR behind[-i] <> first_behind[-i])) - 1,
+      coalesce(len(behind), 0)) AS l
+  FROM ranked WHERE n > 1),
+runs AS (SELECT doc_id, digest, CASE WHEN l > 0 THEN behind_at[-l] ELSE pos END AS a, ahead_at[r] AS b FROM matched),
+gone AS (
+  SELECT DISTINCT c.doc_id, c.digest, c.pos FROM cut c JOIN runs r ON c.doc_id IS NOT DISTINCT FROM r.doc_id AND c.digest = r.digest AND c.pos BETWEEN r.a AND r.b),
+kept AS (
+  SELECT c.doc_id, c.digest, count(*)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_deleted,
+    coalesce(string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '') AS left_over
+  FROM cut c LEFT JOIN gone g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.digest = g.digest AND c.pos = g.pos GROUP BY ALL)
+SELECT d.doc_id, k.n_lines, k.n_deleted, CASE WHEN k.n_deleted = 0 THEN d.text ELSE k.left_over END AS text
+FROM documents d JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(coalesce(d.text, '')) = k.digest
+"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def repeated_lines_out(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"), count=True)
