@@ -20,61 +20,65 @@ SCALE = 1024
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 SEGMENT_ROWS = 256
-# Segments read between two looks at the bounds, as a share of all segments of a block.
-STEP = 8
+# Shares of the segments after which the bounds are looked at, and the share of rows (1/FEW) that is cheap to score again.
+LOOKS = (0.4, 0.7, 1.0)
+FEW = 4
 
 
 class ImpactBlock:
-    """The index of one block of integer vectors."""
+    """The index of one block of integer vectors.  Sums of products stay below 2^53, where doubles are exact."""
 
     def __init__(self, vectors: np.ndarray, segment_rows: int = SEGMENT_ROWS):
-        self.vectors = vectors
+        self.vectors = vectors.astype(np.float64)
         rows, self.width = vectors.shape
-        self.order = np.argsort(-vectors, axis=0, kind="stable")  # per component, descending value
-        ordered = np.take_along_axis(vectors, self.order, axis=0)
-        self.starts = np.arange(0, rows, segment_rows)
-        self.ends = np.minimum(self.starts + segment_rows, rows)
-        self.top, self.bottom = ordered[self.starts], ordered[self.ends - 1]  # segment x component
+        self.segments = -(-rows // segment_rows)
+        # The last segment is filled up with a row past the end, whose score nobody reads.
+        filled = np.full((self.segments * segment_rows, self.width), rows)
+        filled[:rows] = np.argsort(-vectors, axis=0, kind="stable")  # per component, descending value
+        values = np.take_along_axis(np.vstack([self.vectors, np.zeros((1, self.width))]), filled, axis=0)
+        shape = (self.segments, segment_rows, self.width)
+        self.order = np.ascontiguousarray(filled.reshape(shape).transpose(0, 2, 1))  # segment, component, row of the segment
+        self.values = np.ascontiguousarray(values.reshape(shape).transpose(0, 2, 1))
+        starts = np.arange(self.segments) * segment_rows
+        self.top = values[starts]
+        self.bottom = values[np.minimum(starts + segment_rows, rows) - 1]  # segment x component
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best, proved complete; ties with the k-th stay in."""
-        rows, segments = len(self.vectors), len(self.starts)
+        rows = len(self.vectors)
         if rows <= k:
             return np.arange(rows)
-        # A negative component reads its rows from the smallest value upwards.
+        # A negative component reads its segments from the smallest values upwards.
         up = query < 0
-        impact = np.where(up, self.bottom[::-1] * query, self.top * query)  # segment x component, falling along the segments
+        impact = np.where(up, self.bottom[::-1] * query, self.top * query)  # falls along the segments of a component
         reading = np.argsort(-impact, axis=None, kind="stable")
-        score, seen = np.zeros(rows, np.int64), np.zeros((rows, self.width), np.int64)
-        read = np.zeros(self.width, np.int64)
-        least = np.minimum(self.top[0] * query, self.bottom[-1] * query)
-        step = max(1, reading.size // STEP)
-        for at in range(0, reading.size, step):
-            for flat in reading[at:at + step]:
-                place, component = divmod(int(flat), self.width)
-                segment = segments - 1 - place if up[component] else place
-                found = self.order[self.starts[segment]:self.ends[segment], component]
-                score[found] += self.vectors[found, component] * query[component]
-                seen[found, component] = 1
-                read[component] += 1
-            # What a row may still gain or must still lose on the components where it was not read yet.
-            rest = np.where(read < segments, impact[np.minimum(read, segments - 1), np.arange(self.width)], 0)
-            most = score + rest.sum() - seen @ rest
-            low = score + least.sum() - seen @ least
+        score, read = np.zeros(rows + 1), np.zeros(self.width, np.int64)
+        places, components = np.divmod(reading, self.width)
+        segments = np.where(up[components], self.segments - 1 - places, places)
+        found, ends = [], (np.array(LOOKS) * len(reading)).astype(int)
+        for begin, end in zip([0, *ends], ends):
+            now = components[begin:end]
+            found.append(self.order[segments[begin:end], now])
+            products = self.values[segments[begin:end], now] * query[now, None]
+            score += np.bincount(found[-1].ravel(), products.ravel(), rows + 1)
+            read += np.bincount(now, minlength=self.width)
+            # What a row may still gain on the components where it was not read yet.
+            rest = np.where(read < self.segments, impact[np.minimum(read, self.segments - 1), np.arange(self.width)], 0)
+            settled = np.repeat(rest[components[:end]], self.order.shape[2])
+            most = (score + rest.sum() - np.bincount(np.concatenate(found).ravel(), settled, rows + 1))[:rows]
             # Any k rows give a floor for the k-th best; the most promising ones give a high one.
             likely = np.argpartition(-most, k - 1)[:k]
-            floor = max(np.partition(low, rows - k)[rows - k], (self.vectors[likely] @ query).min())
-            possible = np.flatnonzero(most >= floor)
-            if len(possible) <= max(k, rows // 16):
+            possible = np.flatnonzero(most >= (self.vectors[likely] @ query).min())
+            if len(possible) <= max(k, rows // FEW):
                 break
         return possible
 
     def best(self, query: np.ndarray, query_id: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own, ties to the smaller id."""
         own = int(np.count_nonzero(ids == query_id))
-        rows = self.candidates(query, k + own)
+        rows = self.candidates(query.astype(np.float64), k + own)
         rows = rows[ids[rows] != query_id]
-        scores = self.vectors[rows] @ query
+        scores = (self.vectors[rows] @ query).astype(np.int64)
         chosen = np.lexsort((ids[rows], -scores))[:k]
         return ids[rows][chosen], scores[chosen]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerweave.llm import byte_bpe, impact_search, line_dedup, mixing, quality_rules, rule_ensemble, toxicity, url_filter
+from layerweave.llm import byte_bpe, impact_search, jaccard_join, line_dedup, maxent_lm, mixing, quality_rules, rule_ensemble, toxicity, url_filter
 from layerweave.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,13 @@ FROM documents d JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(c
 @query("op5_line_dedup", LINES_SQL)
 def repeated_lines_out(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents"), count=True)
+
+
+@query("op10_jaccard_join")
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(table(spark, folder, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_lm_scoring")
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent_lm.score(table(spark, folder, "documents"))
