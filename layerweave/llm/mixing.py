@@ -41,7 +41,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_epoc
     left_over = F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     weight_left = F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     levels = filled.withColumn("_level", left_over / weight_left)
-    level = F.min(F.when(F.col("_cap") > F.col("_level") * F.col("_w"), F.col("_level"))).over(whole)
+    # The first source below its cap sets the level; the values behind it are lower and mean nothing.
+    level = F.max(F.when(F.col("_cap") > F.col("_level") * F.col("_w"), F.col("_level"))).over(whole)
     return levels.select(
         "_source", "source_size", F.coalesce(F.least(F.col("_cap"), level * F.col("_w")), F.col("_cap")).alias("target")
     )

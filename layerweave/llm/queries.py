@@ -43,7 +43,7 @@ weighed AS (
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0.0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0.0)) AS level
   FROM weighed WINDOW earlier AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, coalesce(least(cap, min(CASE WHEN cap > level * w THEN level END) OVER () * w), cap) AS target FROM levels),
+targets AS (SELECT source, source_size, coalesce(least(cap, max(CASE WHEN cap > level * w THEN level END) OVER () * w), cap) AS target FROM levels),
 placed AS (
   SELECT *, coalesce(sum(size * copies) OVER (PARTITION BY source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
   FROM units),
