@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,15 @@ FREQUENT_TOKENS = 50_000
 OFTEN = 4
 BITS = 512
 FANOUT = 16
-# Rows of a token that meet in one task; a larger group becomes a grid of cells.
-CELL_ROWS = 2048
+# Rows of a token that meet in one cell; a larger group becomes a grid of cells.  Cells share tasks of some BUCKET_ROWS.
+CELL_ROWS = 1024
+BUCKET_ROWS = 30_000
+# Node pairs looked at in one step, and bytes of text spelled in one; both bound the memory of a task.
+STEP_PAIRS = 100_000
+CHUNK_BYTES = 8_000_000
 REMEMBERED = 400_000
 
+_SIEVE = np.uint64((1 << 20) - 1)
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -49,20 +55,55 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _whole(tokens: list[bytes], words: int) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(tokens), seed=words)
+
+
+def spell(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of whole texts in a row, as 64-bit hashes, and how many each text has.
+
+    A text with fewer words is one shingle, a blank one has none.
+    """
+    lists = [text.lower().split() for text in texts]
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    counts = np.where(lengths >= words, lengths - words + 1, np.minimum(lengths, 1))
+    out = np.zeros(int(counts.sum()), np.uint64)
+    total = int(lengths.sum())
+    if total >= words:
+        hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, total)
+        last = total - words + 1
+        mixed = np.zeros(last, np.uint64)
+        for place in range(words):
+            mixed ^= hashes[place:place + last]
+            mixed *= _MIX[place % len(_MIX)]
+            mixed ^= mixed >> np.uint64(29)
+        # A shingle must not reach into the next text.
+        inside = np.arange(last) + words <= np.repeat(np.cumsum(lengths), lengths)[:last]
+        out[np.repeat(lengths >= words, counts)] = mixed[inside]
+    starts = np.cumsum(counts) - counts
+    for at in np.flatnonzero((lengths > 0) & (lengths < words)):
+        out[starts[at]] = _whole(lists[at], words)
+    return out, counts
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
-    """The different shingles of one whole text as sorted 64-bit hashes; a shorter text is one shingle, a blank one none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    if len(tokens) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed=words)], np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    last = len(tokens) - words + 1
-    mixed = np.zeros(last, np.uint64)
-    for place in range(words):
-        mixed = (mixed ^ hashes[place:place + last]) * _MIX[place % len(_MIX)]
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    """The different shingles of one whole text, sorted."""
+    return _distinct(spell([text], words)[0])
+
+
+def chunks(texts: list[bytes]):
+    """Slices of the texts of about CHUNK_BYTES each."""
+    begin, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK_BYTES or at == len(texts) - 1:
+            yield texts[begin:at + 1]
+            begin, size = at + 1, 0
 
 
 def prefix_size(n: np.ndarray | int, percent: int):
@@ -77,36 +118,38 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def _frequent(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent tokens in ascending order of hash, and the place of each in the order of all tokens."""
+def _frequent(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent tokens in ascending order of hash, the place of each in the order of all tokens, and a sieve."""
     by_place = np.frombuffer(packed, np.uint64)
     order = np.argsort(by_place, kind="stable")
-    return by_place[order], order
+    maybe = np.zeros(int(_SIEVE) + 1, bool)
+    maybe[by_place & _SIEVE] = True
+    return by_place[order], order, maybe
 
 
 def in_order(tokens: np.ndarray, frequent: bytes) -> np.ndarray:
     """Tokens by hash, the frequent ones after all others."""
-    known, place = _frequent(frequent)
-    if not len(known) or not len(tokens):
+    known, place, maybe = _frequent(frequent)
+    suspects = np.flatnonzero(maybe[tokens & _SIEVE])
+    if not len(suspects) or not len(known):
         return tokens
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    late = known[at] == tokens
-    return np.concatenate([tokens[~late], tokens[late][np.argsort(place[at[late]], kind="stable")]])
+    at = np.minimum(np.searchsorted(known, tokens[suspects]), len(known) - 1)
+    found = known[at] == tokens[suspects]
+    late = suspects[found]
+    return np.concatenate([np.delete(tokens, late), tokens[late][np.argsort(place[at[found]], kind="stable")]])
 
 
 def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT_TOKENS) -> bytes:
     """The tokens that tasks meet most often, rarer ones first.  All documents are counted."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, held, size = [], [], 0
-        texts = texts_of(batch)
-        for at, text in enumerate(texts):
-            held.append(shingles(text, words))
-            size += len(held[-1])
-            if size > 4_000_000 or at == len(texts) - 1:
-                tokens, count = np.unique(np.concatenate(held), return_counts=True)
-                kept.append((tokens[count >= OFTEN], count[count >= OFTEN]))
-                held, size = [], 0
+        kept = []
+        for texts in chunks(texts_of(batch)):
+            tokens, _ = spell(texts, words)
+            cells = (tokens >> np.uint64(42)).astype(np.int64)
+            often = np.bincount(cells, minlength=1 << 22)[cells] >= OFTEN
+            tokens, count = np.unique(tokens[often], return_counts=True)
+            kept.append((tokens[count >= OFTEN], count[count >= OFTEN]))
         return pa.RecordBatch.from_pydict({
             "token": np.concatenate([t for t, _ in kept]).view(np.int64), "n": np.concatenate([n for _, n in kept]).astype(np.int64),
         })
@@ -128,13 +171,15 @@ def sets_of(docs: DataFrame, words: int, percent: int, frequent: bytes) -> DataF
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, digests, bits, prefixes = [], [], [], []
-        for text in texts_of(batch):
-            tokens = shingles(text, words)
-            first = in_order(tokens, shared.value)[:prefix_size(len(tokens), percent)]
-            n.append(len(tokens))
-            digests.append(hashlib.md5(tokens.tobytes()).digest())
-            bits.append(bitmap(first))
-            prefixes.append(first.tobytes())
+        for texts in chunks(texts_of(batch)):
+            flat, counts = spell(texts, words)
+            for part in np.split(flat, np.cumsum(counts)[:-1]):
+                tokens = _distinct(part)
+                first = in_order(tokens, shared.value)[:prefix_size(len(tokens), percent)]
+                n.append(len(tokens))
+                digests.append(hashlib.md5(tokens.tobytes()).digest())
+                bits.append(bitmap(first))
+                prefixes.append(first.tobytes())
         return pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()),
             "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefixes, pa.binary()),
@@ -146,72 +191,87 @@ def sets_of(docs: DataFrame, words: int, percent: int, frequent: bytes) -> DataF
 
 
 class SignatureTree:
-    """Records sorted by size under nodes of FANOUT children; a node ORs the bitmaps and spans the sizes below it."""
+    """Records under nodes of FANOUT children; a node ORs the bitmaps and spans the sizes below it.
+
+    Records lie in the order of the cell in which they meet, then of their size; a node also spans cells and groups, so
+    one tree serves many cells.
+    """
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int):
-        self.levels = []
+    def __init__(self, bits: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int, cell: np.ndarray | None = None, block: np.ndarray | None = None):
+        cell = np.zeros(len(n), np.int64) if cell is None else cell
+        #: Records of one block of a cell of two blocks do not meet there; -1 stands for a cell of one block.
+        self.block = np.full(len(n), -1) if block is None else block
         rest = n - prefix_size(n, percent)
         spare = prefix_size(n, percent) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        level = (bits, n, n, rest, spare, group, group)
-        self.levels.append(level)
+        level = (bits, n, n, rest, spare, group, group, cell, cell)
+        joins = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+        self.levels = [level]
         while len(level[0]) > 1:
             starts = np.arange(0, len(level[0]), FANOUT)
-            joins = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.maximum, np.minimum, np.maximum)
             level = tuple(join.reduceat(column, starts, axis=0) for join, column in zip(joins, level))
             self.levels.append(level)
 
-    def may_match(self, level: int, a: np.ndarray, other: SignatureTree, b: np.ndarray, percent: int) -> np.ndarray:
+    def may_match(self, level: int, a: np.ndarray, b: np.ndarray, percent: int, other: SignatureTree | None = None) -> np.ndarray:
         """Which node pairs may still hold a pair of records of different groups that reaches the threshold.
 
         Common prefix tokens are at most the common bits and the tokens that share a bit with another; all other common
         tokens lie behind one of the two prefixes.
         """
-        bits, least, most, rest, spare, low, high = (column[a] for column in self.levels[level])
-        bits2, least2, most2, rest2, spare2, low2, high2 = (column[b] for column in other.levels[level])
-        sizes = (100 * most >= percent * least2) & (100 * most2 >= percent * least)
-        groups = ~((low == high) & (low2 == high2) & (low == low2))
-        common = np.bitwise_count(bits & bits2).sum(axis=1, dtype=np.int64) + np.minimum(spare, spare2)
-        overlap = (100 + percent) * (common + np.maximum(rest, rest2)) >= percent * (least + least2)
-        return sizes & groups & overlap
-
-    def pairs(self, other: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of records of the two trees (or of one tree and itself) that no bound can exclude."""
-        level = max(len(self.levels), len(other.levels)) - 1
-        for tree in (self, other):
-            while len(tree.levels) <= level:
-                tree.levels.append(tree.levels[-1])
+        bits, least, most, rest, spare, low, high, first, last = self.levels[level]
+        bits2, least2, most2, rest2, spare2, low2, high2, first2, last2 = (other or self).levels[level]
+        meet = (first[a] <= last2[b]) & (first2[b] <= last[a])
+        meet &= (100 * most[a] >= percent * least2[b]) & (100 * most2[b] >= percent * least[a])
+        meet &= ~((low[a] == high[a]) & (low2[b] == high2[b]) & (low[a] == low2[b]))
+        held = np.flatnonzero(meet)
+        a, b = a[held], b[held]
+        common = np.bitwise_count(bits[a] & bits2[b]).sum(axis=1, dtype=np.int64) + np.minimum(spare[a], spare2[b])
+        meet[held] = (100 + percent) * (common + np.maximum(rest[a], rest2[b])) >= percent * (least[a] + least2[b])
+        return meet
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of records that no bound can exclude, by traversing the tree against itself."""
+        level = len(self.levels) - 1
         a = b = np.zeros(1, np.int64)
         while True:
-            held = self.may_match(level, a, other, b, percent)
+            held = np.concatenate([
+                self.may_match(level, a[p:p + STEP_PAIRS], b[p:p + STEP_PAIRS], percent) for p in range(0, len(a), STEP_PAIRS)
+            ] or [np.empty(0, bool)])
             a, b = a[held], b[held]
             if not level or not len(a):
                 return a, b
             level -= 1
-            a, b = self._children(a, len(self.levels[level][0]), len(self.levels[level + 1][0])), self._children(b, len(other.levels[level][0]), len(other.levels[level + 1][0]))
-            left, right = np.broadcast_to(a[:, :, None], (len(a), a.shape[1], b.shape[1])).ravel(), np.broadcast_to(b[:, None, :], (len(b), a.shape[1], b.shape[1])).ravel()
-            real = (left >= 0) & (right >= 0)
-            if self is other:
-                real &= left <= right if level else left < right
-            a, b = left[real], right[real]
-
-    @staticmethod
-    def _children(nodes: np.ndarray, below: int, here: int) -> np.ndarray:
-        if below == here:  # a level that only fills up the shorter tree
-            return nodes[:, None]
-        children = nodes[:, None] * FANOUT + np.arange(FANOUT)
-        return np.where(children < below, children, -1)
+            below = len(self.levels[level][0])
+            found = [self._children(a[p:p + STEP_PAIRS // 64], b[p:p + STEP_PAIRS // 64], below, level) for p in range(0, len(a), STEP_PAIRS // 64)]
+            a, b = (np.concatenate(side) for side in zip(*found))
+
+    def _children(self, a: np.ndarray, b: np.ndarray, below: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of children of the node pairs that meet in a cell, each pair once."""
+        steps = np.arange(FANOUT)
+        shape = (len(a), FANOUT, FANOUT)
+        left = np.broadcast_to((a[:, None] * FANOUT + steps)[:, :, None], shape).ravel()
+        right = np.broadcast_to((b[:, None] * FANOUT + steps)[:, None, :], shape).ravel()
+        real = (left < below) & (right < below) & (left <= right if level else left < right)
+        left, right = left[real], right[real]
+        first, last = self.levels[level][7:]
+        meet = (first[left] <= last[right]) & (first[right] <= last[left])
+        if not level:
+            meet &= (self.block[left] != self.block[right]) | (self.block[left] < 0)
+        return left[meet], right[meet]
 
 
 def candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node ids of the pairs of one cell that the trees cannot exclude."""
-    block = table.column("block").to_numpy()
-    node, n, group = (table.column(c).to_numpy() for c in ("node", "n", "component"))
+    """Node ids of the pairs of records that meet in a cell and that the tree cannot exclude."""
+    cell, block, node, n, group = (table.column(c).to_numpy() for c in ("cell", "block", "node", "n", "component"))
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-    order = np.lexsort((node, n))
-    parts = [order[block[order] == b] for b in np.unique(block)]
-    trees = [SignatureTree(bits[p], n[p], group[p], percent) for p in parts]
-    a, b = trees[0].pairs(trees[-1], percent)
-    return node[parts[0][a]], node[parts[-1][b]]
+    order = np.lexsort((node, n, cell))
+    a, b = SignatureTree(bits[order], n[order], group[order], percent, cell[order], block[order]).pairs(percent)
+    pairs = np.unique(np.sort(np.stack([node[order[a]], node[order[b]]], axis=1), axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+@lru_cache(maxsize=256)
+def _remembered(text: bytes, words: int) -> np.ndarray:
+    return shingles(text, words)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -227,11 +287,9 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perc
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, last, tokens = [], None, None
+        keep = []
         for x, y in zip(texts_of(batch, "left"), texts_of(batch, "right")):
-            if y != last:
-                last, tokens = y, shingles(y, words)
-            other = shingles(x, words)
+            tokens, other = _remembered(y, words), _remembered(x, words)  # heads and rows come again and again
             common = len(np.intersect1d(tokens, other, assume_unique=True))
             keep.append(100 * common >= percent * (len(tokens) + len(other) - common))
         chosen = batch.filter(pa.array(keep))
@@ -255,12 +313,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     sets = keep_table(alike.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
 
-    def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         node = np.repeat(batch.column("node").to_numpy(), [len(t) for t in tokens])
         return pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "node": node})
 
-    postings = map_arrow(sets.select("node", "prefix"), spell, "token long, node long")
+    postings = map_arrow(sets.select("node", "prefix"), spread, "token long, node long")
     # A token with one holder links nothing.
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1)
     live = keep_table(postings.join(held.hint("merge"), "token"))
@@ -277,7 +335,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             bits = np.frombuffer(b"".join(batch.column(f"bits_{side}").to_pylist()), np.uint64).reshape(len(n), -1)
             trees.append(SignatureTree(bits, n, batch.column(side).to_numpy(), percent))
         every = np.arange(batch.num_rows)
-        chosen = batch.filter(pa.array(trees[0].may_match(0, every, trees[1], every, percent)))
+        chosen = batch.filter(pa.array(trees[0].may_match(0, every, every, percent, trees[1])))
         return pa.RecordBatch.from_pydict({"a": chosen.column("a"), "b": chosen.column("b")})
 
     links = similar(map_arrow(star, sift, "a long, b long"), sets, docs, words, percent)
@@ -289,17 +347,21 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     mixed = told.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("token")
     open_rows = told.join(mixed.hint("merge"), "token").join(facts.hint("merge"), "node")
     cells = F.ceil(F.col("holders") / F.lit(CELL_ROWS)).cast("int")
-    placed = open_rows.withColumn("cells", cells).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    placed = open_rows.withColumn("cells", cells).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "token", F.least("block", "_k").alias("_i"), F.greatest("block", "_k").alias("_j"), "block", "node", "n", "component", "bits"
+        F.xxhash64("token", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("cell"),
+        # In a cell of two blocks only rows of different blocks meet; a chance clash of cells adds pairs, which are compared later.
+        F.when(F.col("_own") == F.col("_k"), F.lit(-1)).otherwise(F.col("_own")).alias("block"), "node", "n", "component", "bits",
     )
+    placed = keep_table(placed)
+    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def search(cell: pa.Table) -> pa.Table:
-        a, b = candidates(cell, percent)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
+    def search(bucket: pa.Table) -> pa.Table:
+        a, b = candidates(bucket, percent)
+        return pa.table({"a": a, "b": b}, schema=schema)
 
-    near = placed.groupBy("token", "_i", "_j").applyInArrow(search, "a long, b long").distinct()
+    near = placed.groupBy(F.pmod("cell", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
     more = similar(near, sets, docs, words, percent)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
 

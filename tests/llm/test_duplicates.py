@@ -70,7 +70,7 @@ def test_trees_lose_no_pair():
     n = np.array([len(s) for s in sets])
     bits = np.frombuffer(b"".join(jaccard_join.bitmap(s[:jaccard_join.prefix_size(len(s), percent)]) for s in sets), np.uint64).reshape(len(sets), -1)
     tree = jaccard_join.SignatureTree(bits, n, np.arange(len(sets)), percent)
-    found = set(zip(*(p.tolist() for p in tree.pairs(tree, percent))))
+    found = set(zip(*(p.tolist() for p in tree.pairs(percent))))
     true = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= percent * (n[i] + n[j] - c)}
     assert true and true <= found and len(found) < len(sets) * (len(sets) - 1) // 8
 
