@@ -12,8 +12,8 @@ copies by a linear number of comparisons.  The trees then look at pairs that are
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +37,65 @@ CELL_ROWS = 1024
 BUCKET_ROWS = 30_000
 # Node pairs looked at in one step, and bytes of text spelled in one; both bound the memory of a task.
 STEP_PAIRS = 100_000
-CHUNK_BYTES = 8_000_000
-REMEMBERED = 400_000
+CHUNK_BYTES = 4_000_000
+SEGMENT_BYTES = 1_000_000
 
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
 _SIEVE = np.uint64((1 << 20) - 1)
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256).astype(np.uint64)
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2^64
 
 
-_HASHES = _WordHashes()
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    return made[0], made[1]
 
 
-def _whole(tokens: list[bytes], words: int) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(tokens), seed=words)
+def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their 64-bit hashes.
+
+    A word's polynomial is the difference of two running sums over the text, moved to the word's beginning.
+    """
+    codes = np.frombuffer(text, np.uint8)
+    white = _WHITE[codes]
+    begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+    ends = np.flatnonzero(~white & np.concatenate([white[1:], [True]]))
+    up, down = _powers(max(SEGMENT_BYTES * 2, len(codes)))
+    terms = _BYTES[codes] * up[:len(codes)]
+    sums = np.cumsum(terms)
+    hashes = (sums[ends] - sums[begins] + terms[begins]) * down[begins]
+    hashes ^= (ends - begins).astype(np.uint64) << np.uint64(48)
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= _MIX[0]
+    return begins, hashes ^ (hashes >> np.uint64(29))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row (A-Z lower-cased), and how many each text has."""
+    joined = b"\n".join(texts).lower()
+    offsets = np.cumsum([0, *(len(text) + 1 for text in texts)])
+    places, hashes, begin = [], [], 0
+    while begin < len(joined):
+        end = begin + SEGMENT_BYTES  # cut between words; a longer word stays whole
+        cut = _GAP.search(joined, end)
+        end = cut.end() if cut and end < len(joined) else len(joined)
+        found, values = _hash_words(joined[begin:end])
+        places.append(found + begin)
+        hashes.append(values)
+        begin = end
+    if not places:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(places), offsets))
 
 
 def spell(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +103,11 @@ def spell(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text with fewer words is one shingle, a blank one has none.
     """
-    lists = [text.lower().split() for text in texts]
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    hashes, lengths = word_hashes(texts)
     counts = np.where(lengths >= words, lengths - words + 1, np.minimum(lengths, 1))
     out = np.zeros(int(counts.sum()), np.uint64)
-    total = int(lengths.sum())
-    if total >= words:
-        hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, total)
-        last = total - words + 1
+    last = len(hashes) - words + 1
+    if last > 0:
         mixed = np.zeros(last, np.uint64)
         for place in range(words):
             mixed ^= hashes[place:place + last]
@@ -80,9 +116,10 @@ def spell(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
         # A shingle must not reach into the next text.
         inside = np.arange(last) + words <= np.repeat(np.cumsum(lengths), lengths)[:last]
         out[np.repeat(lengths >= words, counts)] = mixed[inside]
-    starts = np.cumsum(counts) - counts
+    starts, first = np.cumsum(counts) - counts, np.cumsum(lengths) - lengths
     for at in np.flatnonzero((lengths > 0) & (lengths < words)):
-        out[starts[at]] = _whole(lists[at], words)
+        own = hashes[first[at]:first[at] + lengths[at]].tobytes()
+        out[starts[at]] = xxhash.xxh64_intdigest(own, seed=words)
     return out, counts
 
 
