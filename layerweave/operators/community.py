@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerweave.operators.skew import HotKeys, spread_join
+
 # The wanted profile per layer: 1 high, -1 low, 0 indifferent.
 DEFAULT_PROFILE = {"OPN": 1, "CSN": 1, "EXT": 1, "AGR": 1, "NEU": -1}
 RUN_PROFILE = {"OPN": 1, "CSN": 1, "EXT": 1, "AGR": 0, "NEU": -1}
@@ -80,4 +82,5 @@ def merge_layers(vertices: DataFrame, layers: Sequence[str], on: Sequence[str] =
 
 def member_profiles(people: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of the chosen members, in the order of their place."""
-    return people.join(F.broadcast(members), "id").orderBy("place")
+    known = members.count()
+    return spread_join(people, members, ["id"], [F.xxhash64("id")], HotKeys(people, ["id"]), known).orderBy("place")

@@ -27,6 +27,8 @@ class CPModel:
     factors: tuple[Factor, ...]
     weights: np.ndarray
     errors: tuple[float, ...] = field(default=())
+    #: Whether the stop rule ended the sweeps; False when their number did.
+    converged: bool = True
 
     @property
     def rank(self) -> int:
@@ -150,7 +152,9 @@ def cp_als(
     ``stop='error'`` ends when the relative error of two sweeps differs by at most ``tolerance``;
     ``stop='fit'`` when the fit does, strictly.  ``tolerance=None`` runs all sweeps.
     ``norm='l2'`` scales columns to length one; ``norm='max'`` does so in the first sweep and
-    afterwards divides by the largest entry (at least 1).  Overflow restarts with another seed.
+    afterwards divides by the largest entry (at least 1).  Overflow restarts with another seed, at
+    most ``restarts`` times; then an ArithmeticError names the seeds.  ``converged`` of the model
+    tells whether the rule or the number of sweeps ended it.
     """
     if rank <= 0 or max_sweeps < 0 or (tolerance is not None and tolerance < 0):
         raise ValueError("rank must be positive, sweeps and tolerance not negative")
@@ -163,7 +167,7 @@ def cp_als(
         model = _attempt(source, rank, max_sweeps, tolerance, seed + attempt, norm, stop, init)
         if model is not None:
             return model
-    raise ArithmeticError("the decomposition overflowed on every start")
+    raise ArithmeticError(f"the decomposition overflowed on every start, seeds {seed} to {seed + restarts}")
 
 
 def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPModel | None:
@@ -171,7 +175,7 @@ def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPM
     grams = [None, *[T.gram(f.rows, f.columns) for f in factors[1:]]]
     weights = np.ones(rank)
     errors: list[float] = []
-    before, now = math.inf, 0.0
+    before, now, settled = math.inf, 0.0, False
     size = math.sqrt(source.squares)
     for sweep in range(max_sweeps):
         scaling = norm if sweep else "l2"
@@ -193,11 +197,10 @@ def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPM
         if tolerance is None:
             continue
         fit_before = 0.0 if len(errors) == 1 else 1.0 - before
-        if stop == "error" and abs(before - now) <= tolerance:
+        settled = abs(before - now) <= tolerance if stop == "error" else abs((1.0 - now) - fit_before) < tolerance
+        if settled:
             break
-        if stop == "fit" and abs((1.0 - now) - fit_before) < tolerance:
-            break
-    return CPModel(tuple(factors), weights, tuple(errors))
+    return CPModel(tuple(factors), weights, tuple(errors), settled)
 
 
 def cp_fit(tensor: Tensor, rank: int = 2, max_sweeps: int = 100, tolerance: float = 1e-4, seed: int = 6) -> CPModel:

@@ -48,16 +48,15 @@ def adjacency(edges: DataFrame, weight: str = "fit") -> DataFrame:
     return edges.groupBy("layer", "src", "dst").agg(F.avg(weight).alias(weight))
 
 
-def adjacency_wide(vertices: DataFrame, edges: DataFrame, weight: str = "fit", most: int = 10_000) -> DataFrame:
-    """Export form: one row per vertex, one column per vertex, zeros elsewhere.
+def adjacency_wide(vertices: DataFrame, edges: DataFrame, targets: Sequence, weight: str = "fit") -> DataFrame:
+    """Export form of a block of columns: one row per vertex, one column per target id, zeros elsewhere.
 
-    Only for graphs whose vertices fit a schema; larger ones keep the coordinate form.
+    The caller names the targets, since a row holds as many columns as there are; a large graph is
+    exported block by block, or keeps the coordinate form of ``adjacency``.
     """
-    ids = [row["id"] for row in vertices.select("id").orderBy("id").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} vertices do not fit a row; use adjacency()")
+    ids = list(targets)
     # Every vertex sends itself a NULL, so vertices without edges keep their row.
-    cells = edges.select(F.col("src").alias("id"), F.col("dst"), F.col(weight).alias("w")).unionByName(
+    cells = edges.filter(F.col("dst").isin(ids)).select(F.col("src").alias("id"), F.col("dst"), F.col(weight).alias("w")).unionByName(
         vertices.select("id", F.col("id").alias("dst"), F.lit(None).cast("double").alias("w"))
     )
     wide = cells.groupBy("id").pivot("dst", ids).agg(F.avg("w"))
@@ -176,12 +175,19 @@ class Walk:
 
 
 def _scaled(ranks: DataFrame, by: Sequence[str], total: Column) -> DataFrame:
-    """Scale the ranks of each group so that they add up to ``total`` (an aggregate)."""
+    """Scale the ranks of each group so that they add up to ``total`` (an aggregate).
+
+    The ranks are kept first, as they are read twice.  Without groups the factor is one number; with
+    groups the ranks of a large one are spread over tasks, or the factors go to them if they are few.
+    """
+    ranks = cut_lineage(ranks)
+    factor = (total / F.sum("rank")).alias("_factor")
     if not by:
-        ranks = ranks.withColumn("_g", F.lit(0))
-        return _scaled(ranks, ["_g"], total).drop("_g")
-    sums = ranks.groupBy(*by).agg((total / F.sum("rank")).alias("_factor"))
-    return ranks.join(sums, list(by)).withColumn("rank", F.col("rank") * F.col("_factor")).drop("_factor")
+        found = ranks.agg(factor).first()["_factor"]
+        return ranks.withColumn("rank", F.col("rank") * F.lit(found))
+    sums = cut_lineage(ranks.groupBy(*by).agg(factor))
+    joined = spread_join(ranks, sums, by, [F.col("id")], HotKeys(ranks, by), sums.count())
+    return joined.withColumn("rank", F.col("rank") * F.col("_factor")).drop("_factor")
 
 
 def pagerank(
@@ -205,7 +211,7 @@ def pagerank_until(
     by: Sequence[str] = LAYER,
     most_rounds: int = 200,
 ) -> DataFrame:
-    """PageRank until no rank moves by more than ``tolerance``."""
+    """PageRank until no rank moves by more than ``tolerance``; ranks that do not settle are an error."""
     walk = Walk(edges, by)
     base = cut_lineage(walk.weighted(vertices.select(*by, "id").distinct(), reset))
     ranks = base.withColumn("rank", F.lit(1.0))
@@ -216,6 +222,8 @@ def pagerank_until(
         ranks = latest
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still move by {moved} after {most_rounds} rounds")
     return _scaled(ranks.drop("weight"), by, F.count(F.lit(1)))
 
 

@@ -21,6 +21,8 @@ from layerweave.session import cut_lineage
 UP, DOWN, BOTH = "up", "down", "both"
 # Candidate pairs that one task should meet.
 PAIRS_PER_TASK = 20_000_000
+# Tasks of the edge search, per core of the cluster at most.
+TASKS_PER_CORE = 64
 
 
 @dataclass(frozen=True)
@@ -167,8 +169,11 @@ def layer_edges(
         "layer", F.col("id").alias("dst"), F.col("z").alias("dst_z"), bins.of(F.col("z")).alias("_bin")
     )
     blocks = _crowded_bins(sources, targets, block_rows) if rows > block_rows and not fits_broadcast(rows, 4) else None
-    # The output is a share of rows²: the tasks are sized by it, not by the few bytes that go in.
-    tasks = int(max(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows, rows * rows // PAIRS_PER_TASK)))
+    # The output is a share of rows²: the tasks are sized by it, not by the few bytes that go in, but
+    # are no more than a scheduler handles well.
+    least = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(least, TASKS_PER_CORE * people.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(most, max(least, rows * rows // PAIRS_PER_TASK))
     left = sources.repartition(tasks, "src").select("layer", "src", "src_z", F.explode("_bins").alias("_bin"))
     pairs = block_join(left, targets, ["layer", "_bin"], [F.col("src")], [F.col("dst")], blocks, rows, tasks)
     match = by_layer(lambda rule: rule.holds(F.col("src_z"), F.col("dst_z")), F.lit(False))

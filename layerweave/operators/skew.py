@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +12,27 @@ from layerweave import session
 from layerweave.session import cut_lineage
 
 # A key is hot when it holds more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS
-# hot keys however large the table is: the table of hot keys is always small enough to broadcast.
-HOT_KEYS = 2048
+# hot keys however large the table is: some ten megabytes, always small enough to broadcast.
+HOT_KEYS = 200_000
+# Groups over which the rows without a key are spread in a join that keeps them.
+NULL_SALTS = 4096
 # Below this many rows a whole table fits one task and no key needs splitting.
 TASK_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], total: int, task_rows: int | None = None) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], total: int, task_rows: int | None = None, bounded: bool = True
+) -> DataFrame | None:
     """``keys..., splits`` for every key whose rows do not fit one task; None when there is none.
 
     Counts are combined map-side, so a hot key costs one row per map task.  The few rows found are
-    kept, because joins in a loop ask for them again and again.
+    kept, because joins in a loop ask for them again and again.  ``bounded`` holds the table below
+    HOT_KEYS rows by letting the rows per task grow; without it every split has ``task_rows``.
     """
     task_rows = TASK_ROWS if task_rows is None else task_rows
     if total <= task_rows:
         return None
-    limit = max(task_rows, -(-total // HOT_KEYS))
+    limit = max(task_rows, -(-total // HOT_KEYS)) if bounded else task_rows
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.filter(F.col("_rows") > F.lit(limit)).select(
         *keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("splits")
@@ -39,11 +44,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], total: int, task_rows: int | No
 def with_salt(big: DataFrame, keys: Sequence[str], spread: Sequence[Column], hot: DataFrame) -> DataFrame:
     """Add ``_salt``: 0 for ordinary keys, one of ``splits`` numbers for the rows of a hot key."""
     own = F.pmod(F.xxhash64(*spread), F.col("splits"))
-    return (
-        big.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.when(F.col("splits").isNull(), F.lit(0)).otherwise(own).cast("int"))
-        .drop("splits")
-    )
+    # A NULL key meets nothing, so its rows may lie anywhere.
+    nowhere = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    salt = F.when(nowhere, F.pmod(F.xxhash64(*spread), F.lit(NULL_SALTS))).when(F.col("splits").isNull(), F.lit(0)).otherwise(own)
+    return big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt.cast("int")).drop("splits")
 
 
 def for_each_salt(small: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -103,9 +107,9 @@ def spread_join(
 def key_blocks(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_rows: int, right_rows: int, block_rows: int
 ) -> DataFrame | None:
-    """``keys..., _left_blocks, _right_blocks`` for the keys that are crowded on either side."""
-    left_hot = hot_keys(left, keys, left_rows, block_rows)
-    right_hot = hot_keys(right, keys, right_rows, block_rows)
+    """``keys..., _left_blocks, _right_blocks`` for the keys that are crowded on either side; no block is larger."""
+    left_hot = hot_keys(left, keys, left_rows, block_rows, bounded=False)
+    right_hot = hot_keys(right, keys, right_rows, block_rows, bounded=False)
     if left_hot is None and right_hot is None:
         return None
     one = F.lit(1)
@@ -133,7 +137,8 @@ def block_join(
 
     Each side of such a key is cut into blocks and copied once per block of the other side, so
     every pair still meets exactly once and no task sees more than one block of either side.
-    ``blocks`` must be bounded: one row per crowded key (see ``key_blocks``) or per bin.  A right
+    ``blocks`` has one row per crowded key (see ``key_blocks``) or per bin and is broadcast only when
+    they are few.  A right
     side whose known size is below the broadcast limit goes to every task instead; the caller has
     then spread ``left``.  ``tasks`` fixes the number of tasks of the shuffle form, for joins whose
     output is far larger than the input by which adaptive execution would merge partitions.
@@ -146,7 +151,7 @@ def block_join(
 
     if blocks is None:
         return placed(left, keys).join(placed(right, keys).hint("merge"), list(keys))
-    blocks = F.broadcast(blocks)
+    blocks = F.broadcast(blocks) if fits_broadcast(blocks.count(), len(blocks.columns)) else blocks.hint("merge")
 
     def cut(side: DataFrame, own: str, own_block: str, other: str, other_block: str, spread: Sequence[Column]) -> DataFrame:
         own_blocks, other_blocks = F.coalesce(F.col(own), F.lit(1)), F.coalesce(F.col(other), F.lit(1))

@@ -6,6 +6,7 @@ factor matrix is a table ``idx, f0..f{R-1}``; an index without a row stands for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -65,10 +66,6 @@ def without(values: Sequence, *positions: int) -> tuple:
     return tuple(v for n, v in enumerate(values) if n not in positions)
 
 
-def keep(values: Sequence, *positions: int) -> tuple:
-    return tuple(v for n, v in enumerate(values) if n in positions)
-
-
 def updated(values: Sequence, position: int, value) -> tuple:
     return tuple(value if n == position else v for n, v in enumerate(values))
 
@@ -383,16 +380,16 @@ def evaluate(
 
 
 def reconstruct(
-    factors: Sequence[Factor], weights: Sequence[float], modes: Sequence[str] = MODES, most_cells: int = 10**9
+    factors: Sequence[Factor], weights: Sequence[float], modes: Sequence[str] = MODES, wanted: DataFrame | None = None
 ) -> Tensor:
-    """Every cell of the model's tensor, for shapes below ``most_cells``."""
+    """The model's tensor at the ``wanted`` coordinates, or at every one, which is as many rows as the shape has cells."""
     shape = tuple(f.length for f in factors)
-    total = int(np.prod([float(n) for n in shape]))
-    if total > most_cells:
-        raise ValueError(f"{total} cells are more than {most_cells}; evaluate() only the cells you need")
+    if wanted is not None:
+        return Tensor(evaluate(wanted.select(*modes), factors, weights, modes, "value"), shape, tuple(modes))
+    total = math.prod(shape)
     spark = factors[0].rows.sparkSession
     # The coordinates are the digits of one running number, generated in parallel.
-    strides = [int(np.prod(shape[n + 1:], dtype=object)) if n + 1 < len(shape) else 1 for n in range(len(shape))]
+    strides = [math.prod(shape[n + 1:]) for n in range(len(shape))]
     digits = [F.expr(f"(id div {s}) % {n}").alias(m) for s, n, m in zip(strides, shape, modes)]
     cells = spark.range(total).select(*digits)
     return Tensor(evaluate(cells, factors, weights, modes, "value"), shape, tuple(modes))

@@ -64,6 +64,6 @@ def layer_communities(spark, folder):
     index = dense_index(people.select("id").distinct(), [F.col("id")])
     points = people.join(index, "id").select("layer", "idx", "z")
     source = K.ScoreSource(points, FACTORS, index.count())
-    model = cp.cp_als(source, rank=2, max_sweeps=6, tolerance=0.002)
+    model = cp.cp_als(source, rank=2, max_sweeps=25, tolerance=0.002)
     table = cp.community_table(model, index)
-    return table.withColumn("error", F.lit(float(model.errors[-1])))
+    return table.withColumns({"error": F.lit(float(model.errors[-1])), "converged": F.lit(model.converged)})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from layerweave.operators import graph as G
 from layerweave.operators import layers as L
+from layerweave.operators import score_classes as K
 from layerweave.operators.scores import with_z_scores
 from layerweave.plans.inputs import MONEY, USER_EDGES, user_layers
 from layerweave.plans.registry import query, table
@@ -52,7 +53,7 @@ _NATIONS = (
 def adjacency_wide(spark, folder):
     """Export form of the adjacency: a column per vertex, zero rows kept."""
     graph = G.build_graph(nation_layer(spark, folder), rules=L.RULES)
-    wide = G.adjacency_wide(graph.vertices, graph.edges)
+    wide = G.adjacency_wide(graph.vertices, graph.edges, range(25))
     return wide.select("id", *[F.round(F.col(c), 6).alias(c) for c in wide.columns if c != "id"])
 
 
@@ -62,7 +63,8 @@ def adjacency_wide(spark, folder):
     "SELECT layer, id, round(sum(fit), 6) AS strength, count(*) AS degree FROM ends GROUP BY ALL",
 )
 def node_strength(spark, folder):
-    strength = G.node_strength(user_graph(spark, folder).edges)
+    """Strength and degree of everyone in every layer, from score classes."""
+    strength = K.degrees(user_layers(spark, folder))
     return strength.select("layer", "id", F.round("strength", 6).alias("strength"), "degree")
 
 
@@ -109,8 +111,7 @@ _PARTITION = "OVER (PARTITION BY layer)"
 )
 def pagerank10(spark, folder):
     """Ten rounds of PageRank on all user layers at once."""
-    graph = user_graph(spark, folder)
-    ranks = G.pagerank(graph.vertices, graph.edges, 10)
+    ranks = K.pagerank(user_layers(spark, folder), iterations=10)
     return ranks.select("layer", "id", F.round("rank", 6).alias("rank"))
 
 
@@ -197,20 +198,19 @@ def transition_edges(spark, folder):
 )
 def components(spark, folder):
     """Connected components of the user layers; people without edges stand alone."""
-    graph = user_graph(spark, folder)
-    return G.connected_components(graph.vertices, graph.edges)
+    return K.components(user_layers(spark, folder))
 
 
 @query(
     "components_trade",
-    "WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT o_custkey AS u, o_orderkey + 1000000000 AS v FROM orders "
-    "UNION ALL SELECT o_orderkey + 1000000000, o_custkey FROM orders)), reach(id, root) AS (SELECT u, u FROM links UNION "
+    "WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT o_custkey AS u, -o_orderkey - 1 AS v FROM orders "
+    "UNION ALL SELECT -o_orderkey - 1, o_custkey FROM orders)), reach(id, root) AS (SELECT u, u FROM links UNION "
     "SELECT v, root FROM reach JOIN links ON u = id) SELECT id, min(root) AS component FROM reach GROUP BY id",
 )
 def components_trade(spark, folder):
-    """Components of the customer-order graph: one star per customer."""
+    """Components of the customer-order graph: one star per customer; orders carry negative ids."""
     orders = table(spark, folder, "orders")
-    edges = orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"))
+    edges = orders.select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") - 1).alias("dst"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return G.connected_components(nodes, edges, by=())
 

@@ -8,7 +8,7 @@ from layerweave.operators import cp
 from layerweave.operators import incremental as I
 from layerweave.operators import tensor as T
 from layerweave.plans.registry import query
-from layerweave.plans.tensor_queries import SALES, sales_cells, sales_tensor
+from layerweave.plans.tensor_queries import SALES, sales_tensor
 from layerweave.session import scratch_path
 from layerweave.streaming.slices import CELLS, SliceStream
 
@@ -63,7 +63,11 @@ def subtensor(spark, folder):
     return I.restrict(tensor, maps, _SAMPLE_SIZES).cells
 
 
-_KNOWN_YEARS = 5
+def _halves(spark, folder):
+    """The tensor of the earlier half of the years, the cells of the later ones, and where they begin."""
+    whole = sales_tensor(spark, folder)
+    years = max(1, whole.shape[2] // 2)
+    return T.Tensor(whole.cells.filter(F.col("k") < years), T.updated(whole.shape, 2, years)), whole.cells, years
 
 
 def _table(model: cp.CPModel):
@@ -73,27 +77,23 @@ def _table(model: cp.CPModel):
 
 @query("incremental_cp")
 def incremental_cp(spark, folder):
-    """The sales of five years decomposed, then the later years received as new slices."""
-    cells = sales_cells(spark, folder).persist()
-    known = T.Tensor(cells.filter(F.col("k") < _KNOWN_YEARS), (25, 25, _KNOWN_YEARS))
-    later = cells.filter(F.col("k") >= _KNOWN_YEARS).withColumn("k", F.col("k") - _KNOWN_YEARS)
-    state = I.start(known, rank=2, max_sweeps=4, tolerance=0.002)
-    state = state.receive(T.Tensor(later, (25, 25, T.extent(later)[2])))
-    cells.unpersist()
+    """The sales of the earlier years decomposed, then the later years received as new slices."""
+    known, cells, years = _halves(spark, folder)
+    later = cells.filter(F.col("k") >= years).withColumn("k", F.col("k") - years)
+    state = I.start(known, rank=2, tolerance=0.002)
+    state = state.receive(T.Tensor(later, T.updated(known.shape, 2, T.extent(later)[2])))
     return _table(state.model)
 
 
 @query("streamed_slices")
 def streamed_slices(spark, folder):
     """The same growth as a stream of files; a slice that arrives twice is set aside."""
-    cells = sales_cells(spark, folder).persist()
     path, source = scratch_path(spark, "stream"), scratch_path(spark, "arrivals")
-    known = T.Tensor(cells.filter(F.col("k") < _KNOWN_YEARS), (25, 25, _KNOWN_YEARS))
-    slices = SliceStream(spark, path, {"max_sweeps": 4, "tolerance": 0.002})
-    slices.seed(I.start(known, rank=2, max_sweeps=4, tolerance=0.002))
+    known, cells, years = _halves(spark, folder)
+    slices = SliceStream(spark, path, {"tolerance": 0.002})
+    slices.seed(I.start(known, rank=2, tolerance=0.002))
     # One arrival: the later years, and the last known year once more.
-    cells.filter(F.col("k") >= _KNOWN_YEARS - 1).coalesce(1).write.parquet(source)
-    cells.unpersist()
+    cells.filter(F.col("k") >= years - 1).write.parquet(source)
     stream = spark.readStream.schema(CELLS).parquet(source)
     slices.run(stream, f"{path}/progress").awaitTermination()
     late = slices.late_cells().count()

@@ -37,6 +37,6 @@ def scored_answers(spark, folder):
 @query("communities")
 def communities(spark, folder):
     """Five user layers → decomposition → the members that fit the wanted profile best."""
-    found = jobs.find_communities(user_z(spark, folder), max_sweeps=5, id_column="id")
+    found = jobs.find_communities(user_z(spark, folder), id_column="id")
     sides = [found.members[s].withColumn("side", F.lit(s)).withColumn("component", F.lit(found.component[s])) for s in ("A", "B")]
     return sides[0].unionByName(sides[1])

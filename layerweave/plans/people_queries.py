@@ -26,16 +26,26 @@ _PARTS = {
 _WIDTH = {"ss": 2, "mm": 2, "hh": 2, "dd": 2, "mo": 2, "yy": 3}
 _ITEMS_TEXT = "substr(concat(md5(c_name), md5(concat(c_mktsegment, c_name)), md5(concat(c_name, 'x')), md5(concat(c_name, 'y'))), 1, 120)"
 _LINE = (
-    "concat(lpad(cast(c_custkey + 1 as string), 6, '0'), cast(c_custkey % 3 + 1 as string), lpad(cast(18 + c_nationkey as string), 2, '0'), "
+    "concat(lpad(cast(c_custkey + 1 as string), {width}, '0'), cast(c_custkey % 3 + 1 as string), lpad(cast(18 + c_nationkey as string), 2, '0'), "
     + ", ".join(f"lpad(cast({e} as string), {_WIDTH[p]}, '0')" for p, e in _PARTS.items())
     + f", rpad(substr(lower(n_name), 1, 9), 9, ' '), {_ITEMS_TEXT})"
 )
 
 
+def key_width(spark, folder) -> int:
+    """Digits of the largest case number, six at least."""
+    largest = table(spark, folder, "customer").agg(F.max("c_custkey").alias("k")).first()["k"]
+    return max(6, len(str((largest or 0) + 1)))
+
+
+def answer_layout(spark, folder):
+    return W.questionnaire_layout(key_width=key_width(spark, folder))
+
+
 def answer_lines(spark, folder):
     customers = table(spark, folder, "customer")
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return customers.join(nations, "c_nationkey").select(F.expr(_LINE).alias("value"))
+    return customers.join(nations, "c_nationkey").select(F.expr(_LINE.format(width=key_width(spark, folder))).alias("value"))
 
 
 def _repair_sql(strict: bool) -> str:
@@ -74,7 +84,7 @@ def fixed_width(spark, folder):
     """Lines written as text, read back and parsed by the layout of 125 fields."""
     path = scratch_path(spark, "answers")
     answer_lines(spark, folder).write.text(path)
-    people = W.read_fixed_width(spark, path, W.questionnaire_layout())
+    people = W.read_fixed_width(spark, path, answer_layout(spark, folder))
     items = [F.col(f"i{n}") for n in range(1, 121)]
     values = F.array(*items)
     return people.select(
@@ -87,14 +97,14 @@ def fixed_width(spark, folder):
 @query("repair_dates", f"WITH {_parsed_sql()} SELECT \"case\", date FROM parsed")
 def repair_dates(spark, folder):
     """Timestamps with every kind of bad part, repaired once."""
-    layout = W.questionnaire_layout()
+    layout = answer_layout(spark, folder)
     return W.parse_lines(answer_lines(spark, folder), [layout[0], layout[3]])
 
 
 @query("repair_dates_strict", f"WITH {_parsed_sql(True)} SELECT \"case\", date FROM parsed")
 def repair_dates_strict(spark, folder):
     """The same with an hour out of range left unknown."""
-    layout = W.questionnaire_layout()
+    layout = answer_layout(spark, folder)
     return W.parse_lines(answer_lines(spark, folder), [layout[0], layout[3]], strict=True)
 
 
@@ -132,7 +142,7 @@ def country_code(spark, folder):
 
 @query("birth_year", f"WITH {_parsed_sql()} SELECT \"case\", coalesce(year(date) - age, -1)::INT AS born FROM parsed")
 def birth_year(spark, folder):
-    people = W.parse_lines(answer_lines(spark, folder), W.questionnaire_layout()[:5])
+    people = W.parse_lines(answer_lines(spark, folder), answer_layout(spark, folder)[:5])
     return people.select("case", F.coalesce(C.birth_year(F.col("date"), F.col("age")), F.lit(-1)).alias("born"))
 
 
@@ -182,7 +192,7 @@ _NAMED = (
 @query("name_pick", f"WITH {_parsed_sql()}, {_NAMED} SELECT * FROM named")
 def name_pick(spark, folder):
     """One random name per person out of those of the same sex and birth year."""
-    people = W.parse_lines(answer_lines(spark, folder), W.questionnaire_layout()[:5])
+    people = W.parse_lines(answer_lines(spark, folder), answer_layout(spark, folder)[:5])
     return P.pick_names(people, name_list(spark, folder))
 
 
@@ -193,7 +203,7 @@ def name_pick(spark, folder):
 )
 def name_candidates(spark, folder):
     """People per birth year and sex beside the names that fit them: the multi-key join, pre-counted."""
-    people = W.parse_lines(answer_lines(spark, folder), W.questionnaire_layout()[:5])
+    people = W.parse_lines(answer_lines(spark, folder), answer_layout(spark, folder)[:5])
     born = people.groupBy(C.birth_year(F.col("date"), F.col("age")).alias("born"), "sex").agg(F.count(F.lit(1)).alias("people"))
     names = name_list(spark, folder).groupBy(F.col("year").cast("int").alias("born"), "sex").agg(F.count(F.lit(1)).alias("names"))
     return born.join(names, ["born", "sex"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from layerweave.functions import cleaning as C
 from layerweave.operators.ordering import dense_index
 from layerweave.plans.graph_queries import user_graph
-from layerweave.plans.inputs import USER_EDGES
+from layerweave.plans.inputs import USER_EDGES, user_layers
 from layerweave.plans.registry import query, table
 from layerweave.plans.tensor_queries import SALES, sales_cells
 from layerweave.session import scratch_path
@@ -24,21 +24,28 @@ def csv_fallback(spark, folder):
     return D.read_csv(spark, path, sep="\t", schema="o_orderkey long, o_custkey long, o_totalprice double")
 
 
-@query("sorted_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("sorted_csv", "SELECT c_custkey, c_name, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
 def sorted_csv(spark, folder):
-    """Rows written in total order as range-partitioned files."""
+    """Rows written in total order as range-partitioned files; ``place`` is their place in the files."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     path = D.write_sorted_csv(customers, scratch_path(spark, "customers"), ["c_custkey"])
-    return spark.read.csv(path, header=True, schema="c_custkey long, c_name string, c_acctbal double")
+    return in_file_order(spark.read.csv(path, header=True, schema="c_custkey long, c_name string, c_acctbal double"))
 
 
-@query("table_append", "SELECT l_returnflag, count(*) AS lines FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+def in_file_order(rows):
+    """Add ``place``: rows counted through the files in the order of their names, lines in the order of each file."""
+    file = F.col("_metadata.file_name")
+    placed = rows.withColumns({"_file": file, "_start": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    return dense_index(placed, [F.col("_file"), F.col("_start"), F.col("_line")], "place").drop("_file", "_start", "_line")
+
+
+@query("table_append", "SELECT l_returnflag, count(*) AS lines FROM lineitem GROUP BY ALL")
 def table_append(spark, folder):
     """A table written once, appended to, and read back."""
     path = scratch_path(spark, "lines")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag")
     Tb.write_table(lines.filter(F.col("l_returnflag") == "A"), path, mode="overwrite")
-    Tb.write_table(lines.filter(F.col("l_returnflag") == "R"), path, mode="append")
+    Tb.write_table(lines.filter(F.col("l_returnflag") != "A"), path, mode="append")
     return Tb.read_table(spark, path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -51,7 +58,7 @@ def coordinate_text(spark, folder):
 
 @query(
     "factor_text",
-    "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_acctbal AS f0, s_nationkey::DOUBLE AS f1 FROM supplier",
+    "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_acctbal AS f0, s_nationkey::DOUBLE AS f1, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier",
 )
 def factor_text(spark, folder):
     """Factor rows written as text in index order and read back."""
@@ -59,7 +66,7 @@ def factor_text(spark, folder):
         "idx", F.col("s_acctbal").alias("f0"), F.col("s_nationkey").cast("double").alias("f1")
     )
     path = D.write_factor(rows, scratch_path(spark, "factor"), ["f0", "f1"])
-    return spark.read.csv(path, sep=" ", schema="idx long, f0 double, f1 double")
+    return in_file_order(spark.read.csv(path, sep=" ", schema="idx long, f0 double, f1 double"))
 
 
 @query("layer_export", f"WITH {USER_EDGES} SELECT layer, count(*) AS edges, count(DISTINCT src) AS sources FROM edges GROUP BY layer")
@@ -74,12 +81,12 @@ def layer_export(spark, folder):
 
 @query(
     "store_nodes",
-    f"WITH {USER_EDGES} SELECT layer, id::INT AS id, 'user ' || id AS label, round(z::FLOAT::DOUBLE, 4) AS score, (18 + id % 50)::INT AS age, "
+    f"WITH {USER_EDGES} SELECT layer, id::BIGINT AS id, 'user ' || id AS label, round(z::FLOAT::DOUBLE, 4) AS score, (18 + id % 50)::INT AS age, "
     "CASE id % 2 WHEN 0 THEN 'M' ELSE 'F' END AS sex, 'ZZZ' AS country FROM people",
 )
 def store_nodes(spark, folder):
     """Node rows in the shape a graph store loads."""
-    people = user_graph(spark, folder).vertices.withColumns(
+    people = user_layers(spark, folder).withColumns(
         {"name": F.concat(F.lit("user "), F.col("id")), "age": 18 + F.col("id") % 50,
          "sex": F.when(F.col("id") % 2 == 0, "M").otherwise("F"), "country": F.lit("ZZZ")}
     )
@@ -88,7 +95,7 @@ def store_nodes(spark, folder):
 
 @query(
     "store_edges",
-    f"WITH {USER_EDGES} SELECT layer, src::INT AS src, dst::INT AS dst, 'INTERLOCK' AS type, round(fit::FLOAT::DOUBLE, 4) AS weight FROM edges",
+    f"WITH {USER_EDGES} SELECT layer, src::BIGINT AS src, dst::BIGINT AS dst, 'INTERLOCK' AS type, round(fit::FLOAT::DOUBLE, 4) AS weight FROM edges",
 )
 def store_edges(spark, folder):
     """Relation rows in the shape a graph store loads, weighted by the fit."""
@@ -140,15 +147,18 @@ def dense_ids(spark, folder):
 
 @query(
     "null_handling",
-    "WITH sums AS (SELECT c_custkey, count(o_orderkey) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS spent FROM customer LEFT JOIN "
-    "(SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') ON c_custkey = o_custkey GROUP BY ALL) "
+    "WITH sums AS (SELECT c_custkey, count(o_orderkey) AS orders, sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' "
+    "THEN CAST(o_totalprice AS DECIMAL(18,2)) END)::DOUBLE AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) "
     "SELECT c_custkey, orders, coalesce(spent, -1) AS spent, spent IS NOT NULL AS complete FROM sums",
 )
 def null_handling(spark, folder):
-    """Unknown amounts filled with -1, and whether the any-NULL drop keeps the row."""
-    urgent = table(spark, folder, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
-    spent = urgent.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spent")
+    """Orders of every customer and the amount of the urgent closed ones, NULL without any.
+
+    Unknown amounts are filled with -1; ``complete`` says whether the any-NULL drop keeps the row.
+    """
+    urgent = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    spent = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.when(urgent, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("spent")
     )
     joined = table(spark, folder, "customer").select("c_custkey").join(spent, "c_custkey", "left").na.fill(0, ["orders"])
     complete = joined.na.drop().withColumn("complete", F.lit(True))

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from layerweave.operators import cp
 from layerweave.operators import tensor as T
 from layerweave.plans.inputs import MONEY
 from layerweave.plans.registry import query, table
-
-FIRST_YEAR = 1992
-SHAPE = (25, 25, 16)
+from layerweave.session import keep_table
 
 
 def sales_cells(spark, folder):
-    """``i, j, k, value``: supplier nation × brand × ship year → revenue."""
+    """``i, j, k, value``: supplier nation × brand × ship year, counted from the first one → revenue."""
     lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    first_year = lines.agg(F.min(F.year("l_shipdate")).alias("y")).first()["y"] or 0
     suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("i"))
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long") - 1
     parts = table(spark, folder, "part").select("p_partkey", brand.alias("j"))
     joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    year = (F.year("l_shipdate") - FIRST_YEAR).cast("long").alias("k")
+    year = (F.year("l_shipdate") - first_year).cast("long").alias("k")
     amount = F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("value")
     return joined.groupBy("i", "j", year).agg(amount)
 
 
 def sales_tensor(spark, folder) -> T.Tensor:
-    return T.Tensor(sales_cells(spark, folder), SHAPE)
+    """The stored cells, as long in every mode as their indexes reach."""
+    cells = keep_table(sales_cells(spark, folder))
+    return T.Tensor(cells, T.extent(cells))
 
 
 SALES = (
     "sales AS MATERIALIZED (SELECT s_nationkey::BIGINT AS i, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT - 1 AS j, "
-    f"(year(l_shipdate) - {FIRST_YEAR})::BIGINT AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS value "
+    "(year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM lineitem))::BIGINT AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS value "
     "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 )
 
@@ -49,8 +52,8 @@ def fixed_sql(index: str, r: int, shift: int) -> str:
 RANK = 3
 
 
-def fixed_factors(spark):
-    return [fixed_factor(spark, n, RANK, shift) for shift, n in enumerate(SHAPE)]
+def fixed_factors(spark, shape):
+    return [fixed_factor(spark, n, RANK, shift) for shift, n in enumerate(shape)]
 
 
 def rounded(df, *columns, digits=4):
@@ -65,13 +68,14 @@ def sales(spark, folder):
 @query("tensor_extent", f"WITH {SALES} SELECT max(i) + 1 AS i, max(j) + 1 AS j, max(k) + 1 AS k, count(*) AS cells, round(sqrt(sum(value * value)), 4) AS norm FROM sales")
 def tensor_extent(spark, folder):
     """Length of every mode, stored cells and Frobenius norm."""
-    return sales_cells(spark, folder).agg(
-        *[(F.max(m) + 1).alias(m) for m in T.MODES], F.count(F.lit(1)).alias("cells"),
-        F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("norm"),
-    )
+    tensor = sales_tensor(spark, folder)
+    row = (*tensor.shape, T.stored_cells(tensor), round(T.norm(tensor), 4))
+    return spark.createDataFrame([row], "i long, j long, k long, cells long, norm double")
 
 
-for _mode, (_row, _column) in enumerate((("i", "k * 25 + j"), ("j", "k * 25 + i"), ("k", "i * 25 + j"))):
+for _mode, (_row, _column) in enumerate((
+    ("i", "k * (SELECT max(j) + 1 FROM sales) + j"), ("j", "k * (SELECT max(i) + 1 FROM sales) + i"), ("k", "i * (SELECT max(j) + 1 FROM sales) + j"),
+)):
     def _unfolded(spark, folder, mode=_mode):
         """Matrix form of the sales tensor along one mode."""
         return rounded(T.unfold(sales_tensor(spark, folder), mode).cells, "value")
@@ -85,8 +89,9 @@ for _mode, (_row, _column) in enumerate((("i", "k * 25 + j"), ("j", "k * 25 + i"
 )
 def tensor_mode_vector(spark, folder):
     """Sum the brands out against a weight per brand."""
-    vector = fixed_factor(spark, 25, 1, 1).rows.select("idx", F.col("f0").alias("value"))
-    return rounded(T.contract_vector(sales_tensor(spark, folder), 1, vector, 25).cells, "value")
+    tensor = sales_tensor(spark, folder)
+    vector = fixed_factor(spark, tensor.shape[1], 1, 1).rows.select("idx", F.col("f0").alias("value"))
+    return rounded(T.contract_vector(tensor, 1, vector, tensor.shape[1]).cells, "value")
 
 
 @query(
@@ -100,22 +105,27 @@ def tensor_contract(spark, folder):
     stock = table(spark, folder, "part").groupBy(brand.alias("i"), F.col("p_size").cast("long").alias("j")).agg(
         F.count(F.lit(1)).cast("double").alias("value")
     )
-    out = T.contract(sales_tensor(spark, folder), 1, T.Tensor(stock, (25, 51), ("i", "j")), 0)
+    sold, (brands, sizes) = sales_tensor(spark, folder), T.extent(stock, ("i", "j"))
+    brands = max(brands, sold.shape[1])
+    sold = replace(sold, shape=T.updated(sold.shape, 1, brands))
+    out = T.contract(sold, 1, T.Tensor(stock, (brands, sizes), ("i", "j")), 0)
     return rounded(out.cells, "value")
 
 
-def _by_flag(spark, folder, flag: str) -> T.Tensor:
-    lines = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == flag)
-    cells = lines.groupBy(
+def _by_flag(spark, folder, returned: bool) -> T.Tensor:
+    """Quantities by supplier and line number: the lines of flag A, or all others."""
+    lines = table(spark, folder, "lineitem")
+    shape = T.extent(lines, ("l_suppkey", "l_linenumber"))
+    cells = lines.filter((F.col("l_returnflag") == "A") == returned).groupBy(
         F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j")
     ).agg(F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("value"))
-    return T.Tensor(cells, (10**9, 8), ("i", "j"))
+    return T.Tensor(cells, shape, ("i", "j"))
 
 
 _FLAGS = ", ".join(
     f"{name} AS (SELECT l_suppkey AS i, l_linenumber::BIGINT AS j, sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS value "
-    f"FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY ALL)"
-    for name, flag in (("ra", "A"), ("rr", "R"))
+    f"FROM lineitem WHERE l_returnflag {test} 'A' GROUP BY ALL)"
+    for name, test in (("ra", "="), ("rr", "<>"))
 )
 
 
@@ -126,7 +136,7 @@ _FLAGS = ", ".join(
 )
 def tensor_subtract(spark, folder):
     """Cell-wise difference; a missing cell is zero."""
-    return rounded(T.subtract(_by_flag(spark, folder, "A"), _by_flag(spark, folder, "R")).cells, "value")
+    return rounded(T.subtract(_by_flag(spark, folder, True), _by_flag(spark, folder, False)).cells, "value")
 
 
 @query(
@@ -135,16 +145,16 @@ def tensor_subtract(spark, folder):
 )
 def hadamard(spark, folder):
     """Cell-wise product of the cells present on both sides."""
-    return rounded(T.hadamard(_by_flag(spark, folder, "A"), _by_flag(spark, folder, "R")).cells, "value")
+    return rounded(T.hadamard(_by_flag(spark, folder, True), _by_flag(spark, folder, False)).cells, "value")
 
 
 @query(
     "tensor_append",
-    f"WITH {_FLAGS} SELECT i, j, value FROM ra UNION ALL SELECT i, j + 8, value FROM rr",
+    f"WITH {_FLAGS} SELECT i, j, value FROM ra UNION ALL SELECT i, j + (SELECT max(l_linenumber) + 1 FROM lineitem), value FROM rr",
 )
 def tensor_append(spark, folder):
     """One matrix behind the other along the second mode, indexes shifted."""
-    return T.append_mode(_by_flag(spark, folder, "A"), _by_flag(spark, folder, "R"), 1).cells
+    return T.append_mode(_by_flag(spark, folder, True), _by_flag(spark, folder, False), 1).cells
 
 
 @query(
@@ -153,7 +163,7 @@ def tensor_append(spark, folder):
 )
 def matrix_multiply(spark, folder):
     """Transposed matrix times matrix, joined on the supplier."""
-    left, right = _by_flag(spark, folder, "A"), _by_flag(spark, folder, "R")
+    left, right = _by_flag(spark, folder, True), _by_flag(spark, folder, False)
     return rounded(T.multiply(T.transpose(left), right).cells, "value")
 
 
@@ -193,7 +203,7 @@ def column_norms(spark, folder):
     "khatri_rao",
     "WITH a AS (SELECT c_nationkey::BIGINT AS p, count(*)::DOUBLE AS f0, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE / 1000 AS f1 FROM customer GROUP BY ALL), "
     "b AS (SELECT regexp_extract(p_brand, '(\\d+)', 1)::BIGINT - 1 AS q, count(*)::DOUBLE AS f0, sum(CAST(p_retailprice AS DECIMAL(18,2)))::DOUBLE / 1000 AS f1 FROM part GROUP BY ALL) "
-    "SELECT p * 25 + q AS idx, round(a.f0 * b.f0, 4) AS f0, round(a.f1 * b.f1, 4) AS f1 FROM a, b",
+    "SELECT p * (SELECT max(q) + 1 FROM b) + q AS idx, round(a.f0 * b.f0, 4) AS f0, round(a.f1 * b.f1, 4) AS f1 FROM a, b",
 )
 def khatri_rao(spark, folder):
     """Row-wise products of a nation matrix and a brand matrix."""
@@ -202,14 +212,15 @@ def khatri_rao(spark, folder):
     nations = table(spark, folder, "customer").groupBy(F.col("c_nationkey").cast("long").alias("idx")).agg(count, total("c_acctbal"))
     brand = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("long") - 1).alias("idx")
     brands = table(spark, folder, "part").groupBy(brand).agg(count, total("p_retailprice"))
-    return rounded(T.khatri_rao(T.Factor(nations, 25, 2), T.Factor(brands, 25, 2)).rows, "f0", "f1")
+    left, right = (T.Factor(rows, T.extent(rows, ("idx",))[0], 2) for rows in (nations, brands))
+    return rounded(T.khatri_rao(left, right).rows, "f0", "f1")
 
 
 def _mttkrp_sql(mode: int) -> str:
     index = T.MODES[mode]
     others = [(T.MODES[n], n) for n in range(3) if n != mode]
     sums = ", ".join(
-        "round(sum(value * " + " * ".join(fixed_sql(m, r, n) for m, n in others) + f"), 6) AS f{r}" for r in range(RANK)
+        "round(sum(value * " + " * ".join(fixed_sql(m, r, n) for m, n in others) + f"), 3) AS f{r}" for r in range(RANK)
     )
     return f"WITH {SALES} SELECT {index} AS idx, {sums} FROM sales GROUP BY ALL"
 
@@ -217,8 +228,9 @@ def _mttkrp_sql(mode: int) -> str:
 for _mode in range(3):
     def _products(spark, folder, mode=_mode):
         """All ranks of the matricised product in one pass over the sales tensor."""
-        out = T.mttkrp(sales_tensor(spark, folder), fixed_factors(spark), mode)
-        return rounded(out.rows, *out.columns, digits=6)
+        tensor = sales_tensor(spark, folder)
+        out = T.mttkrp(tensor, fixed_factors(spark, tensor.shape), mode)
+        return rounded(out.rows, *out.columns, digits=3)
 
     query(f"mttkrp_mode{_mode + 1}", _mttkrp_sql(_mode))(_products)
 
@@ -232,14 +244,14 @@ _ESTIMATE = "(" + " + ".join(
 @query("cp_value", f"WITH {SALES} SELECT i, j, k, round({_ESTIMATE}, 7) AS estimate FROM sales")
 def cp_value(spark, folder):
     """A model's value at every stored cell."""
-    cells = sales_cells(spark, folder).select(*T.MODES)
-    return rounded(T.evaluate(cells, fixed_factors(spark), _WEIGHTS), "estimate", digits=7)
+    tensor = sales_tensor(spark, folder)
+    return rounded(T.evaluate(tensor.cells.select(*T.MODES), fixed_factors(spark, tensor.shape), _WEIGHTS), "estimate", digits=7)
 
 
 @query(
     "cp_error",
     f"WITH {SALES}, e AS (SELECT value, {_ESTIMATE} AS m FROM sales), g AS (SELECT sum({_ESTIMATE} * {_ESTIMATE}) AS mm FROM "
-    "range(25) a(i), range(25) b(j), range(16) c(k)) SELECT round(sqrt(sum((m - value) * (m - value)) / sum(value * value)), 6) AS masked, "
+    "range((SELECT max(i) + 1 FROM sales)) a(i), range((SELECT max(j) + 1 FROM sales)) b(j), range((SELECT max(k) + 1 FROM sales)) c(k)) SELECT round(sqrt(sum((m - value) * (m - value)) / sum(value * value)), 6) AS masked, "
     "round(sqrt((sum(value * value) - 2 * sum(value * m) + any_value(mm)) / sum(value * value)), 6) AS full_error FROM e, g",
 )
 def cp_error(spark, folder):
@@ -247,7 +259,7 @@ def cp_error(spark, folder):
     import numpy as np
 
     tensor = sales_tensor(spark, folder)
-    model = cp.CPModel(tuple(fixed_factors(spark)), np.array(_WEIGHTS))
+    model = cp.CPModel(tuple(fixed_factors(spark, tensor.shape)), np.array(_WEIGHTS))
     rows = [(round(model.error(tensor, masked=True), 6), round(model.error(tensor), 6))]
     return spark.createDataFrame(rows, "masked double, full_error double")
 
@@ -256,19 +268,22 @@ def cp_error(spark, folder):
     "cp_reconstruct",
     "WITH a AS (SELECT c_nationkey::BIGINT AS i, count(*) / 10.0::DOUBLE AS f FROM customer GROUP BY ALL), "
     "b AS (SELECT regexp_extract(p_brand, '(\\d+)', 1)::BIGINT - 1 AS j, count(*) / 10.0::DOUBLE AS f FROM part GROUP BY ALL), "
-    "c AS (SELECT (year(o_orderdate) - 1992)::BIGINT AS k, count(*) / 100.0::DOUBLE AS f FROM orders GROUP BY ALL) "
-    "SELECT i, j, g.k AS k, round(coalesce(2.0 * a.f * b.f * c.f, 0), 4) AS value FROM a CROSS JOIN b CROSS JOIN (SELECT unnest(range(16)) AS k) g LEFT JOIN c ON c.k = g.k",
+    "c AS (SELECT (year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders))::BIGINT AS k, count(*) / 100.0::DOUBLE AS f FROM orders GROUP BY ALL) "
+    "SELECT g.i, h.j, l.k, round(coalesce(2.0 * a.f * b.f * c.f, 0), 4) AS value FROM range((SELECT max(i) + 1 FROM a)) g(i) CROSS JOIN range((SELECT max(j) + 1 FROM b)) h(j) "
+    "CROSS JOIN range((SELECT max(k) + 1 FROM c)) l(k) LEFT JOIN a ON a.i = g.i LEFT JOIN b ON b.j = h.j LEFT JOIN c ON c.k = l.k",
 )
 def cp_reconstruct(spark, folder):
     """All cells of a rank-one model built from nation, brand and year counts."""
-    def share(name, key, scale, length):
+    def share(name, key, scale):
         rows = table(spark, folder, name).groupBy(key.cast("long").alias("idx")).agg((F.count(F.lit(1)) / scale).alias("f0"))
-        return T.Factor(rows, length, 1)
+        return T.Factor(rows, T.extent(rows, ("idx",))[0], 1)
+
+    first_year = table(spark, folder, "orders").agg(F.min(F.year("o_orderdate")).alias("y")).first()["y"] or 0
 
     factors = [
-        share("customer", F.col("c_nationkey"), 10.0, 25),
-        share("part", F.regexp_extract("p_brand", r"(\d+)", 1).cast("long") - 1, 10.0, 25),
-        share("orders", F.year("o_orderdate") - FIRST_YEAR, 100.0, 16),
+        share("customer", F.col("c_nationkey"), 10.0),
+        share("part", F.regexp_extract("p_brand", r"(\d+)", 1).cast("long") - 1, 10.0),
+        share("orders", F.year("o_orderdate") - first_year, 100.0),
     ]
     return rounded(T.reconstruct(factors, [2.0]).cells, "value")
 
@@ -276,14 +291,15 @@ def cp_reconstruct(spark, folder):
 @query("cp_als")
 def cp_als(spark, folder):
     """Rank-two decomposition of the sales tensor: every factor entry, with the final error."""
-    model = cp.cp_als(sales_tensor(spark, folder), rank=2, max_sweeps=6, tolerance=0.002)
+    model = cp.cp_als(sales_tensor(spark, folder), rank=2, max_sweeps=25, tolerance=0.002)
     parts = [cp.factor_table(f, "x").withColumn("mode", F.lit(m)) for m, f in zip(T.MODES, model.factors)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(rows.withColumn("error", F.lit(float(model.errors[-1]))), "x_r0", "x_r1", "error")
+    rows = rows.withColumns({"error": F.lit(float(model.errors[-1])), "converged": F.lit(model.converged)})
+    return rounded(rows, "x_r0", "x_r1", "error")
 
 
 @query("cp_fit")
 def cp_fit(spark, folder):
     """The variant that stops on the fit: its weights and the fit it reached."""
-    model = cp.cp_fit(sales_tensor(spark, folder), rank=2, max_sweeps=6)
-    return cp.weight_table(model).withColumn("fit", F.lit(1.0 - model.errors[-1]))
+    model = cp.cp_fit(sales_tensor(spark, folder), rank=2)
+    return cp.weight_table(model).withColumns({"fit": F.lit(1.0 - model.errors[-1]), "converged": F.lit(model.converged)})

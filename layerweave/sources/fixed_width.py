@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +25,22 @@ class Field:
         return self.end - self.start + 1
 
 
-def questionnaire_layout(items: int = 120) -> list[Field]:
-    """The layout of the raw answer file: five head fields, then one character per item."""
-    # Head fields of the answer file.
+def questionnaire_layout(items: int = 120, key_width: int = 6) -> list[Field]:
+    """The layout of the raw answer file: five head fields, then one character per item.
+
+    ``key_width`` is the width of the case number; files with more people than six digits can name have a wider one.
+    """
+    # Head fields of the answer file, whose case number has six characters.
     head = [
-        Field("case", 1, 6, "integer"),
+        Field("case", 1, 6, "integer" if key_width <= 9 else "long"),
         Field("sex", 7, 7, "string"),
         Field("age", 8, 9, "integer"),
         Field("date", 10, 22, "timestamp"),
         Field("country", 23, 31, "string"),
     ]
-    return head + [Field(f"i{n}", 31 + n, 31 + n, "float") for n in range(1, items + 1)]
+    more = key_width - 6
+    fields = head + [Field(f"i{n}", 31 + n, 31 + n, "float") for n in range(1, items + 1)]
+    return [replace(f, start=f.start + more * (f.start > 1), end=f.end + more) for f in fields]
 
 
 def read_layout(spark: SparkSession, path: str) -> list[Field]:

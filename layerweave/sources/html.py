@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +16,32 @@ BLOCKS = (
     "address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|"
     "li|main|nav|ol|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
-# Named characters that are resolved.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# All named characters of the HTML standard, from Python's own table; a no-break space counts as a space.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
+_REFERENCE = "^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def resolve_characters(text: Column) -> Column:
+    """Named and numeric character references as characters; unknown names stay as they are written."""
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def piece_text(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        rest = F.substring(piece, F.length(name) + 3, F.length(piece))
+        digits = F.lower(F.substring(name, 2, 8))
+        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 7), 16, 10)).otherwise(digits).try_cast("long")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        known = F.when(name.startswith("#"), number).otherwise(F.try_element_at(named, name))
+        return F.when((name == "") | known.isNull(), piece).otherwise(F.concat(known, rest))
+
+    pieces = F.split(text, "(?=&)")
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, piece_text), "")).otherwise(text)
 
 
 def _plain(column: Column) -> Column:
-    """Text of a fragment: tags dropped, named characters resolved."""
-    text = F.regexp_replace(column, r"<[^>]*>", "")
-    for name, character in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """Text of a fragment: tags dropped, character references resolved."""
+    return resolve_characters(F.regexp_replace(column, r"<[^>]*>", ""))
 
 
 def html_items(pages: DataFrame, id_column: str, html_column: str, heading: str = "h2", item: str = "p") -> DataFrame:

@@ -43,7 +43,7 @@ def export_results(tables: Mapping[str, DataFrame | None], path: str, kind: str
 def store_nodes(vertices: DataFrame) -> DataFrame:
     """Node rows as a graph store loads them: ``layer, id, label, score, age, sex, country``."""
     return vertices.select(
-        "layer", F.col("id").cast("int").alias("id"), F.col("name").cast("string").alias("label"),
+        "layer", F.col("id").cast("long").alias("id"), F.col("name").cast("string").alias("label"),
         F.col("z").cast("float").alias("score"), F.col("age").cast("int").alias("age"), "sex", "country",
     )
 
@@ -51,6 +51,6 @@ def store_nodes(vertices: DataFrame) -> DataFrame:
 def store_edges(edges: DataFrame, weight: str = "fit") -> DataFrame:
     """Relation rows as a graph store loads them: ``layer, src, dst, type, weight``."""
     return edges.select(
-        "layer", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"),
+        "layer", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"),
         F.lit("INTERLOCK").alias("type"), F.col(weight).cast("float").alias("weight"),
     )

@@ -168,3 +168,29 @@ def test_exports(spark, tmp_path):
     assert Tb.store_edges(e).first().asDict() == {"layer": "OPN", "src": 1, "dst": 2, "type": "INTERLOCK", "weight": 0.25}
     out = Tb.export_results({"community": v, "lambda": None}, str(tmp_path / "results"), single_file=True)
     assert list(out) == ["community"] and len(list((tmp_path / "results" / "community").glob("part-*"))) == 1
+
+
+def test_character_references(spark):
+    from layerweave.sources.html import resolve_characters
+
+    texts = {
+        "a &amp; b &lt;c&gt; &quot;d&quot; &#39;e&apos;": "a & b <c> \"d\" 'e'", "&copy; 2020 &middot; caf&eacute;": "\u00a9 2020 \u00b7 caf\u00e9",
+        "&#233;&#xE9;&#x1F600;": "\u00e9\u00e9\U0001f600", "&amp;lt; & && &unknown; &copy": "&lt; & && &unknown; &copy", "x&nbsp;y": "x y",
+        "&#0;&#xD800;&#1114112;": "\ufffd\ufffd\ufffd", "": "", "no reference": "no reference",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", resolve_characters(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in rows} == texts
+
+
+def test_countries_take_many_names_per_code(spark):
+    people = spark.createDataFrame([(1, "Holland"), (2, "netherlands"), (3, "nowhere")], "id int, country string")
+    listed = spark.createDataFrame([("Netherlands", "NLD"), ("Holland", "NLD"), ("Belgium", "BEL")], "name string, code string")
+    assert {r["id"]: r["country_code"] for r in C.with_country_code(people, "country", listed).collect()} == {1: "NLD", 2: "NLD", 3: "ZZZ"}
+
+
+def test_wide_case_numbers(spark):
+    from layerweave.sources.fixed_width import parse_lines, questionnaire_layout
+
+    line = "12345678901" + "1" + "25" + "0" * 13 + "france   " + "1" * 120
+    row = parse_lines(spark.createDataFrame([(line,)], "value string"), questionnaire_layout(key_width=11)).first()
+    assert (row["case"], row["sex"], row["age"], row["country"], row["i120"]) == (12345678901, "M", 25, "france", 1.0)

@@ -105,10 +105,10 @@ def test_components_name_the_smallest_id(spark):
 def test_wide_adjacency_keeps_silent_nodes(spark):
     v = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "layer string, id long")
     e = spark.createDataFrame([("a", 1, 2, 0.5), ("a", 1, 2, 1.5)], "layer string, src long, dst long, fit double")
-    wide = {r["id"]: (r["1"], r["2"], r["3"]) for r in G.adjacency_wide(v, e).collect()}
+    wide = {r["id"]: (r["1"], r["2"], r["3"]) for r in G.adjacency_wide(v, e, [1, 2, 3]).collect()}
     assert wide == {1: (0.0, 1.0, 0.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
-    with pytest.raises(ValueError):
-        G.adjacency_wide(v, e, most=2)
+    block = {r["id"]: r["2"] for r in G.adjacency_wide(v, e, [2]).collect()}
+    assert block == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
 @pytest.mark.parametrize("hot_rows", [5, 10**6])
