@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +30,33 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [value or b"" for value in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def largest_counts(counts: DataFrame, key: str, n: str, most: int) -> list:
+    """Rows ``key, n`` of the largest counts, at most ``most`` of them, largest first.
+
+    A histogram of the counts (eighths of a power of two, a few hundred rows) tells from which count on the rows are few
+    enough; only those leave the executors, whatever the number of partitions.
+    """
+    step = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    left, floor = most, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("least")).orderBy(F.col("step").desc()).collect():
+        left -= row["rows"]
+        if left < 0:
+            break
+        floor = row["least"]
+    return [] if floor is None else counts.filter(F.col(n) >= floor).select(key, n).orderBy(F.col(n).desc(), key).collect()
+
+
+def bounded_sample(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of their keys.
+
+    Beyond ``most`` rows the hash is cut at the share that is wanted first, so that no partition sorts or sends more.
+    """
+    total, hashed = rows.count(), F.xxhash64(*keys)
+    if total > most:
+        rows = rows.filter(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int((1 << 30) * most / total)))
+    return rows.orderBy(hashed, *keys).limit(most)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch that returns one batch or None."""
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.llm.common import digest, map_arrow, texts_of
+from layerweave.llm.common import digest, largest_counts, map_arrow, texts_of
 from layerweave.operators.graph import connected_components
 from layerweave.operators.skew import HotKeys, spread_join
 from layerweave.session import keep_table
@@ -192,7 +192,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT_TOKENS) ->
         })
 
     counts = map_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "token").limit(most).collect()
+    rows = largest_counts(keep_table(counts), "token", "n", most)
     return np.array([row["token"] for row in rows][::-1], np.int64).view(np.uint64).tobytes()
 
 

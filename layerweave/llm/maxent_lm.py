@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.llm.common import fold, map_arrow, texts_of
+from layerweave.llm.common import fold, largest_counts, map_arrow, texts_of
 from layerweave.session import keep_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -28,11 +28,13 @@ GROUPS = CLASSES * MEMBERS
 #: Hashed rows per feature of the class layer and of the member layer.
 CLASS_ROWS, MEMBER_ROWS = 2048, 1024
 CLASS_FEATURES, MEMBER_FEATURES = 4, 2
-ROUNDS, BATCH, RATE = 2, 8192, 0.12
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
+#: Squared slopes with which every weight starts; holds back features that were seen a few times only.
+CAUTION = 30.0
 #: Tokens whose counts travel with the tasks; all others get theirs by a join.
 COMMON_TOKENS = 200_000
 # Tokens scored at a time; bounds the memory of a task whatever the length of its texts.
-SPAN = 1_000_000
+SPAN, STEP = 250_000, 32_768
 BLOCKS = 64
 # The end of a text, and what stands before its first word: no UTF-8 text holds these bytes.
 END, START = b"\xff", b"\xfe"
@@ -110,7 +112,7 @@ class Model:
     def learn(self, stream: Stream) -> None:
         """Adaptive gradient steps over the stream, in order."""
         if not hasattr(self, "squares"):
-            self.squares = np.full(len(self.weights), 1e-3, np.float32)
+            self.squares = np.full(len(self.weights), CAUTION, np.float32)
         for begin in range(0, len(stream.groups), BATCH):
             part = slice(begin, begin + BATCH)
             _, gradient = self.predict([r[part] for r in stream.rows], [r[part] for r in stream.member_rows], stream.groups[part], learn=True)
@@ -243,7 +245,7 @@ def score(docs: DataFrame) -> DataFrame:
     share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS))
     for turn in range(ROUNDS):  # the shares are disjoint and together hold every training text
         model = train_round(training.filter(share == turn), model)
-    common = counts.orderBy(F.col("n").desc(), "token").limit(COMMON_TOKENS).select("token", "n").collect()
+    common = largest_counts(counts, "token", "n", COMMON_TOKENS)
     shared = spark.sparkContext.broadcast((
         model.shares, model.weights, b" ".join(bytes(r["token"]) for r in common), np.array([r["n"] for r in common], np.int64).tobytes(),
     ))
@@ -256,8 +258,8 @@ def score(docs: DataFrame) -> DataFrame:
         for _, texts in spans(texts_of(batch)):
             stream = Stream(texts)
             logs = np.concatenate([
-                own.predict([r[p:p + SPAN // 16] for r in stream.rows], [r[p:p + SPAN // 16] for r in stream.member_rows], stream.groups[p:p + SPAN // 16])
-                for p in range(0, len(stream.groups), SPAN // 16)
+                own.predict([r[p:p + STEP] for r in stream.rows], [r[p:p + STEP] for r in stream.member_rows], stream.groups[p:p + STEP])
+                for p in range(0, len(stream.groups), STEP)
             ])
             logs = logs / np.log(10) - np.log10(shares)[stream.groups]
             count = np.fromiter((known.get(token, 0) for token in stream.vocabulary), np.int64, len(stream.vocabulary))[stream.tokens]

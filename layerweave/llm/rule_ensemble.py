@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerweave.llm.common import fold, map_arrow, texts_of
+from layerweave.llm.common import bounded_sample, fold, map_arrow, texts_of
 from layerweave.llm.trees import Condition, fit_boosted, paths, probability, sigmoid
 
 #: The fit sees at most so many labelled rows, chosen by a hash of their id.
@@ -117,7 +117,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, pen
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Fits on labelled rows outside the held-out fold, at most ``sample_rows`` ids by hash order."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    chosen = known.groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("_label")), ["doc_id"], sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows small rows
     stats = with_statistics(texts).groupBy("doc_id", "_label").agg(F.min("_statistics").alias("_statistics"))
     rows = stats.orderBy("doc_id").collect()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.llm.common import fold, map_arrow, texts_of
+from layerweave.llm.common import bounded_sample, fold, map_arrow, texts_of
 from layerweave.llm.trees import sigmoid
 
 #: The fit sees at most so many labelled rows, chosen by a hash of their id.
@@ -97,7 +97,7 @@ def choose_terms(found: list[np.ndarray], y: np.ndarray, terms: int = TERMS, lea
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fits on labelled rows outside the held-out fold, at most ``sample_rows`` ids by hash order."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    chosen = known.groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("_label")), ["doc_id"], sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows small rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

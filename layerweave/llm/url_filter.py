@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.llm.common import map_arrow, texts_of
+from layerweave.llm.common import bounded_sample, map_arrow, texts_of
 from layerweave.llm.trees import BoostedTrees, boosted_column, fit_boosted
 from layerweave.operators.skew import HotKeys, spread_join
 from layerweave.session import keep_table
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS) -> Dat
         joined = spread_join(df, shares, ["_suffix"], [F.col("_url")], HotKeys(df, ["_suffix"]), size["n"], "left", 4 * size["chars"])
         return joined.withColumn("suffix_share", F.coalesce("_share", F.lit(float(known))))
 
-    rows = with_share(labelled.orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)).select("_url", "_block", *FEATURES).orderBy("_url", "_block").collect()
+    rows = with_share(bounded_sample(labelled, ["_url"], sample_rows)).select("_url", "_block", *FEATURES).orderBy("_url", "_block").collect()
     x = np.array([[row[f] for f in FEATURES] for row in rows], float).reshape(len(rows), len(FEATURES))
     model: BoostedTrees = fit_boosted(x, np.array([row["_block"] for row in rows]))
     score = boosted_column(model, [F.col(f) for f in FEATURES])
