@@ -73,7 +73,16 @@ def keep_table(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    return kept
+
+
+def forget_table(kept: DataFrame) -> None:
+    """Delete the files of a table that ``keep_table`` wrote, once all that reads it is stored elsewhere."""
+    context = kept.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(kept._kept_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
