@@ -24,19 +24,19 @@ from pyspark.sql import functions as F
 from layerweave.llm.common import digest, largest_counts, map_arrow, texts_of
 from layerweave.operators.graph import connected_components
 from layerweave.operators.skew import HotKeys, spread_join
-from layerweave.session import keep_table
+from layerweave.session import forget_table, keep_table
 
 #: At most so many tokens are put last in the order.  The order changes the cost only, never the result.
 FREQUENT_TOKENS = 50_000
 # A token counts as seen often in one task from so many documents on.
 OFTEN = 4
-BITS = 512
+BITS = 4096
 FANOUT = 16
 # Rows of a token that meet in one cell; a larger group becomes a grid of cells.  Cells share tasks of some BUCKET_ROWS.
 CELL_ROWS = 1024
 BUCKET_ROWS = 30_000
 # Node pairs looked at in one step, and bytes of text spelled in one; both bound the memory of a task.
-STEP_PAIRS = 100_000
+STEP_PAIRS = 16_384
 CHUNK_BYTES = 4_000_000
 SEGMENT_BYTES = 1_000_000
 
@@ -278,7 +278,7 @@ class SignatureTree:
                 return a, b
             level -= 1
             below = len(self.levels[level][0])
-            found = [self._children(a[p:p + STEP_PAIRS // 64], b[p:p + STEP_PAIRS // 64], below, level) for p in range(0, len(a), STEP_PAIRS // 64)]
+            found = [self._children(a[p:p + STEP_PAIRS // 16], b[p:p + STEP_PAIRS // 16], below, level) for p in range(0, len(a), STEP_PAIRS // 16)]
             a, b = (np.concatenate(side) for side in zip(*found))
 
     def _children(self, a: np.ndarray, b: np.ndarray, below: int, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,15 +311,19 @@ def _remembered(text: bytes, words: int) -> np.ndarray:
     return shingles(text, words)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose whole texts reach the threshold, as ``src, dst``."""
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose whole texts reach the threshold, as ``src, dst``.
+
+    ``repeated`` says that some rows of ``docs`` are equal in id and text, of which one is taken.
+    """
     pairs = keep_table(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row_key"), "node")
     wanted = keep_table(wanted)
     rows = docs.select(row_key().alias("row_key"), "text")
     found = spread_join(rows, wanted, ["row_key"], [F.col("text")], HotKeys(rows, ["row_key"]), wanted.count(), text_bytes=0)
-    # Repeated rows are equal in text, so any of them stands for its node.
-    texts = keep_table(found.groupBy("node").agg(F.first("text").alias("text")))
+    if repeated:  # equal in text, so any of them stands for its node
+        found = found.groupBy("node").agg(F.first("text").alias("text"))
+    texts = keep_table(found.select("node", "text"))
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
 
@@ -332,7 +336,10 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perc
         chosen = batch.filter(pa.array(keep))
         return pa.RecordBatch.from_pydict({"src": chosen.column("a"), "dst": chosen.column("b")})
 
-    return keep_table(map_arrow(both, run, "src long, dst long"))
+    links = keep_table(map_arrow(both, run, "src long, dst long"))
+    for used in (pairs, wanted, texts):
+        forget_table(used)
+    return links
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -348,18 +355,23 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     alike = rows.filter(F.col("n") > 0).groupBy("digest").agg(
         F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
-    sets = keep_table(alike.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    whole = keep_table(alike.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    member = keep_table(rows.select("doc_id", "row_key", "n", "digest").join(whole.select("digest", "node").hint("merge"), "digest", "left").drop("digest"))
+    forget_table(rows)
+    repeated = not member.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).isEmpty()
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         node = np.repeat(batch.column("node").to_numpy(), [len(t) for t in tokens])
         return pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "node": node})
 
-    postings = map_arrow(sets.select("node", "prefix"), spread, "token long, node long")
+    postings = map_arrow(whole.select("node", "prefix"), spread, "token long, node long")
     # A token with one holder links nothing.
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1)
     live = keep_table(postings.join(held.hint("merge"), "token"))
 
+    sets = keep_table(whole.select("node", "n", "bits", "row_key"))
+    forget_table(whole)
     facts = sets.select("node", "n", "bits")
     star = live.filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
@@ -375,7 +387,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         chosen = batch.filter(pa.array(trees[0].may_match(0, every, every, percent, trees[1])))
         return pa.RecordBatch.from_pydict({"a": chosen.column("a"), "b": chosen.column("b")})
 
-    links = similar(map_arrow(star, sift, "a long, b long"), sets, docs, words, percent)
+    links = similar(map_arrow(star, sift, "a long, b long"), sets, docs, words, percent, repeated)
     nodes = sets.select(F.col("node").alias("id"))
     first = keep_table(connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component"))
 
@@ -399,10 +411,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return pa.table({"a": a, "b": b}, schema=schema)
 
     near = placed.groupBy(F.pmod("cell", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
-    more = similar(near, sets, docs, words, percent)
+    more = similar(near, sets, docs, words, percent, repeated)
+    forget_table(placed)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
 
-    member = rows.select("doc_id", "row_key", "n", "digest").join(sets.select("digest", "node").hint("merge"), "digest", "left").drop("digest")
     member = keep_table(member.join(groups.hint("merge"), "node", "left"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
     heads = member.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("_head"))
