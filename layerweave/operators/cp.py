@@ -203,9 +203,11 @@ def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPM
     return CPModel(tuple(factors), weights, tuple(errors), settled)
 
 
-def cp_fit(tensor: Tensor, rank: int = 2, max_sweeps: int = 100, tolerance: float = 1e-4, seed: int = 6) -> CPModel:
+def cp_fit(
+    tensor: Tensor, rank: int = 2, max_sweeps: int = 100, tolerance: float = 1e-4, seed: int = 6, init: str = "uniform"
+) -> CPModel:
     """The variant that starts from uniforms, scales by the largest entry and stops on the fit."""
-    return cp_als(tensor, rank, max_sweeps, tolerance, seed, norm="max", stop="fit", init="uniform")
+    return cp_als(tensor, rank, max_sweeps, tolerance, seed, norm="max", stop="fit", init=init)
 
 
 # --- tables of a model ------------------------------------------------------------------------

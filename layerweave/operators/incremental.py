@@ -174,7 +174,11 @@ def fill_zero_cells(known: Factor, fresh: DataFrame) -> Factor:
 
 @dataclass(frozen=True)
 class IncrementalCP:
-    """A tensor and its model, ready to receive slices on ``mode``."""
+    """A stored tensor and its model, ready to receive slices on ``mode``.
+
+    The cells of ``tensor`` lie in reliable storage and are never copied.  ``weights`` holds
+    ``idx, weight`` per mode: small tables to which every batch adds its own cells.
+    """
 
     tensor: Tensor
     model: CPModel
@@ -184,13 +188,29 @@ class IncrementalCP:
     max_sweeps: int = 500
     tolerance: float = 1e-4
     seed: int = 0
+    weights: tuple[DataFrame, ...] | None = None
+
+    def slice_weights(self) -> tuple[DataFrame, ...]:
+        """Sums of squares of the slices of every mode; computed from the cells only if nobody kept them."""
+        return self.weights or tuple(cut_lineage(slice_weights(self.tensor, m)) for m in range(self.tensor.order))
+
+    def _grown_weights(self, known: Sequence[DataFrame], slices: Tensor) -> tuple[DataFrame, ...]:
+        """The weights with those of the new slices added."""
+        grown = []
+        for m, before in enumerate(known):
+            added = slice_weights(slices, m)
+            if m == self.mode:
+                added = added.withColumn("idx", F.col("idx") + F.lit(self.tensor.shape[m]))
+            both = before.unionByName(added).groupBy("idx").agg(F.sum("weight").alias("weight"))
+            grown.append(cut_lineage(both))
+        return tuple(grown)
 
     def receive(self, slices: Tensor) -> IncrementalCP:
         """The state after the new slices, whose index on ``mode`` counts from zero."""
         tensor, mode, rank = self.tensor, self.mode, self.model.rank
         if T.without(tensor.shape, mode) != T.without(slices.shape, mode):
             raise ValueError(f"slices {slices.shape} do not fit {tensor.shape}")
-        known = replace(tensor, cells=keep_table(tensor.cells))
+        known, weights = tensor, self.slice_weights()
         slices = replace(slices, cells=keep_table(slices.cells.select(*slices.modes, "value")))
         batch = slices.shape[mode]
         factors = list(self.model.factors)
@@ -200,7 +220,7 @@ class IncrementalCP:
             maps, sizes = [], []
             for m in range(tensor.order):
                 size = max(1, tensor.shape[m] // self.sampling_factor)
-                chosen = cut_lineage(weighted_sample(slice_weights(known, m), size, seed, m))
+                chosen = cut_lineage(weighted_sample(weights[m], size, seed, m))
                 maps.append(chosen)
                 sizes.append(chosen.count())
             sample = restrict(known, maps, sizes)
@@ -224,13 +244,18 @@ class IncrementalCP:
         grown = factors[mode].rows.unionByName(appended)
         factors[mode] = Factor(cut_lineage(grown), tensor.shape[mode] + batch, rank)
         model = CPModel(tuple(factors), self.model.weights)
-        return replace(self, tensor=T.append_mode(known, slices, mode), model=model, seed=self.seed + self.repetitions)
+        return replace(
+            self, tensor=T.append_mode(known, slices, mode), model=model, seed=self.seed + self.repetitions,
+            weights=self._grown_weights(weights, slices),
+        )
 
 
 def start(
     tensor: Tensor, rank: int = 5, mode: int = 2, sampling_factor: int = 2, repetitions: int = 1,
     max_sweeps: int = 500, tolerance: float = 1e-4, seed: int = 0,
 ) -> IncrementalCP:
-    """Decompose the first slices and keep them ready for more."""
+    """Decompose the first slices and keep them, with their weights, ready for more."""
+    tensor = replace(tensor, cells=keep_table(tensor.cells.select(*tensor.modes, "value")))
     model = cp_als(tensor, rank, max_sweeps, tolerance, seed + 6)
-    return IncrementalCP(tensor, model, mode, sampling_factor, repetitions, max_sweeps, tolerance, seed)
+    state = IncrementalCP(tensor, model, mode, sampling_factor, repetitions, max_sweeps, tolerance, seed)
+    return replace(state, weights=state.slice_weights())

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerweave.functions.hashing import coin, gaussian, uniform
+from layerweave.functions.hashing import coin, gaussian, md5_uniform, uniform
 from layerweave.operators.skew import HotKeys, block_join, fits_broadcast, key_blocks, spread_join
 
 MODES = ("i", "j", "k")
@@ -349,8 +349,11 @@ def mttkrp(tensor: Tensor, factors: Sequence[Factor | None], mode: int, hot: Seq
 
 
 def initial_factor(spark: SparkSession, length: int, rank: int, seed: int, mode: int, kind: str = "gaussian") -> Factor:
-    """Starting values that depend on (seed, mode, index, column) only: gaussian, uniform or coin."""
-    draw = {"gaussian": gaussian, "uniform": uniform, "coin": coin}[kind]
+    """Starting values that depend on (seed, mode, index, column) only: gaussian, uniform, coin, or md5.
+
+    ``md5`` draws uniforms that any engine with MD5 can repeat; ``uniform`` does so by the JVM's faster hash.
+    """
+    draw = {"gaussian": gaussian, "uniform": uniform, "coin": coin, "md5": lambda *parts: md5_uniform(F.lit(parts[0]), *parts[1:])}[kind]
     values = [draw(seed, F.lit(mode), F.col("id"), F.lit(r)).alias(f"f{r}") for r in range(rank)]
     return Factor(spark.range(length).select(F.col("id").alias("idx"), *values), length, rank)
 

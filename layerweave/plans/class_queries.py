@@ -8,6 +8,7 @@ from layerweave.operators import cp
 from layerweave.operators import score_classes as K
 from layerweave.operators.ordering import dense_index
 from layerweave.operators.scores import FACTORS
+from layerweave.plans.als_sql import als_sql
 from layerweave.plans.graph_queries import _PARTITION, _pagerank_sql
 from layerweave.plans.inputs import BAND_SQL, CUSTOMER_LAYER, USER_EDGES, customer_layer, user_layers
 from layerweave.plans.registry import query
@@ -57,13 +58,26 @@ def class_components(spark, folder):
     return K.components(user_layers(spark, folder))
 
 
-@query("layer_communities")
+_STACKED = (
+    f"WITH {USER_EDGES}, idx AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM (SELECT DISTINCT id FROM people)), "
+    "cells AS MATERIALIZED (SELECT s.n AS i, d.n AS j, CASE layer " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(FACTORS))
+    + " END::BIGINT AS k, fit AS value FROM edges JOIN idx s ON src = s.id JOIN idx d ON dst = d.id)"
+)
+
+
+@query(
+    "layer_communities",
+    f"{_STACKED}, {als_sql('cells', 25, 0.002)} SELECT id, " + ", ".join(f"round(coalesce({t}.f{r}, 0), 5) AS {t}_r{r}" for t in "AB" for r in (0, 1))
+    + ", round(e.error, 5) AS error, converged FROM stopped st JOIN errors e ON e.sweep = st.sweep CROSS JOIN idx "
+    "LEFT JOIN solution A ON A.sweep = st.sweep AND A.mode = 0 AND A.idx = n LEFT JOIN solution B ON B.sweep = st.sweep AND B.mode = 1 AND B.idx = n",
+)
 def layer_communities(spark, folder):
     """Rank-two decomposition of the five stacked user layers, straight from the scores."""
     people = user_layers(spark, folder)
     index = dense_index(people.select("id").distinct(), [F.col("id")])
     points = people.join(index, "id").select("layer", "idx", "z")
     source = K.ScoreSource(points, FACTORS, index.count())
-    model = cp.cp_als(source, rank=2, max_sweeps=25, tolerance=0.002)
+    model = cp.cp_als(source, rank=2, max_sweeps=25, tolerance=0.002, init="md5")
     table = cp.community_table(model, index)
-    return table.withColumns({"error": F.lit(float(model.errors[-1])), "converged": F.lit(model.converged)})
+    entries = {c: F.round(c, 5) for c in table.columns if c != "id"}
+    return table.withColumns({**entries, "error": F.lit(round(float(model.errors[-1]), 5)), "converged": F.lit(model.converged)})

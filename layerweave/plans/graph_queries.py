@@ -144,7 +144,20 @@ def pagerank_trade(spark, folder):
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_tolerance")
+def _settled_sql(rounds: int, tolerance: float) -> str:
+    """Ranks of the first round in which none moves by more than the tolerance."""
+    moved = " UNION ALL ".join(
+        f"SELECT {n} AS round, max(abs(a.rank - b.rank)) AS d FROM r{n} a JOIN r{n - 1} b ON a.layer = b.layer AND a.id = b.id" for n in range(1, rounds + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {n} AS round, layer, id, rank FROM r{n}" for n in range(1, rounds + 1))
+    return f"moved AS ({moved}), last_round AS MATERIALIZED (SELECT min(round) AS round FROM moved WHERE d <= {tolerance}), every AS ({every}), settled AS (SELECT * FROM every JOIN last_round USING (round))"
+
+
+@query(
+    "pagerank_tolerance",
+    f"WITH {USER_EDGES}, {_pagerank_sql('edges', 'people', 40)}, {_settled_sql(40, 0.01)} "
+    f"SELECT layer, id, round(rank * count(*) {_PARTITION} / sum(rank) {_PARTITION}, 3) AS rank FROM settled",
+)
 def pagerank_tolerance(spark, folder):
     """PageRank of the user layers until no rank moves by more than 0.01."""
     graph = user_graph(spark, folder)

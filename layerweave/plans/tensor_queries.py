@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from layerweave.operators import cp
 from layerweave.operators import tensor as T
+from layerweave.plans.als_sql import als_sql
 from layerweave.plans.inputs import MONEY
 from layerweave.plans.registry import query, table
 from layerweave.session import keep_table
@@ -288,18 +289,29 @@ def cp_reconstruct(spark, folder):
     return rounded(T.reconstruct(factors, [2.0]).cells, "value")
 
 
-@query("cp_als")
+@query(
+    "cp_als",
+    f"WITH {SALES}, {als_sql('sales', 25, 0.002)}, lengths AS (" + " UNION ALL ".join(
+        f"SELECT {n} AS mode, '{m}' AS name, unnest(range((SELECT max({m}) + 1 FROM sales))) AS idx" for n, m in enumerate(T.MODES)
+    ) + ") SELECT l.idx, round(coalesce(f0, 0), 4) AS x_r0, round(coalesce(f1, 0), 4) AS x_r1, l.name AS mode, round(e.error, 4) AS error, st.converged "
+    "FROM stopped st JOIN errors e ON e.sweep = st.sweep CROSS JOIN lengths l LEFT JOIN solution s ON s.sweep = st.sweep AND s.mode = l.mode AND s.idx = l.idx",
+)
 def cp_als(spark, folder):
     """Rank-two decomposition of the sales tensor: every factor entry, with the final error."""
-    model = cp.cp_als(sales_tensor(spark, folder), rank=2, max_sweeps=25, tolerance=0.002)
+    model = cp.cp_als(sales_tensor(spark, folder), rank=2, max_sweeps=25, tolerance=0.002, init="md5")
     parts = [cp.factor_table(f, "x").withColumn("mode", F.lit(m)) for m, f in zip(T.MODES, model.factors)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = rows.withColumns({"error": F.lit(float(model.errors[-1])), "converged": F.lit(model.converged)})
     return rounded(rows, "x_r0", "x_r1", "error")
 
 
-@query("cp_fit")
+@query(
+    "cp_fit",
+    f"WITH {SALES}, {als_sql('sales', 40, 0.0001, strict_fit=True)} SELECT round(w0, 2) AS lambda_r0, round(w1, 2) AS lambda_r1, round(1 - error, 6) AS fit, "
+    "converged FROM stopped JOIN errors USING (sweep)",
+)
 def cp_fit(spark, folder):
     """The variant that stops on the fit: its weights and the fit it reached."""
-    model = cp.cp_fit(sales_tensor(spark, folder), rank=2)
-    return cp.weight_table(model).withColumns({"fit": F.lit(1.0 - model.errors[-1]), "converged": F.lit(model.converged)})
+    model = cp.cp_fit(sales_tensor(spark, folder), rank=2, init="md5")
+    weights = rounded(cp.weight_table(model), "lambda_r0", "lambda_r1", digits=2)
+    return weights.withColumns({"fit": F.lit(round(1.0 - model.errors[-1], 6)), "converged": F.lit(model.converged)})

@@ -290,6 +290,9 @@ def test_growth_follows_the_tensor(spark):
     grown = state.receive(dense(spark, x[:, :, 6:]))
     assert grown.tensor.shape == (8, 8, 8) and grown.model.shape == (8, 8, 8)
     assert numbers(grown.tensor) == pytest.approx(x)
+    for mode, kept in enumerate(grown.weights):  # added up per batch, equal to those of the whole
+        whole = {r["idx"]: r["weight"] for r in I.slice_weights(grown.tensor, mode).collect()}
+        assert {r["idx"]: r["weight"] for r in kept.collect()} == pytest.approx(whole)
     # The rows of the new slices go on from the known ones: the model still describes the whole.
     assert grown.model.error(grown.tensor) < before + 0.2
     old, new = matrix(state.model.factors[2]), matrix(grown.model.factors[2])
