@@ -30,7 +30,7 @@ from layerweave.session import forget_table, keep_table
 FREQUENT_TOKENS = 50_000
 # A token counts as seen often in one task from so many documents on.
 OFTEN = 4
-BITS = 4096
+BITS = 1024
 FANOUT = 16
 # Rows of a token that meet in one cell; a larger group becomes a grid of cells.  Cells share tasks of some BUCKET_ROWS.
 CELL_ROWS = 1024
@@ -311,6 +311,35 @@ def _remembered(text: bytes, words: int) -> np.ndarray:
     return shingles(text, words)
 
 
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets with these prefixes can reach the threshold, by the places of their common prefix tokens.
+
+    A common token outside the common prefix lies behind the last common prefix token in both orders, and behind one of
+    the prefixes.
+    """
+    common, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(common):
+        return False
+    rest = min(max(n_a - len(a), n_b - len(b)), n_a - 1 - int(at_a.max()), n_b - 1 - int(at_b.max()))
+    return (100 + percent) * (len(common) + rest) >= percent * (n_a + n_b)
+
+
+def by_position(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose prefixes leave them a chance."""
+    known = keep_table(pairs)
+    for side in "ab":
+        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("prefix").alias(f"prefix_{side}"))
+        pairs = (known if side == "a" else pairs).join(own.hint("merge"), side)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(c).to_pylist() for c in ("prefix_a", "prefix_b", "n_a", "n_b")]
+        keep = [may_reach(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), n_a, n_b, percent) for a, b, n_a, n_b in zip(*columns)]
+        chosen = batch.filter(pa.array(keep))
+        return pa.RecordBatch.from_pydict({"a": chosen.column("a"), "b": chosen.column("b")})
+
+    return map_arrow(pairs, run, "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
     """The pairs ``a, b`` of nodes whose whole texts reach the threshold, as ``src, dst``.
 
@@ -370,8 +399,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1)
     live = keep_table(postings.join(held.hint("merge"), "token"))
 
-    sets = keep_table(whole.select("node", "n", "bits", "row_key"))
-    forget_table(whole)
+    sets = whole
     facts = sets.select("node", "n", "bits")
     star = live.filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
@@ -411,7 +439,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return pa.table({"a": a, "b": b}, schema=schema)
 
     near = placed.groupBy(F.pmod("cell", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
-    more = similar(near, sets, docs, words, percent, repeated)
+    more = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)
     forget_table(placed)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
 
