@@ -30,8 +30,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [value or b"" for value in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def largest_counts(counts: DataFrame, key: str, n: str, most: int) -> list:
-    """Rows ``key, n`` of the largest counts, at most ``most`` of them, largest first.
+def largest_counts(counts: DataFrame, key: str, n: str, most: int) -> pa.Table:
+    """Columns ``key, n`` of the largest counts, at most ``most`` of them, largest first.
 
     A histogram of the counts (eighths of a power of two, a few hundred rows) tells from which count on the rows are few
     enough; only those leave the executors, whatever the number of partitions.
@@ -43,7 +43,8 @@ def largest_counts(counts: DataFrame, key: str, n: str, most: int) -> list:
         if left < 0:
             break
         floor = row["least"]
-    return [] if floor is None else counts.filter(F.col(n) >= floor).select(key, n).orderBy(F.col(n).desc(), key).collect()
+    enough = F.lit(False) if floor is None else F.col(n) >= floor
+    return counts.filter(enough).select(key, n).toArrow().sort_by([(n, "descending"), (key, "ascending")])
 
 
 def bounded_sample(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:

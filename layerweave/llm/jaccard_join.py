@@ -5,8 +5,8 @@ Tokens that very many documents hold come last in the order.  Documents meet at
 signatures, whose nodes hold OR-combined bitmaps and size ranges, is traversed against itself and drops every pair of
 nodes that cannot reach the threshold.  What is left is compared exactly, over whole texts.
 
-A first round compares every document only with the first document of each of its tokens, which joins dense groups of
-copies by a linear number of comparisons.  The trees then look at pairs that are still in different groups only.
+A first round compares every document with one other, the first holder of a token with which it shares most, which joins
+dense groups of copies by a linear number of comparisons.  The trees then look at pairs that are still in different groups only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from layerweave.operators.skew import HotKeys, spread_join
 from layerweave.session import forget_table, keep_table
 
 #: At most so many tokens are put last in the order.  The order changes the cost only, never the result.
-FREQUENT_TOKENS = 50_000
+FREQUENT_TOKENS = 500_000
 # A token counts as seen often in one task from so many documents on.
 OFTEN = 4
 BITS = 1024
@@ -41,7 +41,7 @@ CHUNK_BYTES = 4_000_000
 SEGMENT_BYTES = 1_000_000
 
 _GAP = re.compile(rb"[ \t\n\v\f\r]")
-_SIEVE = np.uint64((1 << 20) - 1)
+_SIEVE = np.uint64((1 << 23) - 1)
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -193,7 +193,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = FREQUENT_TOKENS) ->
 
     counts = map_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = largest_counts(keep_table(counts), "token", "n", most)
-    return np.array([row["token"] for row in rows][::-1], np.int64).view(np.uint64).tobytes()
+    return rows.column("token").to_numpy()[::-1].astype(np.int64).view(np.uint64).tobytes()
 
 
 def row_key() -> Column:
@@ -401,7 +401,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     sets = whole
     facts = sets.select("node", "n", "bits")
-    star = live.filter(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    # A document meets the first holder with which it shares the most tokens: one pair per document.
+    shared = live.filter(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     star = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
     star = star.join(facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
 

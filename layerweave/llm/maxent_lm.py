@@ -247,7 +247,7 @@ def score(docs: DataFrame) -> DataFrame:
         model = train_round(training.filter(share == turn), model)
     common = largest_counts(counts, "token", "n", COMMON_TOKENS)
     shared = spark.sparkContext.broadcast((
-        model.shares, model.weights, b" ".join(bytes(r["token"]) for r in common), np.array([r["n"] for r in common], np.int64).tobytes(),
+        model.shares, model.weights, b" ".join(common.column("token").cast(pa.binary()).to_pylist()), common.column("n").to_numpy().astype(np.int64).tobytes(),
     ))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
