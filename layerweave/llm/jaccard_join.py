@@ -422,7 +422,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = keep_table(connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component"))
 
     # Second round: tokens whose holders are still in different groups.
-    told = live.select("token", "node", "holders").join(first.hint("merge"), "node")
+    told = live.select("token", "node", "holders", "head").join(first.hint("merge"), "node")
     mixed = told.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("token")
     open_rows = told.join(mixed.hint("merge"), "token").join(facts.hint("merge"), "node")
     cells = F.ceil(F.col("holders") / F.lit(CELL_ROWS)).cast("int")
@@ -431,6 +431,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         F.xxhash64("token", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("cell"),
         # In a cell of two blocks only rows of different blocks meet; a chance clash of cells adds pairs, which are compared later.
         F.when(F.col("_own") == F.col("_k"), F.lit(-1)).otherwise(F.col("_own")).alias("block"), "node", "n", "component", "bits",
+        # Tokens with the same first holder mostly have the same holders: one task sees a pair's tokens and names it once.
+        F.xxhash64("head", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("task"),
     )
     placed = keep_table(placed)
     buckets = max(1, -(-placed.count() // BUCKET_ROWS))
@@ -440,7 +442,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         a, b = candidates(bucket, percent)
         return pa.table({"a": a, "b": b}, schema=schema)
 
-    near = placed.groupBy(F.pmod("cell", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
+    near = placed.groupBy(F.pmod("task", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
     more = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)
     forget_table(placed)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
