@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +33,14 @@ FREQUENT_TOKENS = 500_000
 OFTEN = 4
 BITS = 1024
 FANOUT = 16
-# Rows of a token that meet in one cell; a larger group becomes a grid of cells.  Cells share tasks of some BUCKET_ROWS.
+# Rows of a token that meet in one cell; a larger group becomes a grid of cells.  Cells share tasks of some BUCKET_ROWS;
+# the tokens of a first holder that has more rows are dealt over several tasks.
 CELL_ROWS = 1024
 BUCKET_ROWS = 30_000
-# Node pairs looked at in one step, and bytes of text spelled in one; both bound the memory of a task.
+# Node pairs looked at in one step, different pairs held before they are sent on, and bytes of text spelled in one step;
+# all bound the memory of a task.
 STEP_PAIRS = 16_384
+HELD_PAIRS = 1_000_000
 CHUNK_BYTES = 4_000_000
 SEGMENT_BYTES = 1_000_000
 
@@ -266,20 +270,32 @@ class SignatureTree:
         return meet
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs of records that no bound can exclude, by traversing the tree against itself."""
-        level = len(self.levels) - 1
-        a = b = np.zeros(1, np.int64)
-        while True:
-            held = np.concatenate([
-                self.may_match(level, a[p:p + STEP_PAIRS], b[p:p + STEP_PAIRS], percent) for p in range(0, len(a), STEP_PAIRS)
-            ] or [np.empty(0, bool)])
+        """Places of the pairs of records that no bound can exclude."""
+        found = [(np.empty(0, np.int64),) * 2, *self.steps(percent)]
+        return tuple(np.concatenate(side) for side in zip(*found))
+
+    def steps(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs in pieces, by traversing the tree against itself.
+
+        A lower level goes first once it has a whole step, so that few node pairs wait, whatever the number of pairs.
+        """
+        width = STEP_PAIRS // FANOUT
+        waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.levels]
+        waiting[-1].append((np.zeros(1, np.int64),) * 2)
+        size = [sum(len(a) for a, _ in level) for level in waiting]
+        while any(size):
+            level = next((k for k, n in enumerate(size) if n >= width), max(k for k, n in enumerate(size) if n))
+            a, b = (np.concatenate(side) for side in zip(*waiting[level]))
+            waiting[level], size[level] = [(a[width:], b[width:])], max(0, len(a) - width)
+            a, b = a[:width], b[:width]
+            held = self.may_match(level, a, b, percent)
             a, b = a[held], b[held]
-            if not level or not len(a):
-                return a, b
-            level -= 1
-            below = len(self.levels[level][0])
-            found = [self._children(a[p:p + STEP_PAIRS // 16], b[p:p + STEP_PAIRS // 16], below, level) for p in range(0, len(a), STEP_PAIRS // 16)]
-            a, b = (np.concatenate(side) for side in zip(*found))
+            if not level:
+                yield a, b
+            elif len(a):
+                below = self._children(a, b, len(self.levels[level - 1][0]), level - 1)
+                waiting[level - 1].append(below)
+                size[level - 1] += len(below[0])
 
     def _children(self, a: np.ndarray, b: np.ndarray, below: int, level: int) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of children of the node pairs that meet in a cell, each pair once."""
@@ -296,14 +312,25 @@ class SignatureTree:
         return left[meet], right[meet]
 
 
-def candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node ids of the pairs of records that meet in a cell and that the tree cannot exclude."""
+def candidates(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Node ids of the pairs of records that meet in a cell and that the tree cannot exclude.
+
+    A pair that meets in many cells is named once in HELD_PAIRS different ones.
+    """
     cell, block, node, n, group = (table.column(c).to_numpy() for c in ("cell", "block", "node", "n", "component"))
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
     order = np.lexsort((node, n, cell))
-    a, b = SignatureTree(bits[order], n[order], group[order], percent, cell[order], block[order]).pairs(percent)
-    pairs = np.unique(np.sort(np.stack([node[order[a]], node[order[b]]], axis=1), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    known, fresh, size = np.empty((0, 2), np.int64), [], 0
+    for a, b in SignatureTree(bits[order], n[order], group[order], percent, cell[order], block[order]).steps(percent):
+        fresh.append(np.sort(np.stack([node[order[a]], node[order[b]]], axis=1), axis=1))
+        size += len(a)
+        if size >= max(STEP_PAIRS, len(known)):
+            known, fresh, size = np.unique(np.concatenate([known, *fresh]), axis=0), [], 0
+            if len(known) >= HELD_PAIRS:
+                yield known[:, 0], known[:, 1]
+                known = known[:0]
+    known = np.unique(np.concatenate([known, *fresh]), axis=0)
+    yield known[:, 0], known[:, 1]
 
 
 @lru_cache(maxsize=256)
@@ -371,6 +398,31 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perc
     return links
 
 
+def meetings(told: DataFrame, facts: DataFrame) -> DataFrame:
+    """``cell, block, task`` and the facts of every row of a token whose holders are in different components.
+
+    ``told`` has ``token, node, holders, head, component``.  Tokens with the same first holder mostly have the same
+    holders: one task sees a pair's tokens and names it once.  A first holder whose tokens bring more than BUCKET_ROWS rows
+    has its tokens dealt over several tasks by their hash; a pair is then named once in each.
+    """
+    mixed = told.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.first("head").alias("head"), F.first("holders").alias("holders")
+    ).filter(F.col("low") != F.col("high"))
+    # At most two blocks of a token meet in one task, whatever the number of its holders.
+    rows = F.sum(F.least(F.col("holders"), F.lit(2 * CELL_ROWS)))
+    dealt = mixed.groupBy("head").agg(F.ceil(rows / F.lit(BUCKET_ROWS)).alias("salts"))
+    salted = mixed.select("token", "head").join(dealt.hint("merge"), "head").select("token", F.pmod(F.xxhash64("token"), F.col("salts")).alias("salt"))
+    open_rows = told.join(salted.hint("merge"), "token").join(facts.hint("merge"), "node")
+    cells = F.ceil(F.col("holders") / F.lit(CELL_ROWS)).cast("int")
+    placed = open_rows.withColumn("cells", cells).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    return placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        F.xxhash64("token", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("cell"),
+        # In a cell of two blocks only rows of different blocks meet; a chance clash of cells adds pairs, which are compared later.
+        F.when(F.col("_own") == F.col("_k"), F.lit(-1)).otherwise(F.col("_own")).alias("block"), "node", "n", "component", "bits",
+        F.xxhash64("head", "salt", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("task"),
+    )
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, row_key, n_shingles, component_id, first``: one row per row of ``docs``.
 
@@ -423,24 +475,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # Second round: tokens whose holders are still in different groups.
     told = live.select("token", "node", "holders", "head").join(first.hint("merge"), "node")
-    mixed = told.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high")).select("token")
-    open_rows = told.join(mixed.hint("merge"), "token").join(facts.hint("merge"), "node")
-    cells = F.ceil(F.col("holders") / F.lit(CELL_ROWS)).cast("int")
-    placed = open_rows.withColumn("cells", cells).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        F.xxhash64("token", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("cell"),
-        # In a cell of two blocks only rows of different blocks meet; a chance clash of cells adds pairs, which are compared later.
-        F.when(F.col("_own") == F.col("_k"), F.lit(-1)).otherwise(F.col("_own")).alias("block"), "node", "n", "component", "bits",
-        # Tokens with the same first holder mostly have the same holders: one task sees a pair's tokens and names it once.
-        F.xxhash64("head", F.least("_own", "_k"), F.greatest("_own", "_k")).alias("task"),
-    )
-    placed = keep_table(placed)
+    placed = keep_table(meetings(told, facts))
     buckets = max(1, -(-placed.count() // BUCKET_ROWS))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def search(bucket: pa.Table) -> pa.Table:
-        a, b = candidates(bucket, percent)
-        return pa.table({"a": a, "b": b}, schema=schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in candidates(pa.Table.from_batches(batches), percent):
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     near = placed.groupBy(F.pmod("task", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
     more = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)

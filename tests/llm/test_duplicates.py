@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from layerweave.llm import jaccard_join, line_dedup
@@ -77,6 +79,32 @@ def test_trees_lose_no_pair():
     assert true and true <= near <= found and len(near) < len(found) and len(found) < len(sets) * (len(sets) - 1) // 8
 
 
+def test_tokens_of_one_head_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 500)
+    told = spark.createDataFrame([(t, n, 20, 0, n) for t in range(300) for n in range(20)], "token long, node long, holders long, head long, component long")
+    facts = spark.createDataFrame([(n, 100, bytearray(128)) for n in range(20)], "node long, n long, bits binary")
+    rows = jaccard_join.meetings(told, facts).toPandas()
+    assert len(rows) == 6000 and rows.groupby("cell").size().eq(20).all() and rows.groupby("cell").task.nunique().eq(1).all()
+    assert rows.groupby("task").size().max() <= 1000
+
+
+def test_a_pair_that_meets_in_many_cells_is_held_once(monkeypatch):
+    nodes, cells = 200, 100
+    table = pa.table({
+        "cell": np.repeat(np.arange(cells), nodes), "block": np.full(nodes * cells, -1), "node": np.tile(np.arange(nodes), cells),
+        "n": np.full(nodes * cells, 100), "component": np.tile(np.arange(nodes), cells), "bits": pa.array([b"\xff" * 128] * (nodes * cells), pa.binary()),
+    })
+    tracemalloc.start()
+    found = [np.stack(pairs, axis=1) for pairs in jaccard_join.candidates(table, 80)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and len(found[0]) == nodes * (nodes - 1) // 2
+    assert peak < 16 * cells * len(found[0])  # less than the pairs of all cells take, two numbers of 8 bytes each
+    monkeypatch.setattr(jaccard_join, "HELD_PAIRS", 1000)
+    pieces = [pair for a, b in jaccard_join.candidates(table, 80) for pair in zip(a.tolist(), b.tolist())]
+    assert set(pieces) == set(map(tuple, found[0].tolist()))
+
+
 def passage(seed, lines, words=12):
     return [cases.prose(words, seed * 100 + i).replace("\n", " ") for i in range(lines)]
 
