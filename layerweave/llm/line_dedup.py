@@ -1,9 +1,10 @@
 """Line dedup by winnowing over line hashes.
 
 A gram is the shortest stretch of lines from a line on that holds ``gram_words`` words.  In every window of grams that
-start within ``window_words`` words, the gram with the smallest hash is a fingerprint, so a repeated run of
-``gram_words + window_words`` words always shares one.  Fingerprints meet their first position, the match is extended
-line by line both ways, and the later run is deleted.  Lines without a word do not count.
+start within ``window_words`` words, the gram with the smallest hash is a fingerprint, so a repeated run of whole lines with
+``gram_words + window_words`` words always shares one; a passage that begins or ends inside a line may have none.
+Fingerprints meet their first position, the match is extended line by line both ways, and the later run is deleted.  Lines
+without a word do not count.
 """
 
 from __future__ import annotations
