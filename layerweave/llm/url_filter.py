@@ -14,7 +14,7 @@ from layerweave.llm.trees import BoostedTrees, boosted_column, fit_boosted
 from layerweave.operators.skew import HotKeys, spread_join
 from layerweave.session import keep_table
 
-#: The fit sees at most so many labelled URLs, chosen by a hash of the URL; suffix statistics cover all labelled URLs.
+#: The fit sees at most so many different labelled URLs, chosen by a hash of the URL; suffix statistics cover all labelled rows.
 SAMPLE_ROWS = 20_000
 # Weight of the overall block share in the share of a suffix.
 PRIOR_ROWS = 20.0
@@ -91,7 +91,9 @@ def judge(pages: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS) -> Dat
         joined = spread_join(df, shares, ["_suffix"], [F.col("_url")], HotKeys(df, ["_suffix"]), size["n"], "left", 4 * size["chars"])
         return joined.withColumn("suffix_share", F.coalesce("_share", F.lit(float(known))))
 
-    rows = with_share(bounded_sample(labelled, ["_url"], sample_rows)).select("_url", "_block", *FEATURES).orderBy("_url", "_block").collect()
+    # The rules give equal URLs equal labels; each counts once in the fit, however many rows hold it.
+    different = keep_table(labelled.select("_url", "_suffix", "_block", *LEXICAL).dropDuplicates(["_url"]))
+    rows = with_share(bounded_sample(different, ["_url"], sample_rows)).select("_url", "_block", *FEATURES).orderBy("_url", "_block").collect()
     x = np.array([[row[f] for f in FEATURES] for row in rows], float).reshape(len(rows), len(FEATURES))
     model: BoostedTrees = fit_boosted(x, np.array([row["_block"] for row in rows]))
     score = boosted_column(model, [F.col(f) for f in FEATURES])

@@ -94,6 +94,15 @@ def test_trees_follow_the_labels_of_a_suffix(spark):
     assert len(rows) == 100 and np.mean([(r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in rows]) > 0.95
 
 
+def test_a_url_of_very_many_rows_is_learned_once(spark, monkeypatch):
+    hosts = [f"http://h{i}.{'bad.zz' if i % 2 else 'good.zz'}/x/{i}" for i in range(400)]
+    pages = spark.createDataFrame(list(enumerate(hosts + hosts[:1] * 400)), "page_id long, url string")
+    seen, fit = [], url_filter.fit_boosted
+    monkeypatch.setattr(url_filter, "fit_boosted", lambda x, y: seen.append(len(y)) or fit(x, y))
+    url_filter.judge(pages, (("block", "bad.zz/x/"), ("allow", "good.zz/x/")), sample_rows=500).count()
+    assert seen == [400]
+
+
 def test_model_distribution_adds_up():
     draw = np.random.default_rng(4)
     model = maxent_lm.Model(draw.random(maxent_lm.GROUPS) * 100 + 1)
