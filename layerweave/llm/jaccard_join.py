@@ -423,15 +423,9 @@ def meetings(told: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, row_key, n_shingles, component_id, first``: one row per row of ``docs``.
-
-    Two rows are linked when 100 * common shingles >= ``percent`` * all their shingles; ``component_id`` is the smallest
-    id reachable by links, ``first`` the key of a row that stands for the component (the smallest id, then key).  Texts
-    without a word (null, empty, blank) have no shingles and stand alone.  Equal sets are one node whatever their number.
-    Null ids never become a component's id unless no other is there.  An empty table gives an empty table; columns other
-    than doc_id and text are not read.
-    """
+def prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Different sets by ``node``, the rows of ``docs`` with their node, the prefix tokens of several nodes, and whether
+    rows are repeated."""
     rows = keep_table(sets_of(docs, words, percent, frequent_tokens(docs, words)))
     alike = rows.filter(F.col("n") > 0).groupBy("digest").agg(
         F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
@@ -450,8 +444,59 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # A token with one holder links nothing.
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1)
     live = keep_table(postings.join(held.hint("merge"), "token"))
+    return whole, member, live, repeated
+
+
+def tree_links(told: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """``src, dst``: the similar nodes of different components that share a token of ``told`` (see ``meetings``)."""
+    placed = keep_table(meetings(told, sets.select("node", "n", "bits")))
+    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in candidates(pa.Table.from_batches(batches), percent):
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    near = placed.groupBy(F.pmod("task", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
+    links = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)
+    forget_table(placed)
+    return links
+
+
+def all_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every link, those inside a component too.
+
+    The first table has ``doc_id, row_key, n_shingles, node`` per row of ``docs``; rows of one node have equal sets and are
+    all linked, rows without a word have no node.  The second has every pair ``src, dst`` of different nodes that reach the
+    threshold, once; it is as large as the answer, which inside a dense group is the square of its different sets.
+    """
+    sets, member, live, repeated = prepared(docs, words, percent)
+    told = live.select("token", "node", "holders", "head", F.col("node").alias("component"))  # none is joined yet
+    return member.withColumnRenamed("n", "n_shingles"), tree_links(told, sets, docs, words, percent, repeated)
+
+
+def link_counts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, row_key, n_shingles, n_links``: to how many other documents every row of ``docs`` is linked.
+
+    Rows equal in id and text are one document.
+    """
+    member, links = all_links(docs, words, percent)
+    heads = keep_table(member.filter(F.col("node").isNotNull()).select("node", "row_key").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("alike")))
+    ways = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    other = ways.join(heads.withColumnRenamed("node", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("alike").alias("others"))
+    counts = heads.join(other.hint("merge"), "node", "left").select("node", (F.col("alike") - F.lit(1) + F.coalesce("others", F.lit(0))).alias("_links"))
+    return member.join(counts.hint("merge"), "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
 
-    sets = whole
+def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component_id, first``: one row per row of ``docs``.
+
+    Two rows are linked when 100 * common shingles >= ``percent`` * all their shingles; ``component_id`` is the smallest
+    id reachable by links, ``first`` the key of a row that stands for the component (the smallest id, then key).  Texts
+    without a word (null, empty, blank) have no shingles and stand alone.  Equal sets are one node whatever their number.
+    Null ids never become a component's id unless no other is there.  An empty table gives an empty table; columns other
+    than doc_id and text are not read.
+    """
+    sets, member, live, repeated = prepared(docs, words, percent)
     facts = sets.select("node", "n", "bits")
     # A document meets the first holder with which it shares the most tokens: one pair per document.
     shared = live.filter(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -475,16 +520,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # Second round: tokens whose holders are still in different groups.
     told = live.select("token", "node", "holders", "head").join(first.hint("merge"), "node")
-    placed = keep_table(meetings(told, facts))
-    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in candidates(pa.Table.from_batches(batches), percent):
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    near = placed.groupBy(F.pmod("task", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
-    more = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)
-    forget_table(placed)
+    more = tree_links(told, sets, docs, words, percent, repeated)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
 
     member = keep_table(member.join(groups.hint("merge"), "node", "left"))

@@ -60,6 +60,31 @@ def test_chains_copies_and_shared_passages(spark, monkeypatch):
         assert grouped(docs, words, percent) == brute_groups(rows, words, percent)
 
 
+def test_links_inside_a_component_are_listed_and_counted(spark, monkeypatch):
+    draw = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(100, ""), (101, None)]
+    for _ in range(4):
+        text = draw.choices(vocabulary, k=90)
+        for _ in range(9):  # a dense group and its ends, which are not all linked with each other
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            text[draw.randrange(len(text))] = draw.choice(vocabulary)
+        rows.append((len(rows), rows[-1][1].upper()))
+    rows.append(rows[-1])
+    sets = {i: {tuple(w[k:k + 4]) for k in range(len(w) - 3)} for i, t in rows if (w := (t or "").lower().split()) or True}
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_links"]) for r in jaccard_join.link_counts(docs, 4, 85).collect())
+    assert got == sorted((i, sum(i in pair for pair in near)) for i, _ in rows)
+    member, links = jaccard_join.all_links(docs, 4, 85)
+    nodes = {r["node"]: r["doc_id"] for r in member.filter("node is not null").orderBy(F.col("doc_id").desc()).collect()}
+    listed = [tuple(sorted((nodes[r["src"]], nodes[r["dst"]]))) for r in links.collect()]
+    kept = set(nodes.values())
+    assert len(listed) == len(set(listed)) and set(listed) == {(i, j) for i, j in near if {i, j} <= kept}
+
+
 def test_trees_lose_no_pair():
     draw = np.random.default_rng(8)
     percent, sets = 80, []
