@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerweave.llm import byte_bpe, impact_search, jaccard_join, line_dedup, maxent_lm, mixing, quality_rules, rule_ensemble, toxicity, url_filter
+from layerweave.llm import (
+    byte_bpe, dataset_manifest, hard_negatives, impact_search, jaccard_join, line_dedup, maxent_lm, mixing, quality_rules, rule_ensemble, text_trees,
+    toxicity, url_filter,
+)
 from layerweave.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +196,133 @@ def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_lm_scoring")
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return maxent_lm.score(table(spark, folder, "documents"))
+
+
+FINGERPRINTS_SQL = rf"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS LAST) AS n FROM documents),
+pairs AS (
+  SELECT n, doc_id, text, coalesce(lead(text) OVER (ORDER BY n), first_value(text) OVER (ORDER BY n)) AS following,
+    coalesce(lead(n) OVER (ORDER BY n), first_value(n) OVER (ORDER BY n)) AS following_n FROM ordered),
+forms AS (
+  SELECT n, 0 AS form, text FROM pairs
+  UNION ALL SELECT n, 1, left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) FROM pairs),
+leaves AS (
+  SELECT n, form, unnest(leaves) AS leaf, generate_subscripts(leaves, 1) AS pos
+  FROM (SELECT n, form, regexp_extract_all(text, '{text_trees.LEAF}') AS leaves FROM forms)),
+named AS (
+  SELECT n, form, pos, sha256('0' || leaf) AS h,
+    coalesce(sum((right(leaf, 1) = chr(10))::INTEGER) OVER (PARTITION BY n, form ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para FROM leaves),
+paras AS (
+  SELECT n, form, para, sha256('1' || string_agg(h, '' ORDER BY pos)) AS h, string_agg(to_base64(unhex(left(h, 6))), '' ORDER BY pos) AS spelled
+  FROM named GROUP BY n, form, para),
+sectioned AS (
+  SELECT *, coalesce(sum((left(h, 1) IN ('0', '1'))::INTEGER) OVER (PARTITION BY n, form ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section
+  FROM paras),
+sections AS (
+  SELECT n, form, section, sha256('2' || string_agg(h, '' ORDER BY para)) AS h, string_agg(spelled, ',' ORDER BY para) AS spelled
+  FROM sectioned GROUP BY n, form, section),
+trees AS (
+  SELECT n, form, sha256('3' || string_agg(h, '' ORDER BY section)) || ':' || string_agg(spelled, ';' ORDER BY section) AS tree
+  FROM sections GROUP BY n, form),
+all_trees AS (SELECT n, form, coalesce(tree, sha256('3') || ':') AS tree FROM forms LEFT JOIN trees USING (n, form)),
+counted AS (SELECT n, form, left(h, 6) AS leaf, count(*) AS c FROM named GROUP BY ALL),
+sizes AS (SELECT n, form, sum(c) AS c FROM counted GROUP BY n, form),
+compared AS (SELECT n, 1 AS form, n AS other, 1 AS other_form FROM pairs UNION ALL SELECT n, 0, following_n, 0 FROM pairs),
+common AS (
+  SELECT c.n, c.form, sum(least(a.c, b.c)) AS shared FROM compared c JOIN counted a ON a.n = c.n AND a.form = 0
+  JOIN counted b ON b.n = c.other AND b.form = c.other_form AND b.leaf = a.leaf GROUP BY c.n, c.form),
+alike AS (
+  SELECT c.n, c.form, CASE WHEN a.tree = b.tree THEN 1.0::DOUBLE WHEN s.c IS NULL OR t.c IS NULL THEN 0.0::DOUBLE
+    ELSE 2.0::DOUBLE * coalesce(m.shared, 0) / (s.c + t.c) END AS likeness
+  FROM compared c JOIN all_trees a ON a.n = c.n AND a.form = 0 JOIN all_trees b ON b.n = c.other AND b.form = c.other_form
+  LEFT JOIN sizes s ON s.n = c.n AND s.form = 0 LEFT JOIN sizes t ON t.n = c.other AND t.form = c.other_form
+  LEFT JOIN common m ON m.n = c.n AND m.form = c.form)
+SELECT p.doc_id, length(p.text)::BIGINT AS n_chars, sha256(e.text) AS edited_sha256, own.tree AS fingerprint, made.tree AS edited_fingerprint,
+  near_made.likeness AS near_edited, near.likeness AS near_next
+FROM pairs p JOIN forms e ON e.n = p.n AND e.form = 1 JOIN all_trees own ON own.n = p.n AND own.form = 0 JOIN all_trees made ON made.n = p.n AND made.form = 1
+JOIN alike near_made ON near_made.n = p.n AND near_made.form = 1 JOIN alike near ON near.n = p.n AND near.form = 0
+"""
+
+
+@query("op11_document_fingerprints", FINGERPRINTS_SQL)
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return text_trees.compare_with_edits(table(spark, folder, "documents"))
+
+
+def _field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+# crc32 of the decimal id from its rule: eight halvings per value of a byte, then one look-up per digit.
+MANIFEST_SQL = f"""
+WITH RECURSIVE crc_bytes AS (
+  SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+coded AS (
+  SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, d: xor(t[xor(c & 255, d) + 1], c >> 8)) AS crc
+  FROM documents, crc_bytes),
+leaves AS (
+  SELECT source, doc_id, sha256({" || ".join(_field(c) for c in dataset_manifest.DOCUMENT)}) AS leaf,
+    sha256({" || ".join(_field(c) for c in dataset_manifest.DOCUMENT[:-1])} || {_field("broken")}) AS checked
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS broken FROM coded)),
+sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n FROM leaves GROUP BY source),
+ranked AS (
+  SELECT l.*, s.tree, s.n, row_number() OVER (PARTITION BY s.tree ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS rank
+  FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source),
+low AS (
+  SELECT tree, 0 AS level, rank AS k, n, leaf AS h FROM ranked
+  UNION ALL SELECT tree, level + 1, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM low WHERE n > 1 GROUP BY tree, level, k // 3, n),
+high AS (
+  SELECT 0 AS level, tree AS k, (SELECT count(*) FROM sources) AS n, h FROM low WHERE n = 1
+  UNION ALL SELECT level + 1, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM high WHERE n > 1 GROUP BY level, k // 3, n),
+steps AS (
+  SELECT r.tree, r.rank, a.level, coalesce(string_agg(a.h, '' ORDER BY a.k) FILTER (WHERE a.k < r.rank // (3 ** a.level)::BIGINT), '') AS l,
+    coalesce(string_agg(a.h, '' ORDER BY a.k) FILTER (WHERE a.k > r.rank // (3 ** a.level)::BIGINT), '') AS r
+  FROM ranked r JOIN low a ON a.tree = r.tree AND a.n > 1 AND a.k // 3 = r.rank // (3 ** (a.level + 1))::BIGINT GROUP BY r.tree, r.rank, a.level),
+high_steps AS (
+  SELECT s.tree, a.level, coalesce(string_agg(a.h, '' ORDER BY a.k) FILTER (WHERE a.k < s.tree // (3 ** a.level)::BIGINT), '') AS l,
+    coalesce(string_agg(a.h, '' ORDER BY a.k) FILTER (WHERE a.k > s.tree // (3 ** a.level)::BIGINT), '') AS r
+  FROM sources s JOIN high a ON a.n > 1 AND a.k // 3 = s.tree // (3 ** (a.level + 1))::BIGINT GROUP BY s.tree, a.level),
+paths AS (SELECT tree, rank, list(l || '|' || r ORDER BY level) AS path FROM steps GROUP BY tree, rank),
+high_paths AS (SELECT tree, list(l || '|' || r ORDER BY level) AS path FROM high_steps GROUP BY tree),
+whole AS (
+  SELECT r.*, s.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, list_concat(coalesce(p.path, []), coalesce(hp.path, [])) AS path
+  FROM ranked r JOIN low s ON s.tree = r.tree AND s.n = 1 LEFT JOIN paths p ON p.tree = r.tree AND p.rank = r.rank LEFT JOIN high_paths hp ON hp.tree = r.tree),
+folds AS (
+  SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+    list_reduce(list_concat([checked], path), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM whole)
+SELECT *, folded_root = root AS verified FROM folds
+"""
+
+
+@query("op12_dataset_manifest", MANIFEST_SQL)
+def dataset_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    return dataset_manifest.verify_documents(table(spark, folder, "documents"))
+
+
+NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n USING (anchor_id) WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
