@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import re
 from base64 import b64encode
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerweave.llm.common import map_arrow
+from layerweave.llm.common import bounded_sample, map_arrow
 from layerweave.session import keep_table
 
 # Code points of a leaf before its closing marks.  Paragraphs whose digest begins so (one in eight) end a section.
@@ -180,8 +182,9 @@ COMPARED = [
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ]
-# A partition's first and last rows are handed to its neighbours with their texts; all others are finished where they are.
-SEAM = [("part", pa.int32()), ("place", pa.string()), ("text", pa.string())]
+# Ranges of ids per shuffle partition, and rows looked at per range to choose where they begin.
+RANGES = 4
+SAMPLED = 16
 
 
 def _compared(doc_id: int | None, text: str, own: str, after: str, after_own: str) -> tuple:
@@ -200,6 +203,42 @@ def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
     return ", ".join(f"{name} {names[kind]}" for name, kind in fields)
 
 
+Key = tuple[bool, int, int]
+# Rows follow each other by id, missing ids last, then by a hash of the text.
+ORDER = ("no_id", "known", "digest")
+# Repeated rows that one task writes.
+REPEATS = 50_000
+
+
+def _range_starts(keys: DataFrame, ranges: int) -> tuple[list[Key], list[Key]]:
+    """The first key of every range of the order, and those keys that fill a range with repeated rows.
+
+    They come from a sample of at most ``SAMPLED`` rows a range, chosen by hash and counted by key; its size is set by the
+    number of ranges.  The very first key of the table is one of them.
+    """
+    lowest = keys.agg(F.min(F.struct(*ORDER)).alias("k")).first()["k"]
+    if lowest is None:
+        return [], []
+    sample = sorted(tuple(r) for r in bounded_sample(keys.withColumn("_row", F.monotonically_increasing_id()), [*ORDER, "_row"], ranges * SAMPLED).select(*ORDER).collect())
+    chosen = Counter(sample[SAMPLED - 1::SAMPLED])
+    return sorted({tuple(lowest), *chosen}), [key for key, n in chosen.items() if n > 1]
+
+
+def _range_of(starts: list[Key]):
+    """A function of key columns that gives the number of a row's range."""
+    ids = np.array([s[1] for s in starts if not s[0]], np.int64)
+
+    def find(no_id: pd.Series, known: pd.Series, digest: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(ids, known, "left"), np.searchsorted(ids, known, "right")
+        at = low.astype(np.int64) - 1
+        # Ids that some range begins with, and missing ids, are compared as a whole.
+        for n in np.flatnonzero((high > low) | no_id.to_numpy()):
+            at[n] = bisect_right(starts, (bool(no_id[n]), int(known[n]), int(digest[n]))) - 1
+        return pd.Series(at)
+
+    return F.pandas_udf(find, "long")
+
+
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Every text beside its edited form, whose last half is the beginning of the next document, and beside that document.
 
@@ -208,43 +247,59 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     comes the first.  A null text counts as empty; a table of one row is its own next; an empty one gives no rows; other
     columns are not read.
 
-    The texts are range-partitioned and sorted once.  A task reads its rows in order and holds two of them; the last
-    row of a partition meets the first of the next one in a second, small step over two rows a partition.
+    Texts are shuffled once, into ranges of ids.  A copy of the first row of each range ends the range before, so that a
+    task reads its rows in order, holds two of them, and needs no other task.  A row that is repeated so often that it
+    fills a range is counted instead and goes through once; its repetitions follow themselves.
     """
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_tie")]
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    fields = COMPARED + SEAM
+    spark = docs.sparkSession
+    order = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))]
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for c, n in zip(order, ORDER)])
+    starts, crowded = _range_starts(placed.select(*ORDER), RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not starts:
+        return spark.createDataFrame([], _schema(COMPARED))
+    # As many rows as there are ranges.
+    marks = spark.createDataFrame([(*key, n, key in set(crowded)) for n, key in enumerate(starts)], "no_id boolean, known long, digest long, number long, crowded boolean")
+    tagged = placed.join(F.broadcast(marks), list(ORDER), "left")
+    heads = tagged.filter(F.col("number").isNotNull()).groupBy(*ORDER, "number", "crowded").agg(
+        F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    plain = tagged.filter(~F.coalesce("crowded", F.lit(False))).select("doc_id", "text", *ORDER)
+    guests = heads.select("doc_id", "text", *ORDER, F.pmod(F.col("number") - 1, F.lit(len(starts))).alias("range"), F.lit(1).alias("guest"))
+    own = plain.withColumn("range", _range_of(starts)(*ORDER)).withColumn("guest", F.lit(0))
+    if crowded:
+        heads = keep_table(heads.filter("crowded"))
+        own = own.unionByName(heads.select("doc_id", "text", *ORDER, F.col("number").alias("range"), F.lit(0).alias("guest")))
+    rows = own.unionByName(guests).repartition("range").sortWithinPartitions("range", "guest", *ORDER).select("doc_id", "text", "guest", "range")
 
     def follow(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before = None
+        before, here = None, None
         for batch in source:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            made = []
+            columns = [batch.column(c) for c in ("doc_id", "text", "guest", "range")]
+            for doc_id, text, guest, place in zip(columns[0].to_pylist(), columns[1], *[c.to_pylist() for c in columns[2:]]):
+                if before is not None and place != here:
+                    raise RuntimeError("a range of documents has no end: the input changed between two reads")
                 text = text.as_py()
                 now = doc_id, text, TextTree(text).fingerprint()
-                if before is None:
-                    rows.append((doc_id, *[None] * 2, now[2], *[None] * 3, part, "first", text))
-                else:
-                    rows.append((*_compared(*before, *now[1:]), part, None, None))
-                before = now
-            yield _batch(rows, fields)
+                if before is not None:
+                    made.append(_compared(*before, *now[1:]))
+                before, here = None if guest else now, place
+            yield _batch(made, COMPARED)
         if before is not None:
-            yield _batch([(before[0], *[None] * 2, before[2], *[None] * 3, part, "last", before[1])], fields)
-
-    kept = keep_table(ordered.mapInArrow(follow, _schema(fields)))
-    names = [name for name, _ in COMPARED]
-    first = kept.filter(F.col("place") == "first").select(F.col("part").alias("next_part"), F.col("text").alias("after"), F.col("fingerprint").alias("after_own"))
-    # One row per partition of the sort, without texts: the window does not grow with the documents.
-    parts = first.select(F.col("next_part").alias("part"))
-    following = F.lead("part").over(Window.orderBy("part"))
-    lowest = F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    steps = parts.select("part", F.coalesce(following, lowest).alias("next_part"))
-    last = kept.filter(F.col("place") == "last").select("part", "doc_id", "text", "fingerprint")
-    seams = last.join(steps, "part").join(first.hint("merge"), "next_part").select("doc_id", "text", "fingerprint", "after", "after_own")
-
-    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _batch([_compared(*row) for row in zip(*(c.to_pylist() for c in batch.columns))], COMPARED)
-
-    return kept.filter(F.col("place").isNull()).select(*names).unionByName(map_arrow(seams, close, _schema(COMPARED)))
+            raise RuntimeError("a range of documents has no end: the input changed between two reads")
+
+    found = rows.mapInArrow(follow, _schema(COMPARED))
+    if not crowded:
+        return found
+    rest = F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(REPEATS).cast("long"))
+    parts = heads.filter("copies > 1").select("doc_id", "text", "copies", F.explode(rest).alias("first")).repartition("doc_id", "first")
+
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for doc_id, text, copies, first in zip(*(c.to_pylist() for c in batch.columns)):
+            own = TextTree(text).fingerprint()
+            made.append((*_compared(doc_id, text, own, text, own), min(REPEATS, copies - first)))
+        return _batch(made, [*COMPARED, ("times", pa.int64())])
+
+    again = map_arrow(parts, alone, _schema([*COMPARED, ("times", pa.int64())]))
+    again = again.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*[name for name, _ in COMPARED])
+    return found.unionByName(again)
