@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from layerweave.operators import tensor as T
 from layerweave.operators.skew import HotKeys
 from layerweave.operators.tensor import Factor, Tensor
-from layerweave.session import cut_lineage, keep_table
+from layerweave.session import forget_table, keep_table
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ class CellSource:
         tensor, first = self.tensor, factors[0]
         joined = T.join_factor(tensor.cells, tensor.modes[0], first, "_a", tensor.modes[1:], self.hot[0])
         sums = [F.sum(F.col("value") * F.col(f"_a{r}")).alias(f"t{r}") for r in range(first.rank)]
-        return cut_lineage(joined.groupBy(*tensor.modes[1:]).agg(*sums))
+        return keep_table(joined.groupBy(*tensor.modes[1:]).agg(*sums))
 
     def products(self, mode: int, factors: Sequence[Factor], shared: DataFrame | None) -> Factor:
         """Matricised tensor times Khatri-Rao product of the other factors."""
@@ -113,15 +113,18 @@ class _Update:
     gram: np.ndarray
     norms: np.ndarray
     inner: np.ndarray  # Σ over the index of mttkrp × new factor, per component
+    table: DataFrame  # what the factor is computed from, in reliable storage
 
 
 def _solve(products: Factor, others: np.ndarray, norm: str) -> _Update:
     """New factor = products · pinv(others), columns scaled by their norm.
 
     XᵀX of the products is one aggregate; Gram matrix, L2 norms and inner products of the new
-    factor follow from it on the driver, so the factor itself is only a projection.
+    factor follow from it on the driver, so the factor itself is only a projection.  The products are
+    a table, whose size the planner reads: a checkpoint would inherit an estimate, the product of
+    the sizes of all that was joined, which grows without bound from sweep to sweep.
     """
-    products = replace(products, rows=cut_lineage(products.rows))
+    products = replace(products, rows=keep_table(products.rows))
     square = T.gram(products.rows, products.columns)
     inverse = np.linalg.pinv(others) if np.isfinite(others).all() else np.full_like(others, np.nan)
     raw = inverse.T @ square @ inverse
@@ -132,7 +135,7 @@ def _solve(products: Factor, others: np.ndarray, norm: str) -> _Update:
     scale = np.array([1.0 / n if n and math.isfinite(n) else 0.0 for n in norms])
     mix = inverse * scale
     return _Update(
-        T.times_matrix(products, mix), raw * np.outer(scale, scale), norms, np.diag(square @ mix)
+        T.times_matrix(products, mix), raw * np.outer(scale, scale), norms, np.diag(square @ mix), products.rows,
     )
 
 
@@ -177,6 +180,7 @@ def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPM
     errors: list[float] = []
     before, now, settled = math.inf, 0.0, False
     size = math.sqrt(source.squares)
+    tables: list[DataFrame | None] = [None] * 3
     for sweep in range(max_sweeps):
         scaling = norm if sweep else "l2"
         shared = None
@@ -185,8 +189,13 @@ def _attempt(source, rank, max_sweeps, tolerance, seed, norm, stop, init) -> CPM
             products = source.products(mode, factors, shared)
             update = _solve(products, grams[others[0]] * grams[others[1]], scaling)
             factors[mode], grams[mode] = update.factor, update.gram
+            if tables[mode] is not None:
+                forget_table(tables[mode])
+            tables[mode] = update.table
             if mode == 0:
                 shared = source.share(factors)
+        if shared is not None:
+            forget_table(shared)
         weights = update.norms
         if not math.isfinite(weights[0]):
             return None

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerweave.session import cut_lineage
+from layerweave.session import cut_lineage, keep_table
 
 
 def running_total(
@@ -45,6 +45,46 @@ def running_total(
     )
 
 
+def laid_out(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows sorted once and kept as a table, with their place: ``_part`` of the sort and ``_at`` in the whole order.
+
+    Rows that share these columns, or rows that are given them later, can be read by ``running`` again and again without
+    being sorted by their keys anew.
+    """
+    keys = [*within, *order]
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at)
+    return keep_table(rows.withColumn("_part", F.shiftright("_at", 33)))
+
+
+def running(
+    rows: DataFrame, within: Sequence[str], columns: Mapping[str, tuple[Callable[[Column], Column], Column]], earlier: bool = False,
+    backwards: bool = False, one_task: bool = False,
+) -> DataFrame:
+    """Add aggregates over all rows up to the current one in the order of ``laid_out``, per ``within`` group.
+
+    ``columns`` maps a name to ``F.sum``, ``F.max`` or ``F.min`` and a column.  ``earlier`` leaves the current row out;
+    ``backwards`` reads from the end.  Each partition of the sort is aggregated for itself; what lies before it is one row
+    per partition and group.  With ``one_task``, for tables known to be small, a group is read in one piece.  A value
+    over no rows is NULL.
+    """
+    turned = (lambda c: F.col(c).desc()) if backwards else F.col
+    last = -1 if earlier else 0
+    if one_task:
+        inside = Window.partitionBy(*within).orderBy(turned("_at")).rowsBetween(Window.unboundedPreceding, last)
+        return rows.withColumns({n: f(c).over(inside) for n, (f, c) in columns.items()})
+    combine = {F.sum: lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), F.max: F.greatest, F.min: F.least}
+    groups = [*within, "_part"]
+    parts = rows.groupBy(*groups).agg(*[f(c).alias(f"_sum_{n}") for n, (f, c) in columns.items()])
+    before = Window.partitionBy(*within).orderBy(turned("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*groups, *[f(f"_sum_{n}").over(before).alias(f"_before_{n}") for n, (f, _) in columns.items()])
+    inside = Window.partitionBy(*groups).orderBy(turned("_at")).rowsBetween(Window.unboundedPreceding, last)
+    # One row per partition of the sort and group: small whatever the number of rows.
+    whole = rows.withColumns({f"_in_{n}": f(c).over(inside) for n, (f, c) in columns.items()}).join(F.broadcast(offsets), groups)
+    made = {n: combine[f](F.col(f"_in_{n}"), F.col(f"_before_{n}")) for n, (f, _) in columns.items()}
+    return whole.withColumns(made).drop(*[f"{kind}{n}" for n in columns for kind in ("_in_", "_before_")])
+
+
 def dense_index(df: DataFrame, order: Sequence[Column], name: str = "idx", ties: bool = False) -> DataFrame:
     """Add ``name`` = 0..N-1 in the given total order.
 

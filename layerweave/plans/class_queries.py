@@ -67,7 +67,7 @@ _STACKED = (
 
 @query(
     "layer_communities",
-    f"{_STACKED}, {als_sql('cells', 25, 0.002, seed=9)} SELECT id, " + ", ".join(f"round(coalesce({t}.f{r}, 0), 5) AS {t}_r{r}" for t in "AB" for r in (0, 1))
+    f"{_STACKED}, {als_sql('cells', 20, 0.002)} SELECT id, " + ", ".join(f"round(coalesce({t}.f{r}, 0), 5) AS {t}_r{r}" for t in "AB" for r in (0, 1))
     + ", round(e.error, 5) AS error, converged FROM stopped st JOIN errors e ON e.sweep = st.sweep CROSS JOIN idx "
     "LEFT JOIN solution A ON A.sweep = st.sweep AND A.mode = 0 AND A.idx = n LEFT JOIN solution B ON B.sweep = st.sweep AND B.mode = 1 AND B.idx = n",
 )
@@ -77,7 +77,7 @@ def layer_communities(spark, folder):
     index = dense_index(people.select("id").distinct(), [F.col("id")])
     points = people.join(index, "id").select("layer", "idx", "z")
     source = K.ScoreSource(points, FACTORS, index.count())
-    model = cp.cp_als(source, rank=2, max_sweeps=25, tolerance=0.002, seed=9, init="md5")
+    model = cp.cp_als(source, rank=2, max_sweeps=20, tolerance=0.002, init="md5")
     table = cp.community_table(model, index)
     entries = {c: F.round(c, 5) for c in table.columns if c != "id"}
     return table.withColumns({**entries, "error": F.lit(round(float(model.errors[-1]), 5)), "converged": F.lit(model.converged)})

@@ -85,8 +85,7 @@ def find_communities(
     rules = {layer: L.rule_for(layer) for layer in layers}
     index = dense_index(people.select("id"), [F.col("id")])
     total = index.count()
-    directed = all(rule.direction != L.BOTH for rule in rules.values())
-    if listed or not directed:
+    if listed:
         cells, index = G.indexed_edges(G.build_graph(vertices, rules=rules))
         source = T.from_layers(cells, layers, total)
     else:

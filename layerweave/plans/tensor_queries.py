@@ -217,21 +217,27 @@ def khatri_rao(spark, folder):
     return rounded(T.khatri_rao(left, right).rows, "f0", "f1")
 
 
+def whole_factor(spark, length: int, rank: int, shift: int) -> T.Factor:
+    """Whole-number entries: with cells in cents every sum is exact, whatever the order of adding."""
+    columns = [((F.col("id") * (r + 2) + r + shift) % 7 + 1).cast("double").alias(f"f{r}") for r in range(rank)]
+    return T.Factor(spark.range(length).select(F.col("id").alias("idx"), *columns), length, rank)
+
+
 def _mttkrp_sql(mode: int) -> str:
     index = T.MODES[mode]
     others = [(T.MODES[n], n) for n in range(3) if n != mode]
     sums = ", ".join(
-        "round(sum(value * " + " * ".join(fixed_sql(m, r, n) for m, n in others) + f"), 3) AS f{r}" for r in range(RANK)
+        "sum(cents * " + " * ".join(f"(({m} * {r + 2} + {r + n}) % 7 + 1)" for m, n in others) + f")::DOUBLE AS f{r}" for r in range(RANK)
     )
-    return f"WITH {SALES} SELECT {index} AS idx, {sums} FROM sales GROUP BY ALL"
+    return f"WITH {SALES}, counted AS (SELECT i, j, k, round(value * 100)::BIGINT AS cents FROM sales) SELECT {index} AS idx, {sums} FROM counted GROUP BY ALL"
 
 
 for _mode in range(3):
     def _products(spark, folder, mode=_mode):
-        """All ranks of the matricised product in one pass over the sales tensor."""
+        """All ranks of the matricised product in one pass over the sales tensor, in whole cents."""
         tensor = sales_tensor(spark, folder)
-        out = T.mttkrp(tensor, fixed_factors(spark, tensor.shape), mode)
-        return rounded(out.rows, *out.columns, digits=3)
+        cents = replace(tensor, cells=tensor.cells.withColumn("value", F.round(F.col("value") * 100)))
+        return T.mttkrp(cents, [whole_factor(spark, n, RANK, shift) for shift, n in enumerate(tensor.shape)], mode).rows
 
     query(f"mttkrp_mode{_mode + 1}", _mttkrp_sql(_mode))(_products)
 

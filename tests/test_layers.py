@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from layerweave import session
 from layerweave.operators import layers as L
@@ -85,3 +86,62 @@ def test_score_classes_equal_listed_edges(spark):
     assert near(listed, "strength") == near(classes, "strength")
     assert near(G.pagerank(rows, edges, 6), "rank") == near(K.pagerank(rows, CLASS_RULES, 6), "rank")
     assert near(G.connected_components(rows, edges), "component") == near(K.components(rows, CLASS_RULES), "component")
+
+
+def test_band_limits_follow_the_rounded_sum(spark):
+    """Thousandths whose sum with a partner rounds to the wrong side of a limit, and scores next to each other."""
+    import math
+    import random
+
+    from layerweave.operators.score_line import OUT, ScoreLine, merged
+
+    draw = random.Random(4)
+    scores = {round(draw.uniform(-4, 4), 3) for _ in range(400)}
+    scores |= {2.0 * m - z for z in scores for m in (1.0, -1.0, 0.1)} | {3.3, -1.3, 0.0, 1e-17, -1e-17, 2.0}
+    scores |= {math.nextafter(z, d) for z in list(scores)[:200] for d in (-9.0, 9.0)}
+    scores = sorted(scores)
+    bands = (L.Band(1.0, 3.0), L.Band(-3.0, -1.0, low_closed=False, high_closed=True), L.Band(0.1, 0.1, high_closed=True), L.Band(None, -3.5))
+    rules = {d: L.LayerRule(bands, d) for d in (L.UP, L.DOWN, L.BOTH)}
+    rows = [(d, z) for d in rules for z in scores]
+    line = ScoreLine(spark.createDataFrame(rows, "layer string, z double"), rules, (OUT,))
+    found = line.partner_sums(line.classes, {"n": F.lit(1)}, (OUT,)).collect()
+    got = {(r["layer"], r["z"]): r["n_out"] - r["own"] for r in found}
+    pairs = {d: brute(scores, rule) for d, rule in rules.items()}
+    want = {(d, z): 0 for d in rules for z in scores}
+    for d, edges in pairs.items():
+        for i, _ in edges:
+            want[d, scores[i]] += 1
+    assert got == want
+    assert merged([L.Band(1.0, 3.0), L.Band(2.0, 4.0), L.Band(4.0, 5.0), L.Band(6.0, 7.0, low_closed=False)]) == [L.Band(1.0, 5.0), L.Band(6.0, 7.0, low_closed=False)]
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 0])
+def test_intervals_in_many_partitions(spark, monkeypatch, task_rows):
+    """The same with a line that is read in pieces; components that fall apart, and layers without edges."""
+    from layerweave.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_ROWS", task_rows)
+    rules = {"NARROW": L.LayerRule((L.Band(0.9, 1.0), L.Band(-1.0, -0.95)), L.BOTH), "UP": L.LayerRule((L.Band(0.9, 1.0),)), "NONE": L.LayerRule((L.Band(50.0),)), **CLASS_RULES}
+    scores = [round(0.37 * n - 9.7, 3) for n in range(50)] + [1.9, 1.9, 0.95, 0.95, -0.96, -0.96, 7.0]
+    rows = people(spark, scores, "NARROW")
+    for layer in list(rules)[1:]:
+        rows = rows.unionByName(people(spark, scores, layer))
+    rows = rows.persist()
+    edges = L.fit_edges(rows, rules).persist()
+    near = lambda df, c: {(r["layer"], r["id"]): round(r[c], 6) for r in df.collect()}
+    assert near(G.node_strength(edges), "strength") == near(K.degrees(rows, rules), "strength")
+    assert near(G.pagerank(rows, edges, 3), "rank") == near(K.pagerank(rows, rules, 3), "rank")
+    listed = near(G.connected_components(rows, edges), "component")
+    assert listed == near(K.components(rows, rules), "component")
+    assert len({c for (layer, _), c in listed.items() if layer == "NARROW"}) > 3
+    want = {r["layer"]: (r["n"], r["a"], r["b"]) for r in edges.groupBy("layer").agg(F.count("fit").alias("n"), F.min("fit").alias("a"), F.max("fit").alias("b")).collect()}
+    assert want == {r["layer"]: (r["edges"], r["lowest"], r["highest"]) for r in K.edge_extent(rows, rules).collect()}
+
+
+def test_a_round_joins_no_scores(spark):
+    """Sums over partners take one window and one aggregate: no join beside the tables of a few rows."""
+    from layerweave.operators.score_line import IN, ScoreLine
+
+    line = ScoreLine(K.score_classes(people(spark, SCORES, "OPN")), {"OPN": L.RULES["OPN"]})
+    plan = line.partner_sums(line.classes, {"n": F.col("n")}, (IN,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan

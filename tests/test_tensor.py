@@ -209,14 +209,16 @@ def test_initial_factors_do_not_depend_on_partitions(spark):
 
 
 def test_scores_give_the_products_of_the_listed_tensor(spark):
+    """Also for layers without direction, where nobody is a partner of their own."""
     draw = np.random.default_rng(2)
-    layers, length = ["OPN", "CSN", "AGR", "NEU"], 30
+    layers, length = ["OPN", "CSN", "AGR", "NEU", "HIGH", "ALL"], 30
+    rules = {**L.RULES, "HIGH": L.DEFAULT_RULE, "ALL": L.LayerRule((L.Band(-0.5, 2.0),), L.BOTH)}
     rows = [(layer, n, round(float(z), 1)) for layer in layers for n, z in enumerate(draw.normal(0, 1.5, length))]
     points = spark.createDataFrame(rows, "layer string, idx long, z double")
     people = points.select("layer", F.col("idx").alias("id"), "z")
-    edges = L.fit_edges(people, L.RULES).select("layer", F.col("src").alias("i"), F.col("dst").alias("j"), F.col("fit").alias("value"))
+    edges = L.fit_edges(people, rules).select("layer", F.col("src").alias("i"), F.col("dst").alias("j"), F.col("fit").alias("value"))
     listed = cp.CellSource(T.from_layers(edges, layers, length), 2)
-    scores = K.ScoreSource(points, layers, length)
+    scores = K.ScoreSource(points, layers, length, rules)
     assert scores.shape == listed.shape and scores.squares == pytest.approx(listed.squares)
     factors = [factor(spark, draw.random((n, 2)).tolist()) for n in listed.shape]
     for mode in range(3):
@@ -224,6 +226,9 @@ def test_scores_give_the_products_of_the_listed_tensor(spark):
         assert a == pytest.approx(b)
     one, two = cp.cp_als(listed, 2, 2, None), cp.cp_als(scores, 2, 2, None)
     assert one.errors == pytest.approx(two.errors, abs=1e-9)
+    for model in (one, two):  # what the planner takes for the size of a factor does not pile up
+        for f in model.factors:
+            assert f.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
 
 
 # --- sampling and growth ----------------------------------------------------------------------
