@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from layerweave.operators import graph as G
 from layerweave.operators import layers as L
+from layerweave.operators import push as P
 from layerweave.operators import score_classes as K
 from layerweave.operators.scores import with_z_scores
 from layerweave.plans.inputs import MONEY, USER_EDGES, user_layers
@@ -144,6 +145,51 @@ def pagerank_trade(spark, folder):
     return ranks.select("id", F.round("rank", 6).alias("rank"))
 
 
+def trade_both_ways(spark, folder):
+    one_way = trade_edges(spark, folder)
+    return one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def _residual_sql(rounds: int, moves: str, keys: str = "") -> str:
+    """Residuals spread round by round; a round in which nothing moves changes nothing."""
+    parts = ["w AS MATERIALIZED (SELECT src, 1.0::DOUBLE / count(*) AS weight FROM both_ways GROUP BY src)"]
+    for n in range(1, rounds + 1):
+        parts.append(
+            f"a{n} AS MATERIALIZED (SELECT {keys}dst AS id, sum(0.85::DOUBLE * rest * weight) AS rest FROM both_ways e JOIN w USING (src) "
+            f"JOIN s{n - 1} s ON s.id = src WHERE {moves} GROUP BY ALL)"
+        )
+        parts.append(
+            f"s{n} AS MATERIALIZED (SELECT {keys}id, sum(rank) AS rank, sum(rest) AS rest FROM (SELECT {keys}id, rank + CASE WHEN {moves} THEN rest ELSE 0 END AS rank, "
+            f"CASE WHEN {moves} THEN 0 ELSE rest END AS rest FROM s{n - 1} JOIN w ON id = src UNION ALL SELECT {keys}id, 0, rest FROM a{n}) GROUP BY ALL)"
+        )
+    return ", ".join(parts)
+
+
+@query(
+    "pagerank_residuals",
+    f"WITH {_TRADE}, s0 AS (SELECT id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS rest FROM nodes), {_residual_sql(45, 'rest > 0.01')} "
+    "SELECT id, round(rank * count(*) OVER () / sum(rank) OVER (), 6) AS rank FROM s45",
+)
+def pagerank_residuals(spark, folder):
+    """PageRank of the trade graph until no vertex has more than 0.01 left to add; settled vertices send no more."""
+    edges = trade_both_ways(spark, folder)
+    ranks, _ = P.pagerank_by_residuals(edges.select(F.col("src").alias("id")), edges, 0.01, by=())
+    return ranks.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    "pushed_ranks",
+    f"WITH {_TRADE}, s0 AS (SELECT id AS source, id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS rest FROM nodes WHERE id >= 0 AND id % 20 = 0), "
+    f"{_residual_sql(12, 'rest * weight > 1e-5', 'source, ')} SELECT source, id, round(rank, 7) AS rank FROM s12 WHERE rank > 0",
+)
+def pushed_ranks(spark, folder):
+    """Personalized PageRank of every twentieth customer on the trade graph, pushed no further than the bound."""
+    edges = trade_both_ways(spark, folder)
+    sources = edges.select(F.col("src").alias("id")).filter((F.col("id") >= 0) & (F.col("id") % 20 == 0))
+    ranks, _ = P.push_from(edges, sources, 1e-5, by=())
+    return ranks.select("source", "id", F.round("rank", 7).alias("rank"))
+
+
 def _settled_sql(rounds: int, tolerance: float) -> str:
     """Ranks of the first round in which none moves by more than the tolerance."""
     moved = " UNION ALL ".join(

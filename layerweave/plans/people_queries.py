@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from layerweave.functions import cleaning as C
+from layerweave.functions.places import find_countries
 from layerweave.operators import people as P
 from layerweave.operators import scores as S
 from layerweave.plans.inputs import USER_SCORES, user_scores
@@ -140,6 +141,36 @@ def country_code(spark, folder):
     return C.with_country_code(people, "country", listed).select("c_custkey", "country", "country_code")
 
 
+# Names written badly: accents, one letter lost, two wrong, a region for a subdivision, no name at all.
+_MISSPELT = (
+    "CASE c_custkey % 7 WHEN 0 THEN replace(replace(n_name, 'A', 'Á'), 'I', 'ï') WHEN 1 THEN substr(n_name, 1, 2) || substr(n_name, 4) "
+    "WHEN 2 THEN 'Q' || substr(n_name, 2, length(n_name) - 2) || 'q' WHEN 3 THEN ' ' || r_name WHEN 4 THEN substr(r_name, 2) "
+    "WHEN 5 THEN reverse(n_name) ELSE lower(substr(n_name, 1, length(n_name) - 1)) || 'éé' END"
+)
+
+
+@query(
+    "country_search",
+    "WITH texts AS (SELECT c_custkey, " + _MISSPELT + " AS country FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    "listed AS (SELECT lower(n_name) AS name, upper(substr(md5(n_name), 1, 3)) AS code, false AS second FROM nation "
+    "UNION ALL SELECT lower(r_name), upper(substr(md5(r_name), 1, 3)), true FROM region), "
+    "words AS (SELECT DISTINCT country, lower(strip_accents(trim(country))) AS word FROM texts), "
+    "allowed AS (SELECT *, CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END AS typos FROM words), "
+    "partial AS (SELECT country, arg_min(code, (name <> word, instr(name, word), code)) AS code FROM words, listed WHERE NOT second AND instr(name, word) > 0 GROUP BY country), "
+    "near AS (SELECT country, arg_min(code, (levenshtein(word, name), second, name, code)) AS code FROM allowed, listed WHERE levenshtein(word, name) <= typos GROUP BY country), "
+    "answers AS (SELECT w.country, coalesce(p.code, CASE word WHEN 'south kor' THEN 'KOR' WHEN 'st lucia' THEN 'LCA' END, n.code, 'ZZZ') AS country_code "
+    "FROM words w LEFT JOIN partial p USING (country) LEFT JOIN near n USING (country)) SELECT c_custkey, country, country_code FROM texts JOIN answers USING (country)",
+)
+def country_search(spark, folder):
+    """Countries with accents, letters lost or wrong, and regions in the place of subdivisions."""
+    nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    people = table(spark, folder, "customer").join(places, "c_nationkey").select("c_custkey", F.expr(_MISSPELT).alias("country"))
+    coded = lambda df, name: df.select(F.col(name).alias("name"), F.upper(F.substring(F.md5(name), 1, 3)).alias("code"))
+    found = find_countries(people, "country", coded(nations, "n_name"), coded(regions, "r_name"))
+    return found.select("c_custkey", "country", "country_code")
+
+
 @query("birth_year", f"WITH {_parsed_sql()} SELECT \"case\", coalesce(year(date) - age, -1)::INT AS born FROM parsed")
 def birth_year(spark, folder):
     people = W.parse_lines(answer_lines(spark, folder), answer_layout(spark, folder)[:5])

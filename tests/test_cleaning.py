@@ -194,3 +194,20 @@ def test_wide_case_numbers(spark):
     line = "12345678901" + "1" + "25" + "0" * 13 + "france   " + "1" * 120
     row = parse_lines(spark.createDataFrame([(line,)], "value string"), questionnaire_layout(key_width=11)).first()
     assert (row["case"], row["sex"], row["age"], row["country"], row["i120"]) == (12345678901, "M", 25, "france", 1.0)
+
+
+def test_country_search_with_typos_accents_and_subdivisions(spark):
+    from layerweave.functions.places import find_countries, folded
+
+    listed = spark.createDataFrame([("Iceland", "ISL"), ("Ireland", "IRL"), ("Curaçao", "CUW"), ("South Korea", "KOR"), ("Netherlands", "NLD"), ("Chad", "TCD")], "name string, code string")
+    parts = spark.createDataFrame([("Bavaria", "DEU"), ("Île-de-France", "FRA"), ("Limburg", "NLD"), ("Limburg", "BEL")], "name string, code string")
+    texts = {
+        "iceland": "ISL", " ÍCELAND ": "ISL", "Icelnd": "ISL", "Icelandd": "ISL", "curacao": "CUW", "Curaçao": "CUW", "South Krea": "KOR", "Suth Krea": "KOR", "Sth Kra": "ZZZ",
+        "South Kor": "KOR", "Bavaria": "DEU", "Bavária": "DEU", "Bavaira": "ZZZ", "Bavariaa": "DEU", "ile-de-france": "FRA", "Ile de France": "FRA", "Limburg": "BEL", "ireland": "IRL",
+        "Chd": "ZZZ", "Chadd": "TCD", "x" * 5000: "ZZZ", "": "ZZZ", None: "ZZZ", "land": "IRL", "Nehterlands": "NLD", "íceland": "ISL",
+    }
+    rows = [(n, t, "k") for n, t in enumerate([*texts, *texts])]
+    got = find_countries(spark.createDataFrame(rows, "n int, country string, name string").repartition(3), "country", listed, parts).collect()
+    assert {r["n"]: r["country_code"] for r in got} == {n: texts[t] for n, t, _ in rows} and len(got) == len(rows)
+    assert spark.range(1).select(folded(F.lit("Ångström ÑANDÚ ễ"))).first()[0] == "angstrom nandu e"
+    assert find_countries(spark.createDataFrame([], "country string"), "country", listed).count() == 0

@@ -127,3 +127,80 @@ def test_spread_and_block_joins_equal_plain_joins(spark, monkeypatch, hot_rows):
     want = sorted(map(str, big.join(other, "k").select("k", "x", "y").collect()))
     got = skew.block_join(big, other, ["k"], [F.col("x")], [F.col("y")], blocks).select("k", "x", "y").collect()
     assert sorted(map(str, got)) == want
+
+
+def exact_walk(nodes, pairs, start, damping=0.85, rounds=400):
+    """Σ over walks of the start mass, damped per step; vertices without edges keep what reaches them."""
+    out = {}
+    for s, _ in pairs:
+        out[s] = out.get(s, 0) + 1
+    total, now = dict(start), dict(start)
+    for _ in range(rounds):
+        after = {n: 0.0 for n in nodes}
+        for s, d in pairs:
+            after[d] += damping * now.get(s, 0.0) / out[s]
+        now = after
+        for n in nodes:
+            total[n] = total.get(n, 0.0) + now[n]
+    return total
+
+
+def random_pairs(nodes, edges, seed):
+    draw = random.Random(seed)
+    return [(0, n) for n in range(1, nodes // 2)] + [(n, 0) for n in range(1, nodes // 2)] + [(draw.randrange(nodes - 5), draw.randrange(nodes)) for _ in range(edges)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_ranks_by_residuals(spark, monkeypatch, broadcast):
+    """Below the fixed point by what is left, and fewer and fewer vertices send."""
+    from layerweave.operators import push as P
+
+    if not broadcast:
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(skew, "TASK_ROWS", 20)
+        monkeypatch.setattr(skew, "HOT_KEYS", 50)
+    pairs = random_pairs(60, 90, 8)
+    v, e = frames(spark, range(63), pairs)  # three vertices without any edge
+    ranks, sent = P.spread(P.EdgeBuckets(e, G.LAYER), v.withColumn("rest", F.lit(0.15)), 0.01, False)
+    exact = exact_walk(range(63), pairs, {n: 0.15 for n in range(63)})
+    rows = {r["id"]: r for r in ranks.collect()}
+    assert set(rows) == set(range(63)) and all(r["rest"] <= 0.01 for r in rows.values())
+    left = sum(r["rest"] for r in rows.values())
+    assert all(-1e-9 <= exact[n] - rows[n]["rank"] <= left / 0.15 + 1e-9 for n in rows)
+    assert sent[0] == 63 and sent[-1] < 10 and sum(sent) < 0.75 * 63 * len(sent)
+    scaled, _ = P.pagerank_by_residuals(v, e, 1e-4)
+    power_form = {r["id"]: r["rank"] for r in G.pagerank_until(v, e, 1e-4).collect()}
+    assert {r["id"]: r["rank"] for r in scaled.collect()} == pytest.approx(power_form, abs=0.01)
+
+
+def test_push_from_many_sources(spark):
+    from layerweave.operators import push as P
+
+    pairs = random_pairs(80, 160, 5)
+    v, e = frames(spark, range(80), pairs)
+    sources = [0, 7, 33, 79]
+    ranks, sent = P.push_from(e, v.filter(F.col("id").isin(sources)), 1e-4)
+    got = {(r["source"], r["id"]): r["rank"] for r in ranks.collect()}
+    degree = {n: max(1, sum(s == n for s, _ in pairs)) for n in range(80)}
+    for source in sources:
+        exact = exact_walk(range(80), pairs, {source: 0.15})
+        slack = 1e-4 * sum(degree.values()) / 0.15
+        assert all(-1e-9 <= exact[n] - got.get((source, n), 0.0) <= slack for n in range(80))
+        assert got[source, source] >= 0.15
+    # A wide bound stays in the neighbourhood.
+    near, few = P.push_from(e, v.filter(F.col("id").isin(sources)), 0.05)
+    assert near.count() < len(got) / 4 and len(few) < len(sent)
+    assert P.push_from(e, v.filter("id < 0"))[0].count() == 0
+
+
+def test_a_round_reads_the_buckets_of_its_senders(spark):
+    from layerweave.operators import push as P
+
+    _, e = frames(spark, range(200), [(n, n + 1) for n in range(200)])
+    kept = P.EdgeBuckets(e, G.LAYER)
+    one = [r["bucket"] for r in e.filter("src = 5").select(F.col("layer"), F.col("src").alias("id")).select(kept.bucket().alias("bucket")).collect()]
+    found = kept.of(one)
+    assert found.filter("src = 5").count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert found.select("src").distinct().count() < 40
