@@ -17,10 +17,11 @@ from layerweave.operators import score_classes as K
 from layerweave.operators import tensor as T
 from layerweave.operators.ordering import dense_index
 from layerweave.operators.people import MOST_GOALS, assign_goals, pick_names
+from layerweave.operators.score_line import OUT
 from layerweave.operators.scores import FACTORS, score_people
 from layerweave.sources.delimited import array_to_text, write_sorted_csv
 from layerweave.sources.fixed_width import Field, read_fixed_width
-from layerweave.sources.tables import export_layers, export_results, write_table
+from layerweave.sources.tables import export_as_one, export_layers, write_table
 
 
 def name_people(
@@ -70,13 +71,15 @@ class Communities:
 def find_communities(
     scored: DataFrame, layers: Sequence[str] = FACTORS, rank: int = 2, tolerance: float = 0.002, max_sweeps: int = 20,
     profile: Mapping[str, float] = M.RUN_PROFILE, top: int = 5, first: int | None = None, id_column: str = "uuid",
-    listed: bool = False, out: str | None = None,
+    listed: bool = False, out: str | None = None, version: str = "results", init: str = "gaussian",
 ) -> Communities:
     """Scored people → layer networks → decomposition → the members that fit a profile best.
 
     By default the layer tensor is never listed: its products come from the score classes, so the
     job is linear in the people.  ``listed=True`` builds the edges, for export or for small inputs;
-    both give the same model.
+    both give the same model.  ``out`` receives adjacency, community, personality, weights and input as one export
+    under ``version`` (``read_export`` reads it); an export that broke off is resumed.  Unless edges are listed, the
+    adjacency is that of the scores: head count, place, and the places of the partners.
     """
     people = scored.select(F.col(id_column).alias("id"), *[f"{layer}_Z" for layer in layers]).na.drop()
     if first:
@@ -91,7 +94,7 @@ def find_communities(
     else:
         points = L.layer_vertices(people.join(index, "id").drop("id"), layers, "idx").withColumnRenamed("id", "idx")
         source = K.ScoreSource(points, layers, total, rules)
-    model = cp.cp_als(source, rank, max_sweeps, tolerance)
+    model = cp.cp_als(source, rank, max_sweeps, tolerance, init=init)
     community, personality = cp.community_table(model, index), cp.personality_table(model, layers)
     scores, component, members = {}, {}, {}
     for side in ("A", "B"):
@@ -101,7 +104,9 @@ def find_communities(
         members[side] = M.member_profiles(people, best)
     found = Communities(community, personality, cp.weight_table(model), scores, component, members)
     if out:
-        export_results({"community": community, "personality": personality, "lambda": found.weights}, out)
+        adjacency = cells if listed else source.line.positions(source.line.classes.select("layer", "z", "n", "_part", "_at"), OUT).drop("_part", "_at")
+        tables = {"adjacency": adjacency, "community": community, "personality": personality, "lambda": found.weights, "input": scored}
+        export_as_one(scored.sparkSession, tables, out, version)
         if listed:
             export_layers(vertices, L.fit_edges(vertices, rules), f"{out}/layers")
     return found

@@ -40,6 +40,40 @@ def export_results(tables: Mapping[str, DataFrame | None], path: str, kind: str
     return out
 
 
+def _finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a writer has completed the folder; asked of the store that holds it."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def export_as_one(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, version: str, kind: str = "parquet") -> list[str]:
+    """Write several tables that belong together: a reader sees all of them or none.
+
+    The tables go to ``path/version``.  When all are there, a commit that names them is written to ``path/commits``; until
+    then ``read_export`` does not know the version.  An export that broke off is resumed by the same call: tables that
+    were finished stay as they are, half-written ones are written anew.  Returned are the names that were written now.
+    """
+    if _finished(spark, f"{path}/commits/{version}"):
+        return []
+    written = []
+    for name, df in tables.items():
+        folder = f"{path}/{version}/{name}"
+        if not _finished(spark, folder):
+            df.write.mode("overwrite").format(kind).save(folder)
+            written.append(name)
+    names = spark.createDataFrame([(name, kind, place) for place, name in enumerate(tables)], "name string, kind string, place int")
+    names.coalesce(1).write.mode("overwrite").json(f"{path}/commits/{version}")
+    return written
+
+
+def read_export(spark: SparkSession, path: str, version: str) -> dict[str, DataFrame]:
+    """The tables of a committed export; one without its commit is not there."""
+    if not _finished(spark, f"{path}/commits/{version}"):
+        raise FileNotFoundError(f"no finished export {version} in {path}")
+    names = spark.read.schema("name string, kind string, place int").json(f"{path}/commits/{version}").orderBy("place").collect()
+    return {r["name"]: spark.read.format(r["kind"]).load(f"{path}/{version}/{r['name']}") for r in names}
+
+
 def store_nodes(vertices: DataFrame) -> DataFrame:
     """Node rows as a graph store loads them: ``layer, id, label, score, age, sex, country``."""
     return vertices.select(

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from layerweave.operators import layers as L
 from layerweave.operators import scores as S
 from layerweave.plans import jobs
 from layerweave.sources import fixed_width as W
+from layerweave.sources.tables import export_as_one, read_export
 
 
 def test_answers_to_names(spark, tmp_path):
@@ -29,7 +31,30 @@ def test_scores_to_communities_listed_or_not(spark, tmp_path):
     assert one.component == two.component
     assert [r["place"] for r in one.members["A"].collect()] == [1, 2, 3, 4, 5]
     assert one.members["A"].columns == ["id", *[f"{f}_Z" for f in S.FACTORS], "place"]
-    assert (tmp_path / "out" / "personality").is_dir()
+    kept = read_export(spark, str(tmp_path / "out"), "results")
+    assert list(kept) == ["adjacency", "community", "personality", "lambda", "input"]
+    assert kept["input"].count() == 30 and kept["community"].count() == 30 and kept["personality"].count() == 5
+    assert table(one.community) == {r["id"]: [r[x] for x in one.community.columns if x != "id"] for r in kept["community"].collect()}
+    spans = {(r["layer"], r["pos"]): r for r in kept["adjacency"].collect()}
+    edges = L.fit_edges(L.layer_vertices(scored.withColumnRenamed("uuid", "id"), S.FACTORS), L.RULES)
+    linked = sum(r["n"] * sum(spans[layer, p]["n"] for s in r["spans"] for p in range(s["p"], s["q"])) for (layer, _), r in spans.items())
+    assert linked == edges.count()
+
+
+def test_an_export_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "export")
+    good, bad = spark.range(5), spark.range(5).select(F.assert_true(F.col("id") < 3).alias("x"), "id")
+    with pytest.raises(Exception):
+        export_as_one(spark, {"one": good, "two": bad, "three": good}, path, "v1")
+    with pytest.raises(FileNotFoundError):
+        read_export(spark, path, "v1")
+    first = (tmp_path / "export" / "v1" / "one" / "_SUCCESS").stat().st_mtime_ns
+    assert export_as_one(spark, {"one": good, "two": spark.range(7), "three": good}, path, "v1") == ["two", "three"]
+    assert (tmp_path / "export" / "v1" / "one" / "_SUCCESS").stat().st_mtime_ns == first
+    assert {n: df.count() for n, df in read_export(spark, path, "v1").items()} == {"one": 5, "two": 7, "three": 5}
+    assert export_as_one(spark, {"one": spark.range(9)}, path, "v1") == []
+    with pytest.raises(FileNotFoundError):
+        read_export(spark, path, "v2")
 
 
 def test_answers_to_scores(spark, tmp_path):
