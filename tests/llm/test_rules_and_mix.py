@@ -77,6 +77,8 @@ def test_mixed_documents_hold_the_words_taken(spark):
     docs = cases.odd(spark)
     made = mixing.mixed_documents(docs)
     assert made.columns == docs.columns
+    dotted = docs.withColumn("a.b", F.lit("kept"))
+    assert {r["a.b"] for r in mixing.mixed_documents(dotted).collect()} == {"kept"}
     assert sum(len(cases.words(r["text"])) for r in made.select("text").collect()) == mixing.mix(docs).agg(F.sum(F.col("taken") * F.col("copies"))).first()[0]
     part = spark.createDataFrame([(1, " one\ttwo\n three", "a"), (2, " ".join("w" * 9), "b")], "doc_id long, text string, source string")
     texts = {r["text"] for r in mixing.mixed_documents(part, weights=(1, 8)).filter("doc_id = 1").collect()}
