@@ -167,8 +167,8 @@ def _residual_sql(rounds: int, moves: str, keys: str = "") -> str:
 
 @query(
     "pagerank_residuals",
-    f"WITH {_TRADE}, s0 AS (SELECT id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS rest FROM nodes), {_residual_sql(45, 'rest > 0.01')} "
-    "SELECT id, round(rank * count(*) OVER () / sum(rank) OVER (), 6) AS rank FROM s45",
+    f"WITH {_TRADE}, s0 AS (SELECT id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS rest FROM nodes), {_residual_sql(60, 'rest > 0.01')} "
+    "SELECT id, round(rank * count(*) OVER () / sum(rank) OVER (), 6) AS rank FROM s60",
 )
 def pagerank_residuals(spark, folder):
     """PageRank of the trade graph until no vertex has more than 0.01 left to add; settled vertices send no more."""
@@ -180,7 +180,7 @@ def pagerank_residuals(spark, folder):
 @query(
     "pushed_ranks",
     f"WITH {_TRADE}, s0 AS (SELECT id AS source, id, 0.0::DOUBLE AS rank, 0.15::DOUBLE AS rest FROM nodes WHERE id >= 0 AND id % 20 = 0), "
-    f"{_residual_sql(12, 'rest * weight > 1e-5', 'source, ')} SELECT source, id, round(rank, 7) AS rank FROM s12 WHERE rank > 0",
+    f"{_residual_sql(60, 'rest * weight > 1e-5', 'source, ')} SELECT source, id, round(rank, 7) AS rank FROM s60 WHERE rank > 0",
 )
 def pushed_ranks(spark, folder):
     """Personalized PageRank of every twentieth customer on the trade graph, pushed no further than the bound."""
