@@ -5,8 +5,9 @@ Tokens that very many documents hold come last in the order.  Documents meet at
 signatures, whose nodes hold OR-combined bitmaps and size ranges, is traversed against itself and drops every pair of
 nodes that cannot reach the threshold.  What is left is compared exactly, over whole texts.
 
-A first round compares every document with one other, the first holder of a token with which it shares most, which joins
-dense groups of copies by a linear number of comparisons.  The trees then look at pairs that are still in different groups only.
+Merging rounds come first: every document proposes one holder of another group, the one with which it shares most tokens, so
+that dense groups of copies are joined by a linear number of comparisons a round.  The trees then look at pairs that are still
+in different groups only.  Before two texts are fetched, bitmaps of their whole sets bound how much of one the other lacks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from layerweave.llm.common import digest, largest_counts, map_arrow, texts_of
 from layerweave.operators.graph import connected_components
-from layerweave.operators.skew import HotKeys, spread_join
+from layerweave.operators.skew import HotKeys, for_each_salt, hot_keys, spread_join, with_salt
 from layerweave.session import forget_table, keep_table
 
 #: At most so many tokens are put last in the order.  The order changes the cost only, never the result.
@@ -43,6 +44,13 @@ STEP_PAIRS = 16_384
 HELD_PAIRS = 1_000_000
 CHUNK_BYTES = 4_000_000
 SEGMENT_BYTES = 1_000_000
+# Rows with two texts that are worked off at a time, and bytes of shingles that a task remembers.
+PAIR_ROWS = 64
+REMEMBERED_BYTES = 16_000_000
+# Rows of one node or token that a task joins; those of a hotter one are spread over several.
+HOT_ROWS = 50_000
+#: A merging round is followed by another while it finds this share of the links of the first; changes the cost only.
+WORTH = 0.01
 
 _GAP = re.compile(rb"[ \t\n\v\f\r]")
 _SIEVE = np.uint64((1 << 23) - 1)
@@ -158,6 +166,27 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of a whole set, with four to eight bits a token."""
+    width = 1 << max(9, int(4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[tokens & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets with these sketches can reach the threshold.
+
+    A bit that only one of the sets has is a token that the other lacks.  The wider sketch is folded to the other's width.
+    """
+    least = -(-percent * (n_a + n_b) // (100 + percent))
+    if least > min(n_a, n_b):
+        return False
+    width = min(len(a), len(b))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(side, np.uint64).reshape(-1, width // 8), axis=0) for side in (a, b))
+    return int(np.bitwise_count(x & ~y).sum()) <= n_a - least and int(np.bitwise_count(y & ~x).sum()) <= n_b - least
+
+
 @lru_cache(maxsize=2)
 def _frequent(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The frequent tokens in ascending order of hash, the place of each in the order of all tokens, and a sieve."""
@@ -207,11 +236,11 @@ def row_key() -> Column:
 
 
 def sets_of(docs: DataFrame, words: int, percent: int, frequent: bytes) -> DataFrame:
-    """``doc_id, row_key, n, digest, bits, prefix`` per row; equal sets have equal digests."""
+    """``doc_id, row_key, n, digest, bits, sketch, prefix`` per row; equal sets have equal digests."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, digests, bits, prefixes = [], [], [], []
+        n, digests, bits, sketches, prefixes = [], [], [], [], []
         for texts in chunks(texts_of(batch)):
             flat, counts = spell(texts, words)
             for part in np.split(flat, np.cumsum(counts)[:-1]):
@@ -220,15 +249,16 @@ def sets_of(docs: DataFrame, words: int, percent: int, frequent: bytes) -> DataF
                 n.append(len(tokens))
                 digests.append(hashlib.md5(tokens.tobytes()).digest())
                 bits.append(bitmap(first))
+                sketches.append(sketch(tokens))
                 prefixes.append(first.tobytes())
         return pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()),
-            "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefixes, pa.binary()),
+            "bits": pa.array(bits, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "prefix": pa.array(prefixes, pa.binary()),
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    return map_arrow(rows, run, f"doc_id {kind}, row_key binary, n long, digest binary, bits binary, prefix binary")
+    return map_arrow(rows, run, f"doc_id {kind}, row_key binary, n long, digest binary, bits binary, sketch binary, prefix binary")
 
 
 class SignatureTree:
@@ -320,59 +350,82 @@ def candidates(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.n
     cell, block, node, n, group = (table.column(c).to_numpy() for c in ("cell", "block", "node", "n", "component"))
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
     order = np.lexsort((node, n, cell))
-    known, fresh, size = np.empty((0, 2), np.int64), [], 0
+    names, place = np.unique(node[order], return_inverse=True)
+    known, fresh, size = np.empty(0, np.int64), [], 0  # a pair is one number: place of the first times all plus place of the second
     for a, b in SignatureTree(bits[order], n[order], group[order], percent, cell[order], block[order]).steps(percent):
-        fresh.append(np.sort(np.stack([node[order[a]], node[order[b]]], axis=1), axis=1))
+        a, b = place[a], place[b]
+        fresh.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
         size += len(a)
         if size >= max(STEP_PAIRS, len(known)):
-            known, fresh, size = np.unique(np.concatenate([known, *fresh]), axis=0), [], 0
+            known, fresh, size = np.unique(np.concatenate([known, *fresh])), [], 0
             if len(known) >= HELD_PAIRS:
-                yield known[:, 0], known[:, 1]
+                yield tuple(names[side] for side in np.divmod(known, len(names)))
                 known = known[:0]
-    known = np.unique(np.concatenate([known, *fresh]), axis=0)
-    yield known[:, 0], known[:, 1]
+    known = np.unique(np.concatenate([known, *fresh]))
+    yield tuple(names[side] for side in np.divmod(known, max(1, len(names))))
 
 
-@lru_cache(maxsize=256)
-def _remembered(text: bytes, words: int) -> np.ndarray:
-    return shingles(text, words)
+class _Remembered(dict):
+    """The shingles of the texts met last, at most REMEMBERED_BYTES of them."""
 
+    def __init__(self, words: int):
+        self.words, self.size = words, 0
 
-def may_reach(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
-    """Whether sets with these prefixes can reach the threshold, by the places of their common prefix tokens.
+    def __missing__(self, text: bytes) -> np.ndarray:
+        made = shingles(text, self.words)
+        cost = len(text) + made.nbytes
+        if cost <= REMEMBERED_BYTES:
+            if self.size + cost > REMEMBERED_BYTES:
+                self.clear()
+                self.size = 0
+            self[text], self.size = made, self.size + cost
+        return made
 
-    A common token outside the common prefix lies behind the last common prefix token in both orders, and behind one of
-    the prefixes.
-    """
-    common, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(common):
-        return False
-    rest = min(max(n_a - len(a), n_b - len(b)), n_a - 1 - int(at_a.max()), n_b - 1 - int(at_b.max()))
-    return (100 + percent) * (len(common) + rest) >= percent * (n_a + n_b)
+
+def attach(rows: DataFrame, key: str, spread: str, facts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with the one row of ``facts`` of their key; the rows of a ``hot`` key (``key, splits``) lie in several tasks."""
+    if hot is None:
+        return rows.join(facts.hint("merge"), key)
+    return with_salt(rows, [key], [F.col(spread)], hot).join(for_each_salt(facts, [key], hot).hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def hot_tokens(held: DataFrame) -> DataFrame | None:
+    """``token, splits`` of the tokens with more than HOT_ROWS ``holders``, at most 200,000 of them; None without such."""
+    held = held.filter(F.col("holders") > HOT_ROWS).select("token", "holders").distinct()
+    total = held.agg(F.sum("holders")).first()[0]
+    if not total:
+        return None
+    limit = max(HOT_ROWS, total // 200_000)
+    return held.filter(F.col("holders") > limit).select("token", F.ceil(F.col("holders") / F.lit(limit)).cast("int").alias("splits"))
 
 
-def by_position(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose prefixes leave them a chance."""
+def by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sketches leave them a chance.  A node of very many pairs is spread over tasks."""
     known = keep_table(pairs)
-    for side in "ab":
-        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("prefix").alias(f"prefix_{side}"))
-        pairs = (known if side == "a" else pairs).join(own.hint("merge"), side)
+    both, rows = known, known.count()
+    for side, other in ("ab", "ba"):
+        own = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        both = attach(both, side, other, own, hot_keys(known, [side], rows, HOT_ROWS))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(c).to_pylist() for c in ("prefix_a", "prefix_b", "n_a", "n_b")]
-        keep = [may_reach(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), n_a, n_b, percent) for a, b, n_a, n_b in zip(*columns)]
-        chosen = batch.filter(pa.array(keep))
+        keep = []
+        for begin in range(0, batch.num_rows, STEP_PAIRS):
+            part = batch.slice(begin, STEP_PAIRS)
+            columns = [part.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
+            keep += [may_be_similar(*row, percent) for row in zip(*columns)]
+        chosen = batch.select(["a", "b"]).filter(pa.array(keep))
         return pa.RecordBatch.from_pydict({"a": chosen.column("a"), "b": chosen.column("b")})
 
-    return map_arrow(pairs, run, "a long, b long")
+    left = keep_table(map_arrow(both, run, "a long, b long"))
+    forget_table(known)
+    return left
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose whole texts reach the threshold, as ``src, dst``.
+    """The pairs of the stored table ``a, b`` whose whole texts reach the threshold, as ``src, dst``.
 
     ``repeated`` says that some rows of ``docs`` are equal in id and text, of which one is taken.
     """
-    pairs = keep_table(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row_key"), "node")
     wanted = keep_table(wanted)
     rows = docs.select(row_key().alias("row_key"), "text")
@@ -380,16 +433,20 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perc
     if repeated:  # equal in text, so any of them stands for its node
         found = found.groupBy("node").agg(F.first("text").alias("text"))
     texts = keep_table(found.select("node", "text"))
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
+    both, count = pairs, pairs.count()
+    for side, other in ("ab", "ba"):
+        own = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        both = attach(both, side, other, own, hot_keys(pairs, [side], count, HOT_ROWS))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = []
-        for x, y in zip(texts_of(batch, "left"), texts_of(batch, "right")):
-            tokens, other = _remembered(y, words), _remembered(x, words)  # heads and rows come again and again
-            common = len(np.intersect1d(tokens, other, assume_unique=True))
-            keep.append(100 * common >= percent * (len(tokens) + len(other) - common))
-        chosen = batch.filter(pa.array(keep))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, remembered = [], _Remembered(words)  # heads and rows come again and again
+        for begin in range(0, batch.num_rows, PAIR_ROWS):
+            part = batch.slice(begin, PAIR_ROWS)
+            for x, y in zip(texts_of(part, "text_a"), texts_of(part, "text_b")):
+                tokens, other = remembered[x], remembered[y]
+                common = len(np.intersect1d(tokens, other, assume_unique=True))
+                keep.append(100 * common >= percent * (len(tokens) + len(other) - common))
+        chosen = batch.select(["a", "b"]).filter(pa.array(keep))
         return pa.RecordBatch.from_pydict({"src": chosen.column("a"), "dst": chosen.column("b")})
 
     links = keep_table(map_arrow(both, run, "src long, dst long"))
@@ -428,7 +485,8 @@ def prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     rows are repeated."""
     rows = keep_table(sets_of(docs, words, percent, frequent_tokens(docs, words)))
     alike = rows.filter(F.col("n") > 0).groupBy("digest").agg(
-        F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+        F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"),
+        F.first("prefix").alias("prefix"),
     )
     whole = keep_table(alike.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
     member = keep_table(rows.select("doc_id", "row_key", "n", "digest").join(whole.select("digest", "node").hint("merge"), "digest", "left").drop("digest"))
@@ -440,10 +498,12 @@ def prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         node = np.repeat(batch.column("node").to_numpy(), [len(t) for t in tokens])
         return pa.RecordBatch.from_pydict({"token": np.concatenate(tokens), "node": node})
 
-    postings = map_arrow(whole.select("node", "prefix"), spread, "token long, node long")
+    postings = keep_table(map_arrow(whole.select("node", "prefix"), spread, "token long, node long"))
     # A token with one holder links nothing.
-    held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1)
-    live = keep_table(postings.join(held.hint("merge"), "token"))
+    held = keep_table(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("head")).filter(F.col("holders") > 1))
+    live = keep_table(attach(postings, "token", "node", held, hot_tokens(held)))
+    forget_table(postings)
+    forget_table(held)
     return whole, member, live, repeated
 
 
@@ -457,9 +517,9 @@ def tree_links(told: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     near = placed.groupBy(F.pmod("task", F.lit(buckets)).alias("_bucket")).applyInArrow(search, "a long, b long").distinct()
-    links = similar(by_position(near, sets, percent), sets, docs, words, percent, repeated)
+    chances = by_sketch(near, sets, percent)
     forget_table(placed)
-    return links
+    return similar(chances, sets, docs, words, percent, repeated)
 
 
 def all_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -487,6 +547,22 @@ def link_counts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return member.join(counts.hint("merge"), "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def proposals(told: DataFrame, tried: DataFrame | None, hot: DataFrame | None = None) -> DataFrame:
+    """``a, b``: for every node ``b`` of ``token, node, holders, component`` at most one node ``a`` of another component with which it shares most tokens.
+
+    Of a token's holders one in the first and one in the last component can be chosen, so the choice is linear in the
+    holders; pairs ``tried`` before are left out.
+    """
+    place = F.struct("component", "node")
+    ends = told.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.component < high.component")
+    open_rows = attach(told.select("token", "node", "component"), "token", "node", ends, hot)
+    partner = F.when(F.col("component") == F.col("low.component"), F.col("high.node")).otherwise(F.col("low.node"))
+    shared = open_rows.groupBy(partner.alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    if tried is not None:
+        shared = shared.join(tried.hint("merge"), ["a", "b"], "left_anti")
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, row_key, n_shingles, component_id, first``: one row per row of ``docs``.
 
@@ -497,29 +573,23 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     than doc_id and text are not read.
     """
     sets, member, live, repeated = prepared(docs, words, percent)
-    facts = sets.select("node", "n", "bits")
-    # A document meets the first holder with which it shares the most tokens: one pair per document.
-    shared = live.filter(F.col("node") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    star = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    star = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).hint("merge"), "a")
-    star = star.join(facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")).hint("merge"), "b")
-
-    def sift(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        trees = []
-        for side in "ab":
-            n = batch.column(f"n_{side}").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column(f"bits_{side}").to_pylist()), np.uint64).reshape(len(n), -1)
-            trees.append(SignatureTree(bits, n, batch.column(side).to_numpy(), percent))
-        every = np.arange(batch.num_rows)
-        chosen = batch.filter(pa.array(trees[0].may_match(0, every, every, percent, trees[1])))
-        return pa.RecordBatch.from_pydict({"a": chosen.column("a"), "b": chosen.column("b")})
-
-    links = similar(map_arrow(star, sift, "a long, b long"), sets, docs, words, percent, repeated)
     nodes = sets.select(F.col("node").alias("id"))
-    first = keep_table(connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component"))
-
-    # Second round: tokens whose holders are still in different groups.
-    told = live.select("token", "node", "holders", "head").join(first.hint("merge"), "node")
+    told = live.select("token", "node", "holders", "head", F.col("node").alias("component"))
+    hot = hot_tokens(live)
+    links = tried = None
+    most = found = 0
+    while links is None or found > WORTH * most:
+        asked = keep_table(proposals(told, tried, hot))
+        made = similar(by_sketch(asked, sets, percent), sets, docs, words, percent, repeated)
+        found = made.count()
+        most = max(most, found)
+        tried = asked if tried is None else tried.unionByName(asked)
+        links = made if links is None else links.unionByName(made)
+        if found:
+            first = keep_table(connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component"))
+            told = keep_table(live.select("token", "node", "holders", "head").join(first.hint("merge"), "node"))
+
+    # Tokens whose holders are still in different groups.
     more = tree_links(told, sets, docs, words, percent, repeated)
     groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
 
