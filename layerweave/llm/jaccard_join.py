@@ -50,7 +50,7 @@ REMEMBERED_BYTES = 16_000_000
 # Rows of one node or token that a task joins; those of a hotter one are spread over several.
 HOT_ROWS = 50_000
 #: A merging round is followed by another while it finds this share of the links of the first; changes the cost only.
-WORTH = 0.01
+WORTH = 0.25
 
 _GAP = re.compile(rb"[ \t\n\v\f\r]")
 _SIEVE = np.uint64((1 << 23) - 1)
@@ -547,6 +547,12 @@ def link_counts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return member.join(counts.hint("merge"), "node", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def linked(links: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes with a link; all others stand alone."""
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component")
+
+
 def proposals(told: DataFrame, tried: DataFrame | None, hot: DataFrame | None = None) -> DataFrame:
     """``a, b``: for every node ``b`` of ``token, node, holders, component`` at most one node ``a`` of another component with which it shares most tokens.
 
@@ -573,7 +579,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     than doc_id and text are not read.
     """
     sets, member, live, repeated = prepared(docs, words, percent)
-    nodes = sets.select(F.col("node").alias("id"))
     told = live.select("token", "node", "holders", "head", F.col("node").alias("component"))
     hot = hot_tokens(live)
     links = tried = None
@@ -586,14 +591,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         tried = asked if tried is None else tried.unionByName(asked)
         links = made if links is None else links.unionByName(made)
         if found:
-            first = keep_table(connected_components(nodes, links, by=()).select(F.col("id").alias("node"), "component"))
-            told = keep_table(live.select("token", "node", "holders", "head").join(first.hint("merge"), "node"))
+            joined = live.select("token", "node", "holders", "head").join(linked(links).hint("merge"), "node", "left")
+            told = keep_table(joined.withColumn("component", F.coalesce("component", "node")))
 
     # Tokens whose holders are still in different groups.
     more = tree_links(told, sets, docs, words, percent, repeated)
-    groups = connected_components(nodes, links.unionByName(more), by=()).select(F.col("id").alias("node"), "component")
-
-    member = keep_table(member.join(groups.hint("merge"), "node", "left"))
+    groups = linked(links.unionByName(more))
+    member = member.join(groups.hint("merge"), "node", "left")
+    member = keep_table(member.withColumn("component", F.coalesce("component", "node")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
     heads = member.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("_head"))
     return member.join(heads.hint("merge"), "component", "left").select(
