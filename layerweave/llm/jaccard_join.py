@@ -50,7 +50,7 @@ REMEMBERED_BYTES = 16_000_000
 # Rows of one node or token that a task joins; those of a hotter one are spread over several.
 HOT_ROWS = 50_000
 #: A merging round is followed by another while it finds this share of the links of the first; changes the cost only.
-WORTH = 0.25
+WORTH = 0.1
 
 _GAP = re.compile(rb"[ \t\n\v\f\r]")
 _SIEVE = np.uint64((1 << 23) - 1)
