@@ -145,3 +145,36 @@ def test_a_round_joins_no_scores(spark):
     line = ScoreLine(K.score_classes(people(spark, SCORES, "OPN")), {"OPN": L.RULES["OPN"]})
     plan = line.partner_sums(line.classes, {"n": F.col("n")}, (IN,))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" in plan
+
+
+def test_settled_and_personal_ranks_equal_listed_edges(spark, monkeypatch):
+    """Without listing an edge, also with people who have no score or no id, and sources that reach nobody."""
+    from layerweave.operators import skew
+
+    scores = [1.2] * 9 + [2.0, 2.0] + [round(0.1 * n - 3.3, 3) for n in range(40)]
+    rows = people(spark, scores, "OPN")
+    for layer in ("AGR", "NEU", "BOTH"):
+        rows = rows.unionByName(people(spark, scores, layer))
+    odd = [("OPN", 900, None), ("NEU", None, 0.5), ("OPN", None, None), ("LONE", 5, 1.5)]
+    rows = rows.unionByName(spark.createDataFrame(odd, "layer string, id long, z double")).persist()
+    edges = L.fit_edges(rows, CLASS_RULES).persist()
+    sources = spark.createDataFrame([(layer, n) for layer in ("OPN", "AGR", "NEU", "BOTH") for n in (3, 30)] + [("OPN", 900)], "layer string, id long")
+    near = lambda df, *keys: {tuple(r[k] for k in keys): round(r["rank"], 6) for r in df.collect()}
+    settled = near(G.pagerank_until(rows, edges, 0.02), "layer", "id")
+    listed = {n: near(G.personalized_pagerank(edges, sources, n), "layer", "source", "id") for n in (1, 3)}
+    monkeypatch.setattr(skew, "TASK_ROWS", 0)  # the line is read in pieces
+    monkeypatch.setattr(L, "block_join", None)  # no pair is listed
+    assert settled == near(K.pagerank_until(rows, 0.02, CLASS_RULES), "layer", "id")
+    for rounds, want in listed.items():
+        assert want == near(K.personalized_pagerank(rows, sources, rounds, CLASS_RULES), "layer", "source", "id")
+    with pytest.raises(RuntimeError):
+        K.pagerank_until(rows, 0.0, CLASS_RULES, most_rounds=2)
+
+
+def test_rank_queries_list_no_edges(spark, folder, monkeypatch):
+    """Pairs of people grow with their square, ranks do not."""
+    from layerweave.plans.queries import QUERIES
+
+    monkeypatch.setattr(L, "block_join", None)
+    for name in ("pagerank_tolerance",):
+        assert QUERIES[name](spark, folder).count() > 0
