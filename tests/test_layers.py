@@ -176,5 +176,5 @@ def test_rank_queries_list_no_edges(spark, folder, monkeypatch):
     from layerweave.plans.queries import QUERIES
 
     monkeypatch.setattr(L, "block_join", None)
-    for name in ("pagerank_tolerance",):
+    for name in ("pagerank_tolerance", "personalized_pagerank"):
         assert QUERIES[name](spark, folder).count() > 0
