@@ -131,6 +131,39 @@ def test_a_pair_that_meets_in_many_cells_is_held_once(monkeypatch):
     assert set(pieces) == set(map(tuple, found[0].tolist()))
 
 
+def test_the_nearest_pairs_come_first_and_none_is_lost():
+    """Of a dense group only pairs near a record are named; the mark tells that others were left out."""
+    draw = np.random.default_rng(3)
+    base = draw.random(1024) < 0.2
+    bits = [np.packbits(base ^ (draw.random(1024) < 0.02)).tobytes() for _ in range(60)]
+    table = pa.table({"cell": np.zeros(60, np.int64), "block": np.full(60, -1), "node": np.arange(60), "n": np.full(60, 1000), "component": np.arange(60), "bits": pa.array(bits, pa.binary())})
+
+    def named(best):
+        return {pair for a, b in jaccard_join.candidates(table, 80, best) for pair in zip(a.tolist(), b.tolist())}
+
+    every, few = named(None), named(3)
+    assert len(every) == 60 * 59 // 2 and named(60) == every
+    assert (-1, -1) in few and few - {(-1, -1)} < every and len(few) <= 60 * 3 + 1
+    assert {n for pair in few for n in pair} >= set(range(60))
+
+
+def test_a_dense_group_is_joined_by_few_pairs(spark, monkeypatch):
+    """Versions of versions of one text: the pairs compared follow the texts, the groups are those of all pairs."""
+    draw = random.Random(8)
+    texts = [[f"w{n}" for n in range(150)]]
+    for n in range(150):
+        text = list(draw.choice(texts))
+        for k in range(3):
+            text[draw.randrange(150)] = f"e{n}x{k}"
+        texts.append(text)
+    rows = [(n, " ".join(text)) for n, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    looked_at, plain = [], jaccard_join.by_sketch
+    monkeypatch.setattr(jaccard_join, "by_sketch", lambda pairs, *a: looked_at.append(pairs.count()) or plain(pairs, *a))
+    assert grouped(docs, 4, 85) == brute_groups(rows, 4, 85)
+    assert sum(looked_at) < 12 * len(rows)
+
+
 def passage(seed, lines, words=12):
     return [cases.prose(words, seed * 100 + i).replace("\n", " ") for i in range(lines)]
 
