@@ -178,3 +178,28 @@ def test_rank_queries_list_no_edges(spark, folder, monkeypatch):
     monkeypatch.setattr(L, "block_join", None)
     for name in ("pagerank_tolerance", "personalized_pagerank"):
         assert QUERIES[name](spark, folder).count() > 0
+
+
+def test_layer_of_one_name_is_searched_in_its_own_tasks(spark, monkeypatch):
+    """A constant layer column dropped out of the join's keys, and the search ran in as many tasks as the session sets."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(L, "PAIRS_PER_TASK", 100)
+    rows = spark.range(80).select(F.lit("OPN").alias("layer"), "id", (F.col("id") * 0.07 - 2).alias("z"))
+    edges = L.layer_edges(rows, block_rows=7)
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == brute([r["z"] for r in rows.orderBy("id").collect()], L.RULES["OPN"])
+    joined = edges._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1]
+    assert "REPARTITION_BY_NUM" in joined and "_lb" in joined and "ENSURE_REQUIREMENTS" not in joined
+
+
+@pytest.mark.parametrize("tasks", [None, 12])
+def test_rows_without_a_key_meet_nothing_in_blocks(spark, monkeypatch, tasks):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    from layerweave.operators import skew
+
+    left = spark.createDataFrame([("a", 1, 10), (None, 1, 11), ("a", None, 12), ("b", 2, 13)], "k string, n int, x int")
+    right = spark.createDataFrame([("a", 1, 20), (None, 1, 21), ("a", None, 22), ("a", 1, 23)], "k string, n int, y int")
+    blocks = spark.createDataFrame([("a", 1, 2, 2)], "k string, n int, _left_blocks int, _right_blocks int")
+    for cut in (None, blocks):
+        met = skew.block_join(left, right, ["k", "n"], [F.col("x")], [F.col("y")], cut, tasks=tasks)
+        assert {(r["k"], r["n"], r["x"], r["y"]) for r in met.collect()} == {("a", 1, 10, 20), ("a", 1, 10, 23)}
+        assert met.count() == 2
