@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerweave.operators import graph as G
+from layerweave.operators import layers as L
+from layerweave.operators import score_classes as K
 from layerweave import session
 from layerweave.operators import skew
 
@@ -205,3 +207,45 @@ def test_a_round_reads_the_buckets_of_its_senders(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
     assert found.select("src").distinct().count() < 40
+
+
+def listed(spark, repeat=False):
+    draw = random.Random(11)
+    rows = [(layer, n * 3, round(draw.gauss(0, 1.5), 1)) for layer in ("OPN", "NEU", "AGR") for n in range(25)]
+    rows += [("OPN", None, 0.5), ("NEU", 900, None), ("AGR", 903, 9.0)]
+    rows += [("OPN", 3, 2.5), ("OPN", 3, 2.5), ("NEU", 6, None)] if repeat else []
+    return spark.createDataFrame(rows, "layer string, id long, z double")
+
+
+def stored(people):
+    """The same graph with its edges listed beforehand."""
+    return G.LayerGraph(people, G.fit_edges(people, L.RULES))
+
+
+def same_rows(one, other):
+    columns = sorted(one.columns)
+    return columns == sorted(other.columns) and sorted(map(repr, one.select(columns).collect())) == sorted(map(repr, other.select(columns).collect()))
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("repeat", [False, True])
+def test_searched_edges_equal_stored_ones(spark, monkeypatch, repeat, limit):
+    if limit is not None:
+        monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    people = listed(spark, repeat)
+    graph = G.build_graph(people, rules=L.RULES)
+    assert same_rows(G.edge_pattern(graph, ["z"], ["OPN", "NEU"]), G.edge_pattern(stored(people), ["z"], ["OPN", "NEU"]))
+    assert same_rows(G.indexed_edges(graph)[0], G.indexed_edges(stored(people))[0])
+    assert same_rows(K.transition_edges(people, L.RULES), G.transition_edges(stored(people).edges))
+
+
+def test_searched_edges_are_not_stored_nor_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    people = listed(spark)
+    graph = G.build_graph(people, rules=L.RULES)
+    found = {"pattern": G.edge_pattern(graph, ["z"]), "cells": G.indexed_edges(graph)[0], "transition": K.transition_edges(people, L.RULES)}
+    for name, df in found.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("SortMergeJoin")[0]
+        # Nothing stands above the edge search itself, and a search is there: the edges were not written before.
+        assert plan.count("SortMergeJoin [_cell") == 1 and "Join" not in above and "Exchange" not in above and "Aggregate" not in above, (name, plan)
