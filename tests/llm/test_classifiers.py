@@ -151,3 +151,21 @@ def test_language_model_counts(spark, folder):
     for own, known in zip(rows, expected):
         assert own[:2] == known[:2] and abs(own[2] - known[2]) < 1e-6 * (1 + abs(known[2]))
     assert maxent_lm.score(cases.empty(spark)).count() == 0
+
+
+def test_every_feature_of_the_language_model_has_rows_of_its_own():
+    """The slopes are added up feature by feature, each over its own rows only."""
+    draw = np.random.default_rng(2)
+    model = maxent_lm.Model(np.ones(maxent_lm.GROUPS))
+    stream = maxent_lm.Stream([[bytes([97 + c]) * int(n) for c, n in zip(draw.integers(0, 26, 90), draw.integers(1, 4, 90))] for _ in range(5)])
+    for places, height in ((stream.rows, maxent_lm.CLASS_ROWS), (stream.member_rows, maxent_lm.MEMBER_ROWS)):
+        assert all((row // height == n).all() for n, row in enumerate(places))
+    before = model.weights.copy()
+    _, gradient = model.predict(stream.rows, stream.member_rows, stream.groups, learn=True)
+    assert np.array_equal(model.weights, before)
+    by_class, by_member = np.split(gradient, np.cumsum(model.SIZES)[:-1])[:2]
+    # The slopes of one token add up to nothing over the classes, and so do those of every row.
+    assert np.allclose(by_class.reshape(-1, maxent_lm.CLASSES).sum(axis=1), 0, atol=1e-4)
+    assert np.allclose(by_member.reshape(-1, maxent_lm.MEMBERS).sum(axis=1), 0, atol=1e-4)
+    touched = np.unique(np.concatenate(stream.rows))
+    assert set(np.flatnonzero(np.abs(by_class.reshape(-1, maxent_lm.CLASSES)).sum(axis=1) > 1e-6)) <= set(touched)
