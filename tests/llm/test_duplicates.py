@@ -164,6 +164,35 @@ def test_a_dense_group_is_joined_by_few_pairs(spark, monkeypatch):
     assert sum(looked_at) < 12 * len(rows)
 
 
+def test_the_search_tests_whole_sets_before_it_names_a_pair():
+    """Prefixes of the same bits and whole sets that differ: the trees cannot exclude a pair, the sketches do, at any width."""
+    draw, percent = np.random.default_rng(5), 85
+    sets = [np.unique(draw.integers(0, 2**63, size).astype(np.uint64)) for size in [600] * 30 + [640] * 30]
+    sets += [np.concatenate([own[:-20], draw.integers(0, 2**63, 20).astype(np.uint64)]) for own in sets]
+    n, sketches = np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets]
+    sketches[::2] = [jaccard_join.fold(wide, 256).tobytes() for wide in sketches[::2]]
+    table = pa.table({
+        "cell": np.zeros(len(sets), np.int64), "block": np.full(len(sets), -1), "node": np.arange(len(sets)) * 3, "n": n, "component": np.arange(len(sets)),
+        "bits": pa.array([b"\xff" * 128] * len(sets), pa.binary()),
+    })
+
+    def named(*options):
+        return {pair for a, b in jaccard_join.candidates(table, percent, *options) for pair in zip(a.tolist(), b.tolist())}
+
+    assert len(named()) == len(sets) * (len(sets) - 1) // 2
+    assert named(None, sketches) == {(3 * i, 3 * (i + 60)) for i in range(60)}
+
+
+def test_bands_are_those_of_the_set():
+    draw = np.random.default_rng(6)
+    one, other = draw.integers(0, 2**63, 300).astype(np.uint64), draw.integers(0, 2**63, 300).astype(np.uint64)
+    flat = np.concatenate([one, other, np.concatenate([one[::-1], one[:9]]), one[:290]])
+    keys = jaccard_join.bands(flat, np.array([300, 0, 300, 309, 290, 0]))
+    assert keys.shape == (6, jaccard_join.BANDS) and not keys[[1, 5]].any()
+    assert (keys[0] == keys[3]).all() and not (keys[0] == keys[2]).any() and (keys[0] == keys[4]).sum() >= 3
+    assert not jaccard_join.bands(np.empty(0, np.uint64), np.zeros(2, np.int64)).any()
+
+
 def passage(seed, lines, words=12):
     return [cases.prose(words, seed * 100 + i).replace("\n", " ") for i in range(lines)]
 
