@@ -30,7 +30,7 @@ def bytes_a_row(spark, path):
     return files.getContentSummary(place).getLength() / spark.read.parquet(path).count()
 
 
-@pytest.mark.parametrize("name", ["adjacency_coo", "layer_edges_csn", "layer_edges_ext", "layer_edges_neu", "layer_edges_opn", "multilayer_edges", "store_edges", "layer_edges_default", "simple_edges", "layer_edges_agr"])
+@pytest.mark.parametrize("name", ["adjacency_coo", "layer_edges_csn", "layer_edges_ext", "layer_edges_neu", "layer_edges_opn", "multilayer_edges", "store_edges", "layer_edges_default", "simple_edges", "layer_edges_agr", "transition_edges"])
 def test_written_edges_are_runs_and_repeated_lists(spark, tables, tmp_path, name):
     """They took one to two bytes a row."""
     QUERIES[name](spark, tables).write.parquet(str(tmp_path / "out"))
