@@ -46,3 +46,18 @@ def test_lists_hold_everyone_once(spark):
     edges = L.layer_edges(rows, {"OPN": L.LayerRule((L.Band(0.0),), L.BOTH), "AGR": L.LayerRule((L.Band(0.0),), L.DOWN)}, block_rows=7)
     found = {r["layer"]: r["count"] for r in edges.groupBy("layer").count().collect()}
     assert found == {"OPN": 300 * 240, "AGR": 40 * 39 // 2}
+
+
+def test_layer_folders_are_written_in_the_order_of_the_search(spark, tables, tmp_path):
+    """Edges were sorted by layer on the way; the setting that spares it is as before afterwards."""
+    from layerweave.plans.graph_queries import user_graph
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, graph, seen = spark.conf.get(name), user_graph(spark, tables), []
+    with Tb._open_folders(spark, Tb.OPEN_FOLDERS):
+        seen.append(spark.conf.get(name))
+    paths = Tb.export_layers(graph.vertices, graph.edges, str(tmp_path / "layers"))
+    assert seen == [str(Tb.OPEN_FOLDERS)] and spark.conf.get(name) == before
+    assert bytes_a_row(spark, paths["edges"]) < 0.5
+    found = {r["layer"]: r["count"] for r in spark.read.parquet(paths["edges"]).groupBy("layer").count().collect()}
+    assert found == {r["layer"]: r["count"] for r in graph.edges.groupBy("layer").count().collect()}
