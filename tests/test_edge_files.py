@@ -13,9 +13,8 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     people, users = spark.range(2500), spark.range(900)
     people.select(F.col("id").alias("c_custkey"), ((F.col("id") * 7919) % 250 * 44.0 - 999).alias("c_acctbal")).write.parquet(f"{folder}/customer.parquet")
-    people.select(
-        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.pow((F.col("id") * 7919) % 250 / 2.5, F.lit(2.0)).alias("o_totalprice")
-    ).write.parquet(f"{folder}/orders.parquet")
+    spent = F.round(F.log(6000.0 / ((F.col("id") * 7919) % 6000 + 0.5)) * 20.0).alias("o_totalprice")
+    spark.range(6000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), spent).write.parquet(f"{folder}/orders.parquet")
     kinds = F.array(*[F.lit(kind) for kind in ("view", "click", "purchase", "signup", "error")])
     events = users.select(F.col("id").alias("user_id"), F.posexplode(kinds).alias("n", "event_type"))
     value = ((F.col("user_id") * 7919 + F.col("n") * 131) % 100).cast("double").alias("value")
